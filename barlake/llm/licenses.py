@@ -200,11 +200,11 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def read(norm: Column) -> Column:
         return F.struct(F.array_sort(F.concat(*[_base(norm, p, k) for p, k in BASE.items()])).alias("base"), _detections(norm, table).alias("detections"))
 
-    none = F.array(F.struct(F.array().cast("array<struct<word:bigint,start:int,end:int,label:string>>").alias("base"), F.array().cast(_DETECTION).alias("detections")))
-    made = F.when(gated(text), F.transform(F.array(normal_form(text)), read)).otherwise(none)
+    none = F.struct(F.array().cast("array<struct<word:bigint,start:int,end:int,label:string>>").alias("base"), F.array().cast(_DETECTION).alias("detections"))
+    made = F.when(gated(text), _let(normal_form(text), read)).otherwise(none)
     own = [docs[c] for c in docs.columns if c == text_col or c not in ("n_words", "base", "detections")]
     # inline() makes the one row again, with what was found computed once
-    return docs.select(*own, F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.inline(made))
+    return docs.select(*own, F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.inline(F.array(made)))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

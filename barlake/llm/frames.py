@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barlake.shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset (local tests) a temporary one."""
@@ -34,5 +36,6 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the Arrow batches sent to Python workers: long texts make large rows."""
+    """Before Python functions on texts: bound the Arrow batches (long texts make large rows) and hand out the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -448,7 +448,7 @@ def read(stored: DataFrame, media_col: str = "media") -> DataFrame:
     """``stored`` with payload, height, width, scans and rgb (height * width * 3 bytes) read from the media column."""
     frames.small_batches(stored.sparkSession, 128)
     schema = stored.schema
-    for k, t in (("payload", "binary"), ("height", "int"), ("width", "int"), ("scans", "int"), ("rgb", "binary")):
+    for k, t in (("payload", "binary"), ("height", "integer"), ("width", "integer"), ("scans", "integer"), ("rgb", "binary")):
         schema = schema.add(k, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_rules, minhash, mixing, packing, pii
+from . import jpeg, licenses, line_rules, minhash, mixing, packing, pii, rule_ensemble, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row_id").alias("doc_id"), "source", "lang", "topic", "n_tokens", "probability", "sampled")
 
 
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -41,7 +57,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_license_scan, op5_packing, op6_mixing, op9_line_rules, op10_pii)}
+    return {f.__name__: f for f in (op1_minhash, op2_license_scan, op3_jpeg, op4_url_filter, op5_packing, op6_mixing, op7_rule_ensemble, op8_toxicity, op9_line_rules, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import frames
 
@@ -447,7 +448,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def read(stored: DataFrame, media_col: str = "media") -> DataFrame:
     """``stored`` with payload, height, width, scans and rgb (height * width * 3 bytes) read from the media column."""
     frames.small_batches(stored.sparkSession, 128)
-    schema = stored.schema
+    schema = T.StructType([*stored.schema.fields])
     for k, t in (("payload", "binary"), ("height", "integer"), ("width", "integer"), ("scans", "integer"), ("rgb", "binary")):
         schema = schema.add(k, t)
 

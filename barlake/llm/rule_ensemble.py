@@ -142,7 +142,7 @@ def compiled(rules: list[tuple[Rule, float]], intercept: float) -> Column:
 
 def train(docs: DataFrame, marks: DataFrame, column: str = "quality", per_class: int = PER_CLASS) -> tuple[list[tuple[Rule, float]], float]:
     """Rules from at most ``per_class`` documents of each class; ``docs``: (doc_id, text)."""
-    sample = labels.training_sample(marks, column, per_class, SEED)
+    sample = labels.training_sample(marks, column, (per_class, per_class), SEED)
     known = measured(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text")).collect()
     shares = {r.label: r["count"] for r in marks.where(F.col(column).isNotNull() & ~labels.held_out(F.col("doc_id"))).groupBy(F.col(column).cast("int").alias("label")).count().where("label IN (0, 1)").collect()}
     marked = {r.doc_id: r.label for r in sample.collect()}

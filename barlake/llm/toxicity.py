@@ -3,7 +3,7 @@
 Features of a text: its distinct lower-cased words (letters and digits, other characters cut off), pairs of neighbours, and
 pairs with one word between, hashed into ``DIMS``. Training takes at most ``PER_CLASS`` labelled documents of each
 class, none of them held out; their features are made on the executors, and the fitted weights (``DIMS`` + 1 floats,
-1 MB) are sent to the tasks that score every document.
+4 MB) are sent to the tasks that score every document.
 
 Null or empty text: the score of the bias alone. No labels at all, or of one class only: the score is that of the label
 share. Null ids, repeated rows: scored each. Empty table: empty result. Labels, language, source and id are no inputs.
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from . import frames, ftrl, labels, words
 
-DIMS, PER_CLASS, SEED = 1 << 18, 3000, 3
+#: Feature numbers; most training documents of label 0 and of label 1.
+DIMS, PER_CLASS, SEED = 1 << 20, (7500, 2500), 3
+ALPHA, L1, L2, PASSES = 2.0, 4.0, 0.01, 4
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -33,7 +35,7 @@ def features(text: str | None) -> np.ndarray:
     two = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
     skip = h[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] + np.uint64(1)
     every = np.concatenate([h, two, skip]) * np.uint64(0xFF51AFD7ED558CCD)
-    return np.unique((every >> np.uint64(46)).astype(np.int64))
+    return np.unique((every >> np.uint64(44)).astype(np.int64))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,8 +44,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(made, pa.binary())], ["doc_id", "label", "found"])
 
 
-def train(docs: DataFrame, marks: DataFrame, column: str = "toxic", per_class: int = PER_CLASS) -> np.ndarray:
-    """Weights from at most ``per_class`` documents of each class; ``docs``: (doc_id, text)."""
+def train(docs: DataFrame, marks: DataFrame, column: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> np.ndarray:
+    """Weights from at most ``per_class`` documents of label 0 and of label 1; ``docs``: (doc_id, text)."""
     frames.small_batches(docs.sparkSession)
     sample = labels.training_sample(marks, column, per_class, SEED)
     rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(_extract, "doc_id long, label int, found binary").collect()
@@ -54,7 +56,7 @@ def train(docs: DataFrame, marks: DataFrame, column: str = "toxic", per_class: i
         share = (y.sum() + 1) / (len(y) + 2)
         w[DIMS] = np.log(share / (1 - share))
         return w
-    return ftrl.fit([np.frombuffer(r.found, "<i4").astype(np.int64) for r in rows], y, DIMS)
+    return ftrl.fit([np.frombuffer(r.found, "<i4").astype(np.int64) for r in rows], y, DIMS, alpha=ALPHA, l1=L1, l2=L2, passes=PASSES)
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -81,7 +81,7 @@ def exits(signals_: DataFrame, bars: DataFrame, cell: int = 64) -> DataFrame:
     asked = s.select("symbol", F.col("deadline").alias("at_"), F.lit(0).alias("kind_"), F.lit(None).cast("int").alias("rn"), "open_time")
     due = marks.union(asked).withColumn("t_rn", F.first("rn", True).over(later)).where("kind_ = 0").select("symbol", "open_time", "t_rn")
     s = s.join(due, ["symbol", "open_time"]).withColumn("to_rn", F.coalesce("t_rn", "last_rn"))
-    cells = s.where("to_rn > s_rn").withColumn("cell", F.explode(F.sequence((F.col("s_rn") + 1 - (F.col("s_rn") + 1) % cell) / cell, (F.col("to_rn") - F.col("to_rn") % cell) / cell).cast("array<int>")))
+    cells = s.where("to_rn > s_rn").withColumn("cell", F.explode(F.sequence(F.expr(f"cast((s_rn + 1) div {cell} as int)"), F.expr(f"cast(to_rn div {cell} as int)"))))
     part = numbered.select("symbol", F.expr(f"cast(rn div {cell} as int)").alias("cell"), "rn", "high", "low", F.col("open_time").alias("b_time"), F.col("close").alias("b_close"))
     hit = cells.join(part, ["symbol", "cell"]).where("rn > s_rn AND rn <= to_rn")
     long_ = F.col("side") == "long"

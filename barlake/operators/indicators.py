@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlake.functions.supertrend import supertrend as supertrend_of
 from barlake.functions.windows import back, by_time, ewm, rolling, so_far
 from barlake.shipping import ship
 
@@ -131,46 +130,27 @@ def volume_poc(bars: DataFrame, window: int = 96, bins: int = 24) -> DataFrame:
     return seen.join(found, ["symbol", "rn"], "left").select("symbol", "open_time", F.coalesce("poc", "mean").alias("vp_poc"))
 
 
-def _supertrend(pdf: pd.DataFrame, period: int, times: float) -> pd.DataFrame:
-    """Bands ratchet towards the price until it crosses them; that has no windowed form."""
-    pdf = pdf.sort_values("open_time")
-    h, lo, c = (pdf[k].to_numpy(float) for k in ("high", "low", "close"))
-    n = len(c)
-    line, way = np.empty(n), np.ones(n, np.int64)
-    avg = fu = fl = np.nan
-    for i in range(n):
-        tr = h[i] - lo[i] if not i else max(h[i] - lo[i], abs(h[i] - c[i - 1]), abs(lo[i] - c[i - 1]))
-        avg = tr if not i else avg + (tr - avg) / period
-        up, down = (h[i] + lo[i]) / 2 + times * avg, (h[i] + lo[i]) / 2 - times * avg
-        if not i:
-            fu, fl, line[i] = up, down, down
-            continue
-        fu = up if up < fu or c[i - 1] > fu else fu
-        fl = down if down > fl or c[i - 1] < fl else fl
-        above = c[i] > fu if way[i - 1] == -1 else c[i] >= fl
-        way[i], line[i] = (1, fl) if above else (-1, fu)
-    return pd.DataFrame({"symbol": pdf["symbol"], "open_time": pdf["open_time"], "supertrend": line, "supertrend_dir": way})
-
-
 def supertrend(bars: DataFrame, period: int = 10, times: float = 3.0) -> DataFrame:
     """(symbol, open_time, supertrend, supertrend_dir); a group is one symbol's bars."""
     ship(bars.sparkSession)
-    return bars.select("symbol", "open_time", "high", "low", "close").groupBy("symbol").applyInPandas(lambda p: _supertrend(p, period, times), "symbol string, open_time long, supertrend double, supertrend_dir long")
+    return bars.select("symbol", "open_time", "high", "low", "close").groupBy("symbol").applyInPandas(lambda p: supertrend_of(p, period, times), "symbol string, open_time long, supertrend double, supertrend_dir long")
 
 
 def bundle(bars: DataFrame) -> DataFrame:
-    """The indicators of one interval that need one pass each: moving averages, MACD, ADX, RSI, bands, ATR, volume."""
-    out = ema(bars, [20, 50, 100, 200])
-    out = out.withColumns({f"sma_{n}": sma(C, n) for n in (20, 50, 200)})
-    out = macd(out)
-    out = adx(out)
-    out = rsi(out, [7, 14, 21])
-    out = stochastic(out)
-    out = out.withColumn("williams_r_14", williams_r())
-    out = cci(out)
-    out = bollinger(out)
-    out = atr(out, [7, 14, 21])
-    out = keltner(out)
-    return volume_bundle(out)
-
-
+    """All indicators of one interval but Supertrend and the volume profile. Averages of bars share one blocked scan, those
+    of averages (MACD signal, ADX) a second."""
+    change, up, down = C - previous(C), H - previous(H), previous(L) - L
+    moved = bars.withColumns({
+        "tr_": true_range(), "gain_": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "loss_": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
+        "up_": F.when((up > down) & (up > 0), up).otherwise(0.0), "down_": F.when((down > up) & (down > 0), down).otherwise(0.0),
+    })
+    first = {f"ema_{n}": ("close", 2 / (n + 1), 1) for n in (12, 20, 26, 50, 100, 200)} | {f"atr_{p}": ("tr_", 1 / p, p) for p in (7, 14, 20, 21)}
+    first |= {f"{k}_{p}": (f"{k}_", 1 / p, p) for p in (7, 14, 21) for k in ("gain", "loss")} | {"u_": ("up_", 1 / 14, 14), "d_": ("down_", 1 / 14, 14)}
+    out = ewm(moved, first)
+    plus, minus = 100 * F.try_divide("u_", "atr_14"), 100 * F.try_divide("d_", "atr_14")
+    out = out.withColumns({"di_plus_14": plus, "di_minus_14": minus, "macd": F.col("ema_12") - F.col("ema_26"), **{f"rsi_{p}": 100 - 100 / (1 + F.try_divide(f"gain_{p}", f"loss_{p}")) for p in (7, 14, 21)}})
+    out = out.withColumn("dx_", F.coalesce(100 * F.try_divide(F.abs(plus - minus), plus + minus), F.lit(0.0)))
+    out = ewm(out, {"macd_signal": ("macd", 0.2, 1), "adx_14": ("dx_", 1 / 14, 14)})
+    out = out.withColumns({"macd_hist": F.col("macd") - F.col("macd_signal"), "keltner_mid": F.col("ema_20"), "keltner_upper": F.col("ema_20") + 1.5 * F.col("atr_20"), "keltner_lower": F.col("ema_20") - 1.5 * F.col("atr_20"), **{f"sma_{n}": sma(C, n) for n in (20, 50, 200)}, "williams_r_14": williams_r()})
+    out = volume_bundle(bollinger(cci(stochastic(out))))
+    return out.drop("tr_", "gain_", "loss_", "up_", "down_", "u_", "d_", "dx_", "ema_12", "ema_26", "atr_20", *[f"{k}_{p}" for p in (7, 14, 21) for k in ("gain", "loss")])

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from barlake.functions.windows import by_time, ewm, rolling
 
 from .align import asof
-from .indicators import C, H, L, O, previous, supertrend
+from .indicators import previous, supertrend
 
 
 def strategy_rsi(bars: DataFrame, p: int = 14) -> DataFrame:
     """``rsi``: Wilder's averages from the first change on; 50 where undefined or without losses."""
+    C = F.col("close")
     change = C - previous(C)
     moved = bars.withColumns({"g_": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "l_": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))})
     out = ewm(moved, {"ga_": ("g_", 1 / p, 1), "la_": ("l_", 1 / p, 1)})
@@ -24,6 +25,7 @@ def strategy_rsi(bars: DataFrame, p: int = 14) -> DataFrame:
 
 def strategy_candles(bars: DataFrame) -> DataFrame:
     """Bullish and bearish engulfing, hammer or pin, as one flag a side (strict forms)."""
+    O, H, L, C = (F.col(c) for c in ("open", "high", "low", "close"))
     body, rng = F.abs(C - O), H - L
     up, low = H - F.greatest(O, C), F.least(O, C) - L
     o1, c1 = previous(O), previous(C)
@@ -58,6 +60,7 @@ def setups(base: DataFrame, mid: DataFrame, high: DataFrame, span: int = 200, sw
 
 def signals(prepared: DataFrame, stop: float = 0.035, target: float = 0.065, hours: float = 96) -> DataFrame:
     """Rows of ``prepared`` with a setup, as signals; long goes first."""
+    C = F.col("close")
     long_ = F.col("strat_long_setup")
     side = F.when(long_, "long").otherwise("short")
     return prepared.where(long_ | F.col("strat_short_setup")).select(
@@ -120,6 +123,7 @@ def trades(exited: DataFrame, capital: float = 10_000.0, fee: float = 0.001, bps
 
 def equity(trades_: DataFrame, bars: DataFrame, capital: float = 10_000.0) -> DataFrame:
     """(symbol, open_time, equity): cash, or the open trade marked at the close."""
+    C = F.col("close")
     t = trades_.select("symbol", F.col("entry_time").alias("open_time"), "side", F.col("entry_time").alias("in_"), F.col("exit_time").alias("out_"), "size", "entry_price", "cash_after", (F.col("cash_after") - F.col("pnl")).alias("cash_before"))
     held = asof(bars.select("symbol", "open_time", "close"), t)
     open_ = (F.col("open_time") >= F.col("in_")) & (F.col("open_time") < F.col("out_"))

@@ -10,8 +10,6 @@ from barlake.functions.supertrend import supertrend as supertrend_of
 from barlake.functions.windows import back, by_time, ewm, rolling, so_far
 from barlake.shipping import ship
 
-O, H, L, C, V = (F.col(c) for c in ("open", "high", "low", "close", "volume"))
-
 
 def previous(x: Column | str, k: int = 1) -> Column:
     return F.lag(x, k).over(by_time())
@@ -19,6 +17,7 @@ def previous(x: Column | str, k: int = 1) -> Column:
 
 def true_range() -> Column:
     """high - low, or the distance of either to the close before, whichever is greatest."""
+    H, L, C = (F.col(c) for c in ("high", "low", "close"))
     return F.greatest(H - L, F.abs(H - previous(C)), F.abs(L - previous(C)))
 
 
@@ -38,6 +37,7 @@ def atr(bars: DataFrame, periods: list[int]) -> DataFrame:
 
 def rsi(bars: DataFrame, periods: list[int]) -> DataFrame:
     """``rsi_{p}`` by Wilder's averages of gains and losses; null while there is no loss."""
+    C = F.col("close")
     change = C - previous(C)
     moved = bars.withColumns({"gain_": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "loss_": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))})
     out = ewm(moved, {f"{k}_{p}": (f"{k}_", 1 / p, p) for p in periods for k in ("gain", "loss")})
@@ -52,6 +52,7 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
 
 def adx(bars: DataFrame, p: int = 14) -> DataFrame:
     """``adx``, ``di_plus`` and ``di_minus`` of period p; an undefined DX counts as 0, also before the averages start."""
+    H, L = (F.col(c) for c in ("high", "low"))
     up, down = H - previous(H), previous(L) - L
     moved = bars.withColumns({"up_": F.when(up.isNull(), 0.0).when((up > down) & (up > 0), up).otherwise(0.0), "down_": F.when(down.isNull(), 0.0).when((down > up) & (down > 0), down).otherwise(0.0), "tr_": true_range()})
     out = ewm(moved, {"a_": ("tr_", 1 / p, p), "u_": ("up_", 1 / p, p), "d_": ("down_", 1 / p, p)})
@@ -67,6 +68,7 @@ def keltner(bars: DataFrame, span: int = 20, period: int = 20, times: float = 1.
 
 
 def bollinger(bars: DataFrame, n: int = 20, times: float = 2.0) -> DataFrame:
+    C = F.col("close")
     mid, sd = sma(C, n), rolling(F.stddev_samp(C), C, n, n)
     out = bars.withColumns({"bb_mid": mid, "sd_": sd}).withColumns({"bb_upper": F.col("bb_mid") + times * F.col("sd_"), "bb_lower": F.col("bb_mid") - times * F.col("sd_")})
     span = F.col("bb_upper") - F.col("bb_lower")
@@ -75,6 +77,7 @@ def bollinger(bars: DataFrame, n: int = 20, times: float = 2.0) -> DataFrame:
 
 def stochastic(bars: DataFrame, k: int = 14, smooth: int = 3, d: int = 3) -> DataFrame:
     """Slow stochastic: ``stoch_k`` is %K smoothed, ``stoch_d`` its average."""
+    H, L, C = (F.col(c) for c in ("high", "low", "close"))
     low, high = rolling(F.min(L), L, k, k), rolling(F.max(H), H, k, k)
     out = bars.withColumn("fast_", 100 * F.try_divide(C - low, high - low))
     out = out.withColumn("stoch_k", rolling(F.avg("fast_"), F.col("fast_"), smooth, smooth))
@@ -82,12 +85,14 @@ def stochastic(bars: DataFrame, k: int = 14, smooth: int = 3, d: int = 3) -> Dat
 
 
 def williams_r(n: int = 14) -> Column:
+    H, L, C = (F.col(c) for c in ("high", "low", "close"))
     low, high = rolling(F.min(L), L, n, n), rolling(F.max(H), H, n, n)
     return -100 * F.try_divide(high - C, high - low)
 
 
 def cci(bars: DataFrame, n: int = 20) -> DataFrame:
     """``cci_{n}`` with the mean absolute deviation of the window around its own mean."""
+    H, L, C = (F.col(c) for c in ("high", "low", "close"))
     typical = (H + L + C) / 3
     out = bars.withColumn("tp_", typical)
     out = out.withColumns({"mean_": sma(F.col("tp_"), n), "all_": F.collect_list("tp_").over(back(n))})
@@ -97,12 +102,14 @@ def cci(bars: DataFrame, n: int = 20) -> DataFrame:
 
 def obv() -> Column:
     """Sum so far of the volume with the sign of the close's change; the first row counts 0."""
+    C, V = (F.col(c) for c in ("close", "volume"))
     raise_ = F.signum(C - F.col("before_")) * V
     return F.sum(F.coalesce(raise_, F.lit(0.0))).over(so_far())
 
 
 def volume_bundle(bars: DataFrame, window: int | None = None) -> DataFrame:
     """obv, vwap (so far, or of ``window`` rows) and mean volumes."""
+    H, L, C, V = (F.col(c) for c in ("high", "low", "close", "volume"))
     w = back(window) if window else so_far()
     typical = (H + L + C) / 3
     out = bars.withColumn("before_", previous(C)).withColumn("obv", obv())
@@ -114,6 +121,7 @@ def volume_poc(bars: DataFrame, window: int = 96, bins: int = 24) -> DataFrame:
 
     Each row is dealt to the ``window`` rows that see it and grouped again, so no window is held as a list.
     """
+    H, L, C, V = (F.col(c) for c in ("high", "low", "close", "volume"))
     typical = (H + L + C) / 3
     base = bars.select("symbol", "open_time", F.row_number().over(by_time()).alias("rn"), typical.alias("tp"), V.alias("v"))
     w = back(window)
@@ -139,6 +147,7 @@ def supertrend(bars: DataFrame, period: int = 10, times: float = 3.0) -> DataFra
 def bundle(bars: DataFrame) -> DataFrame:
     """All indicators of one interval but Supertrend and the volume profile. Averages of bars share one blocked scan, those
     of averages (MACD signal, ADX) a second."""
+    H, L, C = (F.col(c) for c in ("high", "low", "close"))
     change, up, down = C - previous(C), H - previous(H), previous(L) - L
     moved = bars.withColumns({
         "tr_": true_range(), "gain_": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "loss_": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),

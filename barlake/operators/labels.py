@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlake.functions.windows import back, by_time, flag
 
-from .indicators import C
+
 
 
 def percentile_rank(x: Column, n: int = 100) -> Column:
@@ -26,6 +26,7 @@ def regime(bars: DataFrame, adx: str = "adx_14", atr: str = "atr_14", n: int = 1
 
 def targets(bars: DataFrame, minutes: int, horizons: dict[str, tuple[int, float]] | None = None) -> DataFrame:
     """Forward returns in %, whether they exceed a bound, and the class of the last horizon (beyond 1 % either way)."""
+    C = F.col("close")
     horizons = horizons or {"1h": (1, 0.5), "4h": (4, 1.0), "1d": (24, 2.0)}
     out = {}
     for name, (hours, bound) in horizons.items():
@@ -37,6 +38,7 @@ def targets(bars: DataFrame, minutes: int, horizons: dict[str, tuple[int, float]
 
 def legacy_targets(bars: DataFrame, steps: tuple[int, ...] = (1, 4, 16, 96)) -> DataFrame:
     """Log returns over ``steps`` rows ahead, and the sign of the change."""
+    C = F.col("close")
     out = {}
     for k in steps:
         ahead = F.lead(C, k).over(by_time())
@@ -47,4 +49,5 @@ def legacy_targets(bars: DataFrame, steps: tuple[int, ...] = (1, 4, 16, 96)) ->
 
 def risk_adjusted(bars: DataFrame, steps: int, atr: str = "atr_14") -> Column:
     """Forward simple return over ``steps`` rows, divided by ATR."""
+    C = F.col("close")
     return F.try_divide(F.try_divide(F.lead(C, steps).over(by_time()) - C, C), F.col(atr))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from barlake.functions.windows import back, by_time, flag, last_where, rolling, so_far
 
-from .indicators import C, H, L, O, V, previous
+from .indicators import previous
 
 
 def candles(bars: DataFrame, intended: bool = False) -> DataFrame:
     """Ten pattern flags. ``intended``: engulfing also needs the larger body; else the body test compares a flag, as known
     results do."""
+    O, H, L, C = (F.col(c) for c in ("open", "high", "low", "close"))
     body, rng = F.abs(C - O), F.nullif(H - L, F.lit(0.0))
     up, low = H - F.greatest(O, C), F.least(O, C) - L
     share = F.try_divide(body, rng)
@@ -39,6 +40,7 @@ def candles(bars: DataFrame, intended: bool = False) -> DataFrame:
 
 def swing_flags(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
     """``is_swing_high`` and ``is_swing_low``: strictly beyond ``left`` rows before and ``right`` after, all of which exist."""
+    H, L = (F.col(c) for c in ("high", "low"))
     w = by_time()
     near = [F.lag for _ in range(left)], [F.lead for _ in range(right)]
     high = low = F.lit(True)
@@ -51,6 +53,7 @@ def swing_flags(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
 
 def swings(bars: DataFrame) -> DataFrame:
     """Swing flags, rows since each, and how far (in %) the last swing high is above the close."""
+    H, C = (F.col(c) for c in ("high", "close"))
     out = swing_flags(bars).withColumn("rn_", F.row_number().over(by_time()))
     last = last_where(F.col("is_swing_high") == 1, H)
     return out.withColumns({
@@ -62,6 +65,7 @@ def swings(bars: DataFrame) -> DataFrame:
 
 def support_resistance(bars: DataFrame, keep: int = 30) -> DataFrame:
     """Nearest of the last ``keep`` swing lows below, and swing highs above, the close; distances; touches within 0.1 %."""
+    H, L, C = (F.col(c) for c in ("high", "low", "close"))
     out = swing_flags(bars)
     for kind, price in (("low", L), ("high", H)):
         pivots = out.where(F.col(f"is_swing_{kind}") == 1).withColumn("held_", F.collect_list(price).over(back(keep))).select("symbol", "open_time", F.col("held_").alias(f"{kind}s_"))
@@ -81,6 +85,7 @@ def support_resistance(bars: DataFrame, keep: int = 30) -> DataFrame:
 
 def fair_value_gaps(bars: DataFrame) -> DataFrame:
     """Gaps between this row and the second before; rows since; whether the close is in a gap not yet filled."""
+    H, L, C = (F.col(c) for c in ("high", "low", "close"))
     h2, l2 = previous(H, 2), previous(L, 2)
     out = bars.withColumns({"rn_": F.row_number().over(by_time()), "h2_": h2, "l2_": l2})
     out = out.withColumns({"fvg_bullish": flag(L > F.col("h2_")), "fvg_bearish": flag(H < F.col("l2_"))})
@@ -101,6 +106,7 @@ def fair_value_gaps(bars: DataFrame) -> DataFrame:
 
 def liquidity(bars: DataFrame) -> DataFrame:
     """Running extremes of the UTC day and ISO week, and sweeps of the day's or week's before (the one last seen)."""
+    H, L, C = (F.col(c) for c in ("high", "low", "close"))
     ts = F.timestamp_millis("open_time")
     out = bars.withColumns({"day_": F.date_trunc("day", ts), "week_": F.date_trunc("week", ts)})
     sweep = F.lit(False)
@@ -117,6 +123,7 @@ def liquidity(bars: DataFrame) -> DataFrame:
 
 def order_blocks(bars: DataFrame, reach: int = 40) -> DataFrame:
     """Zones of the last opposite candle before an impulse; distance of the close to either; strength by volume."""
+    O, H, L, C, V = (F.col(c) for c in ("open", "high", "low", "close", "volume"))
     out = bars.withColumns({"rn_": F.row_number().over(by_time()), "mean_": rolling(F.avg(V), V, 20, 5)})
     source = F.struct("rn_", L.alias("lo"), H.alias("hi"), F.coalesce(F.try_divide(V, F.col("mean_")), F.lit(1.0)).alias("strength"))
     before = by_time().rowsBetween(Window.unboundedPreceding, -1)
@@ -134,6 +141,7 @@ def order_blocks(bars: DataFrame, reach: int = 40) -> DataFrame:
 
 def structure(bars: DataFrame) -> DataFrame:
     """Market structure of the last two swings, breaks and changes of it, Fibonacci levels and the OTE flag."""
+    H, L, C = (F.col(c) for c in ("high", "low", "close"))
     out = swing_flags(bars)
     for kind, price in (("high", H), ("low", L)):
         own = out.where(F.col(f"is_swing_{kind}") == 1).select("symbol", "open_time", F.struct(price.alias("now"), F.lag(price).over(by_time()).alias("old")).alias(f"{kind}_"))
@@ -154,6 +162,7 @@ def structure(bars: DataFrame) -> DataFrame:
 
 def legacy(bars: DataFrame) -> DataFrame:
     """Grabs beyond the 20 rows before, displacement candles, and the close's place in the 50-row range."""
+    O, H, L, C = (F.col(c) for c in ("open", "high", "low", "close"))
     high, low = rolling(F.max(H), H, 20, 3, -1), rolling(F.min(L), L, 20, 3, -1)
     lo, hi = rolling(F.min(L), L, 50, 5), rolling(F.max(H), H, 50, 5)
     place = F.try_divide(C - lo, hi - lo)

@@ -365,7 +365,7 @@ def _plain_signals(b: DataFrame) -> DataFrame:
     return backtest.signals(made, hours=24)
 
 
-_PLAIN = _b("1h") + ", n AS (SELECT *, row_number() OVER w AS rn, max(open_time) OVER (PARTITION BY symbol) AS last_time FROM b " + _W + "), s AS (SELECT *, CASE WHEN rn % 14 = 0 THEN 'long' ELSE 'short' END AS side, close * CASE WHEN rn % 14 = 0 THEN 0.965 ELSE 1.035 END AS sl, close * CASE WHEN rn % 14 = 0 THEN 1.065 ELSE 0.935 END AS tp, open_time + 86400000 AS due FROM n WHERE rn % 7 = 0), h AS (SELECT s.symbol, s.open_time, s.side, n.open_time AS at, n.close AS c, s.sl, s.tp, CASE WHEN (s.side = 'long' AND n.low <= s.sl) OR (s.side = 'short' AND n.high >= s.sl) THEN 'sl' WHEN (s.side = 'long' AND n.high >= s.tp) OR (s.side = 'short' AND n.low <= s.tp) THEN 'tp' WHEN n.open_time >= s.due THEN 'time' WHEN n.open_time = n.last_time THEN 'eod' END AS why FROM s JOIN n ON n.symbol = s.symbol AND n.open_time > s.open_time), f AS (SELECT symbol, open_time, side, min(at) AS exit_time, arg_min(why, at) AS exit_reason, arg_min(CASE why WHEN 'sl' THEN sl WHEN 'tp' THEN tp ELSE c END, at) AS exit_price FROM h WHERE why IS NOT NULL GROUP BY 1, 2, 3)"
+_PLAIN = _b("1h") + ", n AS (SELECT *, row_number() OVER w AS rn, max(open_time) OVER (PARTITION BY symbol) AS last_time FROM b " + _W + "), s AS (SELECT *, CASE WHEN rn % 14 = 0 THEN 'long' ELSE 'short' END AS side, close * CASE WHEN rn % 14 = 0 THEN 0.965 ELSE 1.035 END AS sl, close * CASE WHEN rn % 14 = 0 THEN 1.065 ELSE 0.935 END AS tp, open_time + 86400000 AS due FROM n WHERE rn % 7 = 0), h AS (SELECT s.symbol, s.open_time, s.side, n.open_time AS seen, n.close AS c, s.sl, s.tp, CASE WHEN (s.side = 'long' AND n.low <= s.sl) OR (s.side = 'short' AND n.high >= s.sl) THEN 'sl' WHEN (s.side = 'long' AND n.high >= s.tp) OR (s.side = 'short' AND n.low <= s.tp) THEN 'tp' WHEN n.open_time >= s.due THEN 'time' WHEN n.open_time = n.last_time THEN 'eod' END AS why FROM s JOIN n ON n.symbol = s.symbol AND n.open_time > s.open_time), f AS (SELECT symbol, open_time, side, min(seen) AS exit_time, arg_min(why, seen) AS exit_reason, arg_min(CASE why WHEN 'sl' THEN sl WHEN 'tp' THEN tp ELSE c END, seen) AS exit_price FROM h WHERE why IS NOT NULL GROUP BY 1, 2, 3)"
 
 
 @query(_with(_PLAIN) + "SELECT s.symbol, s.open_time, s.side, coalesce(f.exit_time, s.open_time) AS exit_time, coalesce(f.exit_reason, 'eod') AS exit_reason, round(coalesce(f.exit_price, s.close), 6) AS exit_price FROM s LEFT JOIN f USING (symbol, open_time)")

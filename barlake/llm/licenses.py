@@ -13,6 +13,7 @@ change nothing else. Empty table: empty result. Columns of the input that clash
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -101,8 +102,10 @@ FORMS = [
 #: Names that are a license without further words.
 ALONE = ["gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "gfdl", "mpl-2", "apache-2", "cc0-1", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "odbl", "unlicense", "wtfpl", "eupl", "cddl"]
 #: What a text must hold, in lower case, to be scanned at all.
-GATE = ["licen", "spdx", "gpl", "gfdl", "mpl", "mozilla", "odbl", "wtfpl", "eupl", "cddl", "apache", "permission", "copyright", "cc0", "commons", "public domain", "all rights"]
+GATE = ["licen", "spdx", "gpl", "gfdl", "mozilla", "odbl", "wtfpl", "eupl", "cddl", "apache", "permission", "copyright", "cc0", "commons", "public domain", "all rights"]
 GATE_CC = rf"(?i)cc[{_SEP}]+(?:by|zero)"
+#: Where a word starts: many words hold these letters.
+GATE_MPL = r"(?i)(?<![0-9A-Za-z\x{80}-\x{10FFFF}])mpl"
 #: Rules on wording rather than names: (priority, keyword, confidence, label, expression).
 WORDING = [
     (50, "permission", 0.95, "mit", "permission is hereby granted free of charge to any person obtaining a copy"),
@@ -131,7 +134,7 @@ def gated(text: Column) -> Column:
     """Whether the text may hold anything that a rule or a base phrase finds."""
     low = F.lower(text)
     held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in GATE])
-    return held | (F.contains(low, F.lit("cc")) & text.rlike(GATE_CC))
+    return held | (F.contains(low, F.lit("cc")) & text.rlike(GATE_CC)) | (F.contains(low, F.lit("mpl")) & text.rlike(GATE_MPL))
 
 
 def _bounded(expression: str) -> str:
@@ -157,8 +160,9 @@ def _found(norm: Column, pattern: Column) -> Column:
 
 
 def _table(rows: list[tuple]) -> Column:
-    """The rules as one constant array, in their order."""
-    return F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(key).alias("keyword"), F.array(*map(F.lit, keys)).alias("keywords"), F.lit(sure).alias("sure"), F.lit(label).alias("label"), F.lit(_bounded(x)).alias("pattern")) for i, (_, key, keys, sure, label, x) in enumerate(rows)])
+    """The rules as one constant array, in their order; as JSON, since thousands of literals take the driver long."""
+    made = [{"rank": i, "keyword": key, "keywords": keys, "sure": sure, "label": label, "pattern": _bounded(x)} for i, (_, key, keys, sure, label, x) in enumerate(rows)]
+    return F.from_json(F.lit(json.dumps(made)), "array<struct<rank:int,keyword:string,keywords:array<string>,sure:double,label:string,pattern:string>>")
 
 
 def _let(value: Column, body) -> Column:

@@ -10,9 +10,13 @@ Steps, all Spark joins and groups:
    doc_id among them (partial aggregation, so a group of copies of any size is one row per task).
 2. A band that only one node has can be in no shared key: such bands go first, then keys are formed from what is left,
    and only keys of two nodes or more are written.
-3. In each table bucket all nodes are compared with two of them, the least and one drawn; buckets that still hold several
-   components after that, again with another member, until a turn finds no link. No pairs within a bucket are made.
-4. Candidates are verified on the full sets of the two texts; links are joined to components.
+3. In each table bucket all nodes are compared with the least of them: candidates, verified on the full sets of the two
+   texts; links are joined to components.
+4. Nodes of buckets whose other members still are of several components are open. All pairs of open nodes of different
+   components that are similar enough are found in an exact way: shingles are put in one order (first those that only one
+   component has, then rare before common), and two sets so similar share one of their first shingles, at places that
+   leave enough to come (prefix, length and position filters). What shares one is verified like the candidates before.
+   So every pair that meets in a table is decided, and no pairs within a bucket are made.
 
 Results for odd input: null or empty text has no set (n_shingles 0), is linked with nothing and kept. A row without an id
 is linked with nothing: component null, kept. Rows that repeat an id count as one document. Ties cannot matter: the
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import frames, words
@@ -92,10 +96,47 @@ def table_keys(live: DataFrame) -> DataFrame:
     return single.join(shared, "key", "left_semi").select("node", "key")
 
 
-def _against(members: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of each member of a bucket with the bucket's chosen ones (array ``with``)."""
-    pairs = members.join(chosen, "key").select("node", F.explode(F.array_distinct("with")).alias("other")).where("node <> other")
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def _against(members: DataFrame, least: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each member of a bucket with the bucket's least (``lo``)."""
+    return members.join(least, "key").where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def open_nodes(keys: DataFrame, least: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, c): the nodes that meet a node of another component c in a bucket of which neither is the least."""
+    rest = keys.join(least, "key").where("node <> lo").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    mixed = rest.groupBy("key").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo < c_hi").select("key")
+    return rest.join(mixed, "key", "left_semi").select("node", "c").distinct()
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [words.shingles(t, SIZE).view(np.int64) for t in b.column(3).to_pylist()]
+        ends = np.cumsum([0, *map(len, sets)])
+        flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["node", "c", "row", "size", "set"])
+
+
+def similar_candidates(opened: DataFrame, texts: DataFrame, scratch: frames.Scratch) -> DataFrame:
+    """Pairs (a, b), a < b, of ``opened`` (node, c) with different c: all that are similar enough, and few others.
+
+    ``PERCENT`` of the union is o shingles in common with 7 * o >= 3 * (sizes added up), as 75 / 175 is 3 / 7. The first
+    common shingle, at places p and q of sets of sizes m and n, leaves at most 1 + min(m - p, n - q) in common. A common
+    shingle belongs to two components, so that all others, which come first in the order, need no row but a count.
+    """
+    # ids may repeat: each text of an id is a set of its own
+    own = texts.withColumnRenamed("doc_id", "node").join(opened, "node").groupBy("node", "c", F.xxhash64("text").alias("row")).agg(F.first("text").alias("text"))
+    sets = scratch.write(own.mapInArrow(_shingled, "node long, c long, row long, size long, set array<long>"))
+    single = sets.select("node", "c", "row", "size", F.explode("set").alias("shingle"))
+    common = single.groupBy("shingle").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle", "n")
+    of_set = Window.partitionBy("node", "row")
+    placed = single.join(common, "shingle").withColumn("left", F.count("*").over(of_set)).withColumn("rank", F.row_number().over(of_set.orderBy("n", "shingle")))
+    placed = placed.withColumn("place", F.col("size") - F.col("left") + F.col("rank"))
+    # the larger set of a pair has 3/4 of its shingles in common, the smaller 6/7
+    first = scratch.write(placed.where("4 * (1 + size - place) >= 3 * size").select("shingle", "node", "c", "size", "place"))
+    large, small = (first.select("shingle", *[F.col(x).alias(f"{x}_{k}") for x in ("node", "c", "size", "place")]) for k in "ms")
+    small = small.where("7 * (1 + size_s - place_s) >= 6 * size_s")
+    fits = "c_m <> c_s AND (size_s, node_s) < (size_m, node_m) AND 4 * size_s >= 3 * size_m AND 7 * (1 + least(size_m - place_m, size_s - place_s)) >= 3 * (size_m + size_s)"
+    return large.join(small, "shingle").where(fits).select(F.least("node_m", "node_s").alias("a"), F.greatest("node_m", "node_s").alias("b")).distinct()
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,24 +179,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = scratch.write(table_keys(live))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    chosen = keys.groupBy("key").agg(F.min("node").alias("lo"), F.min_by("node", F.xxhash64("node", "key")).alias("any"))
-    pairs = scratch.write(_against(keys, chosen.select("key", F.array("lo", "any").alias("with"))))
+    least = scratch.write(keys.groupBy("key").agg(F.min("node").alias("lo")))
+    pairs = scratch.write(_against(keys, least))
     held = scratch.write(texts_of(pairs, texts))  # every node of a bucket is in a pair
     links = scratch.write(verify(pairs, held))
     groups = scratch.write(components(links, scratch))
 
-    turn = 0
-    while True:  # buckets that hold several components, each time with another of their members
-        turn += 1
-        known = keys.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("node", "c"), F.xxhash64("node", "key", F.lit(turn))).alias("one")).where("lo < hi").select("key", "one")
-        more = known.join(mixed, "key").where("c <> one.c").select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b")).distinct()
-        more = scratch.write(more.join(pairs, ["a", "b"], "left_anti"))
-        found = scratch.write(verify(more, held))
-        if found.isEmpty():
-            break
-        groups = scratch.write(components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found), scratch))
-        pairs = pairs.union(more)
+    opened = scratch.write(open_nodes(keys, least, groups))
+    more = scratch.write(similar_candidates(opened, held, scratch).join(pairs, ["a", "b"], "left_anti"))
+    found = scratch.write(verify(more, held))
+    groups = scratch.write(components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found), scratch))
 
     named = nodes.select("print", "node").join(groups, "node", "left").select("print", F.coalesce("component", "node").alias("component_"))
     out = signed.select("doc_id", "n_shingles", "print").join(named, "print", "left")

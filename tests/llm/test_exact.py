@@ -149,3 +149,19 @@ def test_very_long_texts(spark):
 def test_every_query_runs(spark):
     for name, query in queries.queries().items():
         assert query(spark, SF).count() > 0, name
+
+
+def test_pairs_in_a_family_just_under_the_bound(spark):
+    """20 pairs of similarity 0.76, spread over a family of texts that share a passage and are 0.74 similar: all are found, nothing else."""
+    passage = [f"p{i}" for i in range(174)]  # 170 shingles of 200
+    texts = {i: passage + [f"u{i}x{j}" for j in range(30)] for i in range(2000)}
+    pairs = {100 + 37 * k: 1000 + 41 * k for k in range(20)}
+    for a, b in pairs.items():
+        for i in (a, b):
+            texts[i] = passage + [f"both{a}x{j}" for j in range(3)] + [f"u{i}x{j}" for j in range(27)]
+    made = [(i, " ".join(t)) for i, t in texts.items()]
+    sets = {i: brute.shingle_set(t) for i, t in made}
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert all(alike(a, b) >= 0.75 for a, b in pairs.items()) and all(0.73 < alike(0, i) < 0.75 for i in range(1, 2000))
+    found = minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).where("NOT kept").collect()
+    assert {r.component_id: r.doc_id for r in found} == pairs

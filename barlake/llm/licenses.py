@@ -90,10 +90,12 @@ NAMES = {
     "ogl-3": (30, ["open government"], rf"open government {_L}(?: (?:version |v)?3(?: 0)?)?"),
     "proprietary": (10, ["proprietary", "commercial", "end user"], rf"(?:proprietary|commercial|end user) {_L}(?: agreement)?"),
 }
+#: Words that, before "under" and a name, state a license without that word.
+_GIVEN = "(?:released|distributed|published|available|provided|covered|shared|issued)(?: to you)?"
 #: Forms in which a name is stated: (what is added to the priority, keyword, confidence, form). ``{}`` is the name.
 FORMS = [
     (5, "licen", 0.95, rf"(?:re ?)?(?:licen[cs]ed|released|distributed|published|available|provided|covered|shared|issued)(?: to you)? under (?:the )?(?:terms of )?(?:the )?(?:terms of the )?{{}}(?: {_L})?"),
-    (5, "under", 0.85, r"(?:released|distributed|published|available|provided|covered|shared|issued) under (?:the )?(?:terms of )?(?:the )?{}"),
+    (5, "under", 0.85, rf"{_GIVEN} under (?:the )?(?:terms of )?(?:the )?{{}}"),
     (4, "spdx", 1.0, rf"spdx {_L} identifier {{}}(?: only| or later)?"),
     (3, "licen", 0.9, rf"(?:governed by|subject to|see|read|accept|under|per) (?:the )?(?:terms of )?(?:the )?{{}} {_L}"),
     (2, "licen", 0.8, rf"{_L}s? (?:is |are |type |name )?(?:the )?{{}}(?: {_L})?"),
@@ -102,8 +104,11 @@ FORMS = [
 #: Names that are a license without further words.
 ALONE = ["gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "gfdl", "mpl-2", "apache-2", "cc0-1", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "odbl", "unlicense", "wtfpl", "eupl", "cddl"]
 #: What a text must hold, in lower case, to be scanned at all.
-GATE = ["licen", "spdx", "gpl", "gfdl", "mozilla", "odbl", "wtfpl", "eupl", "cddl", "apache", "permission", "copyright", "cc0", "commons", "public domain", "all rights"]
+GATE = ["licen", "spdx", "gpl", "gfdl", "mozilla", "odbl", "wtfpl", "eupl", "cddl", "apache", "permission", "copyright", "cc0", "commons", "reserved"]
 GATE_CC = rf"(?i)cc[{_SEP}]+(?:by|zero)"
+#: Any separators may stand between words.
+GATE_DOMAIN = rf"(?i)public[{_SEP}]+domain"
+GATE_UNDER = rf"(?i){_GIVEN} under ".replace(" ", rf"[{_SEP}]+")
 #: Where a word starts: many words hold these letters.
 GATE_MPL = r"(?i)(?<![0-9A-Za-z\x{80}-\x{10FFFF}])mpl"
 #: Rules on wording rather than names: (priority, keyword, confidence, label, expression).
@@ -112,6 +117,7 @@ WORDING = [
     (50, "permission", 0.9, "isc", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
     (50, "licen", 0.9, "bsd", "redistribution and use in source and binary forms with or without modification"),
     (45, "copyright", 0.6, "copyright", "(?:copyright|all rights reserved)(?: c)? (?:19|20)[0-9]{2}"),
+    (45, "all rights", 0.6, "copyright", "all rights reserved(?: c)? (?:19|20)[0-9]{2}"),
     (15, "public domain", 0.7, "public-domain", "(?:dedicated to|in|into) the public domain"),
     (5, "licen", 0.4, "unknown", rf"(?:licen[cs]ed under|under the (?:terms|following) {_L}|{_L} agreement|terms of (?:the|this) {_L})"),
 ]
@@ -134,6 +140,7 @@ def gated(text: Column) -> Column:
     """Whether the text may hold anything that a rule or a base phrase finds."""
     low = F.lower(text)
     held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in GATE])
+    held = held | (F.contains(low, F.lit("public")) & text.rlike(GATE_DOMAIN)) | (F.contains(low, F.lit("under")) & text.rlike(GATE_UNDER))
     return held | (F.contains(low, F.lit("cc")) & text.rlike(GATE_CC)) | (F.contains(low, F.lit("mpl")) & text.rlike(GATE_MPL))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -165,3 +167,45 @@ def test_pairs_in_a_family_just_under_the_bound(spark):
     assert all(alike(a, b) >= 0.75 for a, b in pairs.items()) and all(0.73 < alike(0, i) < 0.75 for i in range(1, 2000))
     found = minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).where("NOT kept").collect()
     assert {r.component_id: r.doc_id for r in found} == pairs
+
+
+def _example(tree, draw):
+    """A text that the parsed regular expression fits, optional and alternative parts drawn."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, value = arg[0]
+            out += chr(value[0] if str(kind) == "RANGE" else value)
+        elif name == "BRANCH":
+            out += _example(draw.choice(arg[1]), draw)
+        elif name == "SUBPATTERN":
+            out += _example(arg[3], draw)
+        elif name == "MAX_REPEAT":
+            out += "".join(_example(arg[2], draw) for _ in range(draw.choice([arg[0], min(arg[1], max(arg[0], 1))])))
+        else:
+            raise AssertionError(name)
+    return out
+
+
+def test_license_gate(spark):
+    """Examples of every rule that holds its keywords pass the gate, whatever separates the words; names after 'under' are found."""
+    draw = random.Random(1)
+    made = []
+    for _, key, keys, _, label, x in licenses.rules():
+        for _ in range(6):
+            plain = _example(re._parser.parse(x), draw)
+            if key in plain and any(k in plain for k in keys):
+                made.append((label, "".join(draw.choice([" ", "-", "\n ", ", "]) if c == " " else c for c in plain)))
+    assert {m[0] for m in made} >= set(licenses.NAMES)
+    lost = spark.createDataFrame(made, "label string, text string").where(~licenses.gated(F.col("text"))).collect()
+    assert not lost, lost[:5]
+    texts = {
+        "Released under MIT": "mit", "published under BSD-3-Clause": "bsd-3-clause", "available under EPL 2.0": "epl-2", "distributed under zlib": "zlib", "provided under Boost Software 1.0": "boost-1",
+        "given into the public-domain": "public-domain", "given into the public\ndomain": "public-domain", "All rights reserved 2020": "copyright",
+    }
+    found = {r.doc_id: r.labels.split(",") for r in licenses.digest(spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string")).collect()}
+    for t, label in texts.items():
+        assert label in found[t], (t, found[t])

@@ -24,7 +24,8 @@ from . import frames
 
 #: Fixed values: (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-DAMPING, STEPS, RATIO = 0.85, 8, 4.0
+#: Steps end when no rank changes by more than ``TOLERANCE`` of itself.
+DAMPING, TOLERANCE, RATIO = 0.85, 1e-4, 4.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,16 +57,24 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.union(near).where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: frames.Scratch, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, trust, distrust) after ``steps`` steps. ``seeds``: (host, trust, distrust), each summing to 1 or 0."""
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: frames.Scratch, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust). ``seeds``: (host, trust, distrust), each summing to 1 or 0.
+
+    Ranks only grow from step to step, by the share that has come one link further; a host reached for the first time
+    changes by all of its rank. So the end means that every host with a path from a seed is reached, at any distance.
+    """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     moves = scratch.write(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
     start = scratch.write(seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) AS (kind, rank)")).where("rank > 0"))
-    rank = start
-    for _ in range(steps):
-        flow = moves.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = scratch.write(flow.union(start.select("kind", "host", F.col("rank") * (1 - damping))).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+    base = start.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"), F.lit(0.0).alias("before"))
+    rank = base
+    while True:
+        flow = moves.join(rank.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"), F.lit(0.0).alias("before"))
+        now = flow.union(base).union(rank.select("kind", "host", F.lit(0.0), "rank"))
+        rank = scratch.write(now.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")))
+        if (rank.where("rank > 0").agg(F.max(F.abs(F.col("rank") - F.col("before")) / F.col("rank"))).first()[0] or 0.0) <= tolerance:
+            break
     total = F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))), F.lit(0.0))
     return rank.groupBy("host").agg(total[0].alias("trust"), total[1].alias("distrust"))
 

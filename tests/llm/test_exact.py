@@ -209,3 +209,10 @@ def test_license_gate(spark):
     found = {r.doc_id: r.labels.split(",") for r in licenses.digest(spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string")).collect()}
     for t, label in texts.items():
         assert label in found[t], (t, found[t])
+
+
+def test_long_chain_of_hosts(spark):
+    """A host 30 links away from the only blocked one, and from no allowed one, is blocked as well."""
+    chain = [(i, f"http://h{i}.test/", f'<a href="http://h{i + 1}.test/">') for i in range(30)] + [(30, "http://h30.test/", '<a href="http://bad.org/">'), (31, "http://bad.org/es/1", ""), (32, "http://alone.test/", "")]
+    found = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(chain, "page_id long, url string, html string")).collect()}
+    assert all(found[i].verdict == "block" and found[i].distrust > 0 for i in range(32)) and found[32].verdict == "allow"

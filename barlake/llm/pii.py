@@ -31,7 +31,7 @@ BASE = {
 EXTRA = {
     "iban": (r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.3, r"iban|bank|konto|cuenta|compte|account", 0.3),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.4, r"ssn|social security|sozialversicherung|tax id", 0.4),
-    "secret": (r"[A-Za-z0-9_/+-]{20}", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{20,128}+(?![A-Za-z0-9_/+-])", 0.2, r"token|secret|passw|api.?key|credential|bearer|private.?key", 0.6),
+    "secret": (r"[A-Za-z0-9_/+-]{20}", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{20,}+(?![A-Za-z0-9_/+-])", 0.2, r"token|secret|passw|api.?key|credential|bearer|private.?key", 0.6),
     "id": (r"[0-9]{8}", r"(?<![0-9A-Za-z.+-])[0-9]{8,11}(?![0-9A-Za-z-])", 0.2, r"passport|account n|customer n|insurance n|national id|driver.?s? licen", 0.6),
 }
 KINDS = [*BASE, *EXTRA]

@@ -216,3 +216,11 @@ def test_long_chain_of_hosts(spark):
     chain = [(i, f"http://h{i}.test/", f'<a href="http://h{i + 1}.test/">') for i in range(30)] + [(30, "http://h30.test/", '<a href="http://bad.org/">'), (31, "http://bad.org/es/1", ""), (32, "http://alone.test/", "")]
     found = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(chain, "page_id long, url string, html string")).collect()}
     assert all(found[i].verdict == "block" and found[i].distrust > 0 for i in range(32)) and found[32].verdict == "allow"
+
+
+def test_long_secrets(spark):
+    """A run of any length is one secret."""
+    made = [(n, "the api token is " + "aB3_" * n + " .") for n in (8, 32, 33, 5000)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.digest(docs).collect()} == {n: f"secret:17:{17 + 4 * n}" for n, _ in made}
+    assert {r.text for r in pii.redact(pii.find_pii(docs)).collect()} == {"the api token is [SECRET] ."}

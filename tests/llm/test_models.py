@@ -80,3 +80,24 @@ def test_pipeline_stages(spark):
     assert 0 < mixed.count() <= clean.count() and mixed.columns == docs.columns
     assert stages["packing"](spark, mixed, "").select("doc_id").distinct().count() == mixed.count()
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").agg(F.sum("length")).first()[0] > 0
+
+
+def test_mixing_topics(spark):
+    """The table's topics are used; without any, texts with like words share one; all three marginals are met; no match is an error."""
+    made = [(i, "w " * (1 + i % 50), ["web", "book"][i % 2], ["en", "de"][i // 2 % 2], ["news", "law", None][i // 4 % 3]) for i in range(600)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string, lang string, topic string")
+    targets = {"source": {"web": 0.5, "book": 0.5}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"news": 0.7, "law": 0.3}}
+    rows = mixing.mix(docs, targets=targets, keep=0.3).collect()
+    assert {r.row_id: (r.topic, r.n_tokens) for r in rows} == {m[0]: (m[4], len(m[1].split())) for m in made}
+    total = sum(r.n_tokens * r.rate for r in rows)
+    for c, shares in targets.items():
+        for value, share in shares.items():
+            assert abs(sum(r.n_tokens * r.rate for r in rows if r[c] == value) / total - share) < 0.01, (c, value)
+    with pytest.raises(ValueError, match="topic"):
+        mixing.mix(docs, targets={"topic": {"sports": 1.0}})
+    draw = np.random.default_rng(2)
+    about = [(i, " ".join(f"s{i % 4}v{j}" for j in draw.integers(0, 60, 40)), "web", "en") for i in range(200)]
+    topics = defaultdict(set)
+    for r in mixing.mix(spark.createDataFrame(about, "doc_id long, text string, source string, lang string")).collect():
+        topics[r.topic].add(r.row_id % 4)
+    assert all(len(v) == 1 for v in topics.values())

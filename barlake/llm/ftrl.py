@@ -8,8 +8,8 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, dims: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, passes: int = 3, seed: int = 5) -> np.ndarray:
-    """Weights (float32), most of them zero; the last is the bias, which has no L1."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, dims: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, passes: int = 3, seed: int = 5, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights (float32), most of them zero; the last is the bias, which has no L1. ``weight``: what each row's loss counts."""
     z, n, w = (np.zeros(dims + 1) for _ in range(3))
     bias = np.array([dims])
     draw = np.random.default_rng(seed)
@@ -20,6 +20,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, dims: int, alpha: float = 0.
             zx, nx = z[x], n[x]
             wx = np.where(np.abs(zx) <= limit, 0.0, (np.sign(zx) * limit - zx) / ((beta + np.sqrt(nx)) / alpha + l2))
             g = 1 / (1 + np.exp(-np.clip(wx.sum(), -35, 35))) - labels[i]
+            if weight is not None:
+                g *= weight[i]
             z[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / alpha * wx
             n[x] = nx + g * g
             w[x] = wx

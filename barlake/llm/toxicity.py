@@ -2,7 +2,7 @@
 
 Features of a text: its distinct lower-cased words (letters and digits, other characters cut off), pairs of neighbours, and
 pairs with one word between, hashed into ``DIMS``. Training takes at most ``PER_CLASS`` labelled documents of each
-class, none of them held out; their features are made on the executors, and the fitted weights (``DIMS`` + 1 floats,
+class, none of them held out, and weights them back to the classes' shares among all labels; their features are made on the executors, and the fitted weights (``DIMS`` + 1 floats,
 4 MB) are sent to the tasks that score every document.
 
 Null or empty text: the score of the bias alone. No labels at all, or of one class only: the score is that of the label
@@ -56,7 +56,9 @@ def train(docs: DataFrame, marks: DataFrame, column: str = "toxic", per_class: t
         share = (y.sum() + 1) / (len(y) + 2)
         w[DIMS] = np.log(share / (1 - share))
         return w
-    return ftrl.fit([np.frombuffer(r.found, "<i4").astype(np.int64) for r in rows], y, DIMS, alpha=ALPHA, l1=L1, l2=L2, passes=PASSES)
+    # each class counts as it does among all labels, whatever the bounds took of it; 1 on average, so that L1 keeps its measure
+    weight = np.array(labels.sampling(marks, column, per_class))[y.astype(int)]
+    return ftrl.fit([np.frombuffer(r.found, "<i4").astype(np.int64) for r in rows], y, DIMS, alpha=ALPHA, l1=L1, l2=L2, passes=PASSES, weight=weight / weight.mean())
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -101,3 +101,12 @@ def test_mixing_topics(spark):
     for r in mixing.mix(spark.createDataFrame(about, "doc_id long, text string, source string, lang string")).collect():
         topics[r.topic].add(r.row_id % 4)
     assert all(len(v) == 1 for v in topics.values())
+
+
+def test_toxicity_keeps_the_class_shares(spark):
+    """A text that tells nothing scores the share of label 1 among all labels, though the bounds took as many of each."""
+    docs = spark.createDataFrame([(i, "the very same words") for i in range(2000)], "doc_id long, text string")
+    marks = docs.selectExpr("doc_id", "CAST(doc_id % 10 = 0 AS INT) AS toxic")
+    weights = toxicity.train(docs, marks, per_class=(100, 100))
+    score = 1 / (1 + np.exp(-(weights[toxicity.features("the very same words")].sum() + weights[-1])))
+    assert 0.03 < score < 0.25

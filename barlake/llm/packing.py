@@ -14,9 +14,11 @@ again. Null or empty text: its one end token. Null ids are kept. Repeated rows a
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,16 @@ from pyspark.sql import functions as F
 from . import frames
 
 CAPACITY, LEAST_PART, END = 2048, 32, 1
-#: Distinct strings kept in a worker's token table before it is emptied; only speed depends on it.
-CACHE = 300_000
-_tables: dict[str, tuple] = {}
+#: Distinct runs kept in a worker's token table (about 200 MB); beyond it the half not used for longest goes. Only speed
+#: depends on it.
+CACHE = 1_000_000
+#: How the vocabulary cuts lower-cased text: fixed value.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for ASCII and Latin letters, whose case and classes Python and the tokenizer see alike; other text is left to it.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+_RUN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+_OTHER = re.compile(r"[^\x00-\u012f\u0131-\u024f]")
+_tables: dict[str, Tokens] = {}
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 
 
@@ -39,24 +48,89 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
-    """Ids of each text by the tokenizer in ``path``, without special tokens, then ``END``.
+def _plain(text: str) -> bool:
+    """Whether the text is cut here as by the tokenizer: Latin letters only, and nothing that may be a special token."""
+    return "<|" not in text and (text.isascii() or not _OTHER.search(text))
+
+
+class Tokens:
+    """Ids of texts by the tokenizer in a file. It looks at each run of characters by itself (a word, a digit, symbols), so
+    that runs seen before are looked up: ``index`` has a run's number, ``starts`` and ``lengths`` where its ids stand in
+    ``flat``. Tokenizers that split texts otherwise see whole texts."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.by_run = json.dumps(SPLIT)[1:-1] in json.dumps(told["pre_tokenizer"]) and told["model"].get("end_of_word_suffix") == "</w>"
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
+        self.index: dict[str, int] = {}
+        self.starts, self.lengths, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat, self.now = np.zeros(0, "<u4"), 0
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, runs: list[str]) -> None:
+        """Number the new ``runs``. Plain ones are encoded many at a time: the last token of each closes a word."""
+        plain, other = [r for r in runs if _plain(r)], [r for r in runs if not _plain(r)]
+        ids = np.array([i for e in self._encoded([" ".join(plain[k : k + 200]) for k in range(0, len(plain), 200)]) for i in e], "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
+        if len(ends) != len(plain):  # a run of several words: one by one
+            made = self._encoded(plain)
+            ids, ends = np.array([i for e in made for i in e], "<u4"), np.cumsum([len(e) for e in made])
+        more = self._encoded(other)
+        lengths = np.concatenate([np.diff(ends, prepend=0), np.array([len(e) for e in more], np.int64)]).astype(np.int64)
+        at = len(self.flat)
+        self.flat = np.concatenate([self.flat, ids, np.array([i for e in more for i in e], "<u4")])
+        self.index.update(zip(plain + other, range(len(self.starts), len(self.starts) + len(lengths)), strict=True))
+        self.starts = np.concatenate([self.starts, at + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.used = np.concatenate([self.used, np.full(len(lengths), self.now)])
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        n = self.lengths[numbers]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.starts[numbers] - ends + n, n) + np.arange(ends[-1])] if len(n) else self.flat[:0]
+
+    def _forget(self) -> None:
+        """Keep the half of the runs that was used last."""
+        keep = np.sort(np.argsort(self.used, kind="stable")[len(self.used) // 2 :])
+        names = list(self.index)  # in the order of their numbers
+        self.index = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.flat, self.lengths, self.used = self._ids(keep), self.lengths[keep], self.used[keep]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, without special tokens, then ``END``."""
+        if not self.by_run:
+            return [np.array([*e, END], "<u4") for e in self._encoded(texts)]
+        self.now += 1
+        if len(self.index) > CACHE:
+            self._forget()
+        # white space is dropped and never joined across, so that parts between it can be told apart
+        cut_ = [_RUN.findall(t.lower()) if _plain(t) else [r for p in t.encode().split() for q in [p.decode()] for r in (_RUN.findall(q.lower()) if _plain(q) else [q])] for t in texts]
+        get = self.index.get
+        numbers = [list(map(get, c)) for c in cut_]
+        new = dict.fromkeys(r for c, n in zip(cut_, numbers, strict=True) if None in n for r, i in zip(c, n, strict=True) if i is None)
+        if new:
+            self._learn(list(new))
+            get = self.index.__getitem__
+            numbers = [list(map(get, c)) if None in n else n for c, n in zip(cut_, numbers, strict=True)]
+        arrays = [np.array(n, np.int64) for n in numbers]
+        for a in arrays:
+            self.used[a] = self.now
+        return [np.append(self._ids(a), np.uint32(END)).astype("<u4") for a in arrays]
 
-    The tokenizer drops white space and never joins across it, so that a text's ids are those of its parts between ASCII
-    white space; parts seen before are looked up.
-    """
-    from tokenizers import Tokenizer
 
+def token_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
+    """Ids of each text by the tokenizer in ``path``, without special tokens, then ``END``."""
     if path not in _tables:
-        _tables[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = _tables[path]
-    parts = [(t or "").encode("utf-8", "replace").split() for t in texts]
-    if len(known) > CACHE:
-        known.clear()
-    new = list({p for ps in parts for p in ps if p not in known})
-    for p, e in zip(new, tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-        known[p] = e.ids
-    return [np.array([*chain.from_iterable(map(known.__getitem__, ps)), END], dtype="<u4") for ps in parts]
+        _tables[path] = Tokens(path)
+    return _tables[path].of([t or "" for t in texts])
 
 
 def cut(total: int, capacity: int = CAPACITY) -> list[int]:

@@ -26,19 +26,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b); component is the least node reachable.
 
-    Each round is written to the shared folder. It ends when a round leaves the edges as they were: every node then
-    hangs on the least node of its component. Empty edges give an empty table.
+    Each round is written to the shared folder, the round before deleted. It ends when a round leaves the edges as they
+    were: every node then hangs on the least node of its component. Empty edges give an empty table.
     """
     now = scratch.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mark = _mark(now)
-    while True:
-        now = scratch.write(_star(_star(now, large=True), large=False))
-        before, mark = mark, _mark(now)
+    while mark[0]:
+        old, before = now, mark
+        now = scratch.write(_star(_star(old, large=True), large=False))
+        mark = _mark(now)
+        scratch.free(old)
         if before == mark:
-            return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+            break
+    return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
 
 
 def _mark(edges: DataFrame) -> tuple:
-    """A few numbers that tell whether the edges changed."""
+    """A few numbers that tell whether the edges changed; the first is 0 if there are none."""
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
     return tuple(row)

@@ -26,13 +26,23 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self._paths: dict[int, str] = {}
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it as read back."""
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = path
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        """Delete ``tables`` (as returned by ``write``): nothing may read them any more."""
+        for path in (self._paths.pop(id(t), None) for t in tables):
+            if path:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:

@@ -127,6 +127,30 @@ def test_packing(docs, rows, none):
     assert packing.pack(none).count() == 0
 
 
+def test_tokens_of_mixed_scripts(spark):
+    """Ids by runs are those of whole texts: contractions, cases, combining marks, scripts, digits, odd spaces, special tokens; also after the table was halved."""
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    whole, draw = Tokenizer.from_file(path), random.Random(4)
+    pool = ["it's", "DON'T", "we've", "l'été", "ÀÉÎ", "straße", "ΣΑΣ", "σας", "İstanbul", "ı", "e\u0301", "日本語", "1234", "²½", "a1b2", "--'s", "'", "<|startoftext|>", "<|", "😀", "\x85", "\x1c", "\x00", "\u200b", "ǅ", "ﬁ", "\xa0", "\u3000", "x\xady", "I'LL", "word", "wörter"]
+    texts = ["".join(draw.choice(pool) + draw.choice(["", " ", "\n", "\t"]) for _ in range(30)) for _ in range(600)] + ["", None, " \n"]
+    tokens = packing.Tokens(path)
+    expected = [[*whole.encode(t or "", add_special_tokens=False).ids, packing.END] for t in texts]
+    for part in (slice(0, 300), slice(300, None), slice(0, 50)):
+        assert [a.tolist() for a in tokens.of([t or "" for t in texts[part]])] == expected[part]
+        tokens._forget()
+
+
+def test_rows_that_repeat_an_id(spark):
+    """An id's texts count as one document: it joins what is near to any of them."""
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    made = [(5, a), (5, b), (6, b + " more"), (7, a + " more"), (5, a), (8, "something else that stands alone here"), (9, None), (None, a)]
+    for turn in (made, made[::-1]):
+        found = minhash.near_duplicates(spark.createDataFrame(turn, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in found) == sorted([(5, 5, True)] * 3 + [(6, 5, False), (7, 5, False), (8, 8, True), (9, 9, True), (0, 0, True)])
+
+
 def test_jpeg(docs, rows, none):
     plain = Counter()
     for i, t in rows:

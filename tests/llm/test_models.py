@@ -64,6 +64,40 @@ def test_mixing(spark):
     assert kept == docs.columns
 
 
+def test_raking_against_a_plain_version(spark):
+    """Weights by cell, the scale and the draw's probabilities as plain loops over the cells have them; tempered targets."""
+    made = [(i, "w " * (1 + i * i % 97), f"s{i % 5 * i % 4}", ["en", "de", None][i % 3], ["a", "b"][i // 7 % 2]) for i in range(400)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string, lang string, topic string")
+    rows = mixing.mix(docs, keep=0.6).collect()
+    cells = defaultdict(int)
+    for m in made:
+        cells[m[2:]] += len(m[1].split())
+    keys, tokens = list(cells), np.array(list(cells.values()), float)
+    weight = tokens.copy()
+    for _ in range(60):
+        for k, power in enumerate((0.7, 0.9, 0.8)):
+            values = {v: [i for i, key in enumerate(keys) if key[k] == v] for v in {key[k] for key in keys}}
+            goal = {v: tokens[at].sum() ** power for v, at in values.items()}
+            for v, at in values.items():
+                weight[at] *= goal[v] / sum(goal.values()) / weight[at].sum()
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (tokens * np.minimum(1, mid * weight / tokens)).sum() < 0.6 * tokens.sum() else (low, mid)
+    expected = dict(zip(keys, np.minimum(1, low * weight / tokens), strict=True))
+    assert len(rows) == len(made)
+    assert all(abs(r.probability - expected[r.source, r.lang, r.topic]) < 0.005 for r in rows)
+
+
+def test_mixing_judges_rows_that_repeat_an_id_by_themselves(spark):
+    made = [(i % 50, "some words " * (1 + i), ["web", "book"][i % 2], "en", "x", "clash") for i in range(200)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string, lang string, n_tokens string, own string")
+    targets = {"source": {"web": 1.0}}
+    kept = mixing.sample(docs, targets=targets, keep=0.9)
+    assert kept.columns == docs.columns
+    assert {r.source for r in kept.collect()} == {"web"} and {r.n_tokens for r in kept.collect()} == {"x"}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)

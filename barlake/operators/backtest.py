@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlake.functions.walk import walk
 from barlake.functions.windows import by_time, ewm, rolling
 
 from .align import asof
@@ -98,51 +99,86 @@ def exits(signals_: DataFrame, bars: DataFrame, cell: int = 64) -> DataFrame:
     return s.select(*keys).join(first.select("symbol", "open_time", "x"), ["symbol", "open_time"], "left").join(last, ["symbol", "last_rn"]).withColumn("x", F.coalesce("x", "e")).select(*keys[:-1], "x.*")
 
 
+def _taking(fee: float, slip: float):
+    """Steps over a symbol's signals: (taken, cash before, cash after). State: the first row free again, and the cash.
+
+    A trade that ends on a bar frees it, unless it was held to the end of the data. Without cash no trade opens.
+    """
+
+    def step(state, at: int, until: int, reason: str, side: str, entry: float, price: float) -> tuple:
+        free, cash = state
+        if at < free or cash <= 0:
+            return state, False, cash, cash
+        if side == "long":
+            after = cash / (entry * (1 + slip) * (1 + fee)) * price * (1 - slip) * (1 - fee)
+        else:
+            sold = entry * (1 - slip)
+            after = cash + cash / (sold * (1 + fee)) * (sold * (1 - fee) - price * (1 + slip) * (1 + fee))
+        return (until + (reason == "eod"), after), True, cash, after
+
+    return step
+
+
 def trades(exited: DataFrame, capital: float = 10_000.0, fee: float = 0.001, bps: float = 5.0) -> DataFrame:
     """Trades that do not overlap, in order, each with all cash: sizes, fills, profit and cash after.
 
-    A signal is taken if no trade is open at it (one that ends on its bar is over). Only a symbol's signals are gathered.
+    A signal is taken if no trade is open at it (one that ends on its bar is over, one held to the end of the data is not)
+    and cash is left: a short can lose more than all.
     """
     slip = bps / 1e4
-    row = F.struct("s_rn", "open_time", "side", "entry", "stop_loss", "take_profit", "exit_time", "exit_price", "exit_reason", "exit_rn")
-    each = exited.groupBy("symbol").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    kind = exited.select(row.alias("r")).schema["r"].dataType.simpleString()
-    chain = F.aggregate("all", F.struct(F.lit(0).alias("free"), F.array().cast(f"array<{kind}>").alias("kept")), lambda a, t: F.when(t["s_rn"] >= a["free"], F.struct(t["exit_rn"].alias("free"), F.concat(a["kept"], F.array(t)).alias("kept"))).otherwise(a), lambda a: a["kept"])
-    flat = each.select("symbol", F.posexplode(chain).alias("n", "t")).select("symbol", "n", "t.*")
+    known = exited.withColumns({c: F.col(c).cast("long") for c in ("s_rn", "exit_rn")})
+    walked = walk(known, "s_rn", ["s_rn", "exit_rn", "exit_reason", "side", "entry", "exit_price"], lambda: (0, capital), _taking(fee, slip), {"taken": "boolean", "cash_before": "double", "cash_after": "double"})
     long_ = F.col("side") == "long"
     fin = F.when(long_, F.col("entry") * (1 + slip)).otherwise(F.col("entry") * (1 - slip))
     fout = F.when(long_, F.col("exit_price") * (1 - slip)).otherwise(F.col("exit_price") * (1 + slip))
-    flat = flat.withColumns({"entry_price": fin, "exit_fill": fout})
-    e, x = F.col("entry_price"), F.col("exit_fill")
-    factor = F.when(long_, x * (1 - fee) / (e * (1 + fee))).otherwise(1 + (e * (1 - fee) - x * (1 + fee)) / (e * (1 + fee)))
-    w = Window.partitionBy("symbol").orderBy("n")
-    flat = flat.withColumn("cash_after", capital * F.exp(F.sum(F.ln(factor)).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    before = F.coalesce(F.lag("cash_after").over(w), F.lit(capital))
-    return flat.withColumn("size", before / (e * (1 + fee))).withColumn("pnl", F.col("cash_after") - before).withColumn("pnl_pct", F.col("pnl") / (F.col("size") * e) * 100).select("symbol", "side", F.col("open_time").alias("entry_time"), "exit_time", "entry_price", F.col("exit_fill").alias("exit_price"), "size", "pnl", "pnl_pct", "stop_loss", "take_profit", "exit_reason", "cash_after")
+    out = walked.where("taken").withColumns({"entry_price": fin, "fill": fout})
+    out = out.withColumn("size", F.col("cash_before") / (F.col("entry_price") * (1 + fee))).withColumn("pnl", F.col("cash_after") - F.col("cash_before"))
+    return out.select("symbol", "side", F.col("open_time").alias("entry_time"), "exit_time", "entry_price", F.col("fill").alias("exit_price"), "size", "pnl", (F.col("pnl") / (F.col("size") * F.col("entry_price")) * 100).alias("pnl_pct"), "stop_loss", "take_profit", "exit_reason", "cash_after")
 
 
-def equity(trades_: DataFrame, bars: DataFrame, capital: float = 10_000.0) -> DataFrame:
-    """(symbol, open_time, equity): cash, or the open trade marked at the close."""
+def equity(trades_: DataFrame, bars: DataFrame, capital: float = 10_000.0, fee: float = 0.001) -> DataFrame:
+    """(symbol, open_time, equity): cash, or the open trade marked at the close (a short with its entry's fee paid)."""
     C = F.col("close")
     t = trades_.select("symbol", F.col("entry_time").alias("open_time"), "side", F.col("entry_time").alias("in_"), F.col("exit_time").alias("out_"), "size", "entry_price", "cash_after", (F.col("cash_after") - F.col("pnl")).alias("cash_before"))
     held = asof(bars.select("symbol", "open_time", "close"), t)
     open_ = (F.col("open_time") >= F.col("in_")) & (F.col("open_time") < F.col("out_"))
-    mark = F.when(F.col("side") == "long", F.col("size") * C).otherwise(F.col("cash_before") + F.col("size") * (F.col("entry_price") - C))
+    mark = F.when(F.col("side") == "long", F.col("size") * C).otherwise(F.col("cash_before") + F.col("size") * (F.col("entry_price") * (1 - fee) - C))
     return held.select("symbol", "open_time", F.when(F.col("in_").isNull(), capital).when(open_, mark).otherwise(F.col("cash_after")).alias("equity"))
 
 
 def metrics(trades_: DataFrame, by: str = "symbol", capital: float = 10_000.0) -> DataFrame:
     """Counts, win rate, profit factor, sums and means of each ``by``; trades without profit count as lost."""
     win = F.col("pnl") > 0
-    gain, loss = F.coalesce(F.sum(F.when(win, F.col("pnl"))), F.lit(0.0)), -F.coalesce(F.sum(F.when(~win, F.col("pnl"))), F.lit(0.0))
+
+    def mean(x: str, of: Column) -> Column:
+        return F.coalesce(F.avg(F.when(of, F.col(x))), F.lit(0.0))
+
+    gain, loss = F.coalesce(F.sum(F.when(win, F.col("pnl"))), F.lit(0.0)), F.abs(F.coalesce(F.sum(F.when(~win, F.col("pnl"))), F.lit(0.0)))
     out = trades_.groupBy(by).agg(
-        F.count("*").alias("n_trades"), F.count_if(win).alias("winning_trades"), F.count_if(~win).alias("losing_trades"), F.sum("pnl").alias("total_pnl"), F.avg("pnl").alias("avg_trade_pnl"),
-        F.coalesce(F.avg(F.when(win, F.col("pnl"))), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(F.when(~win, F.col("pnl"))), F.lit(0.0)).alias("avg_loss"), gain.alias("gross_profit"), loss.alias("gross_loss_abs"),
+        F.lit(capital).alias("initial_capital"), F.count("*").alias("n_trades"), F.count_if(win).alias("winning_trades"), F.count_if(~win).alias("losing_trades"), F.sum("pnl").alias("total_pnl"), F.avg("pnl").alias("avg_trade_pnl"),
+        mean("pnl", win).alias("avg_win"), mean("pnl", ~win).alias("avg_loss"), mean("pnl_pct", win).alias("avg_return_win_pct"), mean("pnl_pct", ~win).alias("avg_return_loss_pct"), gain.alias("gross_profit"), loss.alias("gross_loss_abs"),
     )
     factor = F.when(F.col("gross_loss_abs") > 1e-12, F.col("gross_profit") / F.col("gross_loss_abs")).when(F.col("gross_profit") > 0, F.lit(float("inf"))).otherwise(0.0)
     return out.withColumns({"win_rate": F.col("winning_trades") / F.col("n_trades"), "profit_factor": factor, "final_equity": capital + F.col("total_pnl"), "total_return_pct": F.col("total_pnl") / capital * 100})
 
 
+def loser_report(trades_: DataFrame, by: str = "symbol") -> DataFrame:
+    """How the trades of each ``by`` went and ended: shares by exit among losers and winners, the losers' mean and median,
+    and the mean distance of their stops in % of the entry."""
+    win = F.col("pnl") > 0
+
+    def share(reason: str, of: Column) -> Column:
+        return F.coalesce(F.try_divide(F.count_if(of & (F.col("exit_reason") == reason)), F.count_if(of)), F.lit(0.0))
+
+    risk = F.when(~win & (F.col("exit_reason") == "sl"), F.abs(F.try_divide(F.col("entry_price") - F.col("stop_loss"), F.col("entry_price"))) * 100)
+    lost = F.when(~win, F.col("pnl"))
+    return trades_.groupBy(by).agg(
+        F.count("*").alias("n_total"), F.count_if(win).alias("n_winners"), F.count_if(~win).alias("n_losers"), (F.count_if(win) / F.count("*")).alias("win_rate"),
+        share("sl", ~win).alias("sl_share_among_losers"), share("tp", ~win).alias("tp_share_among_losers"), share("time", ~win).alias("time_share_among_losers"), share("tp", win).alias("tp_share_among_winners"),
+        F.coalesce(F.avg(lost), F.lit(0.0)).alias("avg_loser_pnl"), F.coalesce(F.median(lost), F.lit(0.0)).alias("median_loser_pnl"), F.avg(risk).alias("mean_sl_risk_pct_when_sl"),
+    )
+
+
 def exit_shares(trades_: DataFrame) -> DataFrame:
     """How trades ended, for all, winners and losers."""
     win = F.col("pnl") > 0

@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.functions.supertrend import supertrend as supertrend_of
+from barlake.functions.supertrend import feature_step, strategy_step
 from barlake.functions.windows import back, by_time, ewm, rolling, so_far
-from barlake.shipping import ship
+from barlake.functions.walk import walk
 
 
 def previous(x: Column | str, k: int = 1) -> Column:
@@ -139,9 +139,23 @@ def volume_poc(bars: DataFrame, window: int = 96, bins: int = 24) -> DataFrame:
 
 
 def supertrend(bars: DataFrame, period: int = 10, times: float = 3.0) -> DataFrame:
-    """(symbol, open_time, supertrend, supertrend_dir); a group is one symbol's bars."""
-    ship(bars.sparkSession)
-    return bars.select("symbol", "open_time", "high", "low", "close").groupBy("symbol").applyInPandas(lambda p: supertrend_of(p, period, times), "symbol string, open_time long, supertrend double, supertrend_dir long")
+    """(symbol, open_time, supertrend, supertrend_dir), as the strategy uses it."""
+    rows = bars.select("symbol", "open_time", "high", "low", "close")
+    return walk(rows, "open_time", ["high", "low", "close"], lambda: None, strategy_step(period, times), {"supertrend": "double", "supertrend_dir": "long"}).drop("high", "low", "close")
+
+
+def feature_supertrend(bars: DataFrame, period: int = 10, times: float = 3.0, intended: bool = False) -> DataFrame:
+    """(symbol, open_time, supertrend, supertrend_direction), as a feature; see ``feature_step``."""
+    rows = atr(bars, [period]).select("symbol", "open_time", "high", "low", "close", F.col(f"atr_{period}").alias("atr_"))
+    return walk(rows, "open_time", ["high", "low", "close", "atr_"], lambda: None, feature_step(times, intended), {"supertrend": "double", "supertrend_direction": "long"}).drop("high", "low", "close", "atr_")
+
+
+def stochastic_fast(bars: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
+    """``stochf_k`` is the raw %K, ``stochf_d`` its average."""
+    H, L, C = (F.col(c) for c in ("high", "low", "close"))
+    low, high = rolling(F.min(L), L, k, k), rolling(F.max(H), H, k, k)
+    out = bars.withColumn("stochf_k", 100 * F.try_divide(C - low, high - low))
+    return out.withColumn("stochf_d", rolling(F.avg("stochf_k"), F.col("stochf_k"), d, d))
 
 
 def bundle(bars: DataFrame) -> DataFrame:

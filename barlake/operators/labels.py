@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlake.functions.windows import back, by_time, flag
 
-
+from .align import asof
 
 
 def percentile_rank(x: Column, n: int = 100) -> Column:
@@ -17,11 +17,24 @@ def percentile_rank(x: Column, n: int = 100) -> Column:
 
 
 def regime(bars: DataFrame, adx: str = "adx_14", atr: str = "atr_14", n: int = 100) -> DataFrame:
-    """``regime``: 0 quiet, 1 ranging, 2 trending, 3 volatile; null where ADX or the volatility rank is unknown."""
+    """``regime``: 0 quiet, 1 ranging, 2 trending, 3 volatile; null where ADX or the volatility rank is unknown. The flags
+    look at ADX (over 25, below 20) and at the rank (from 0.75) each by itself."""
     out = bars.withColumn("volatility_regime", percentile_rank(F.col(atr), n))
     p, a = F.col("volatility_regime"), F.col(adx)
     label = F.when(p.isNull() | a.isNull(), None).when(p >= 0.75, 3).when(a > 25, 2).when(a < 20, 1).when(p <= 0.25, 0).otherwise(1)
-    return out.withColumns({"trend_strength": a, "regime": label, "regime_trending": flag(label == 2), "regime_ranging": flag(label == 1), "regime_volatile": flag(label == 3)})
+    return out.withColumns({"trend_strength": a, "regime": label, "regime_trending": flag(a > 25), "regime_ranging": flag(a < 20), "regime_volatile": flag(p >= 0.75)})
+
+
+def regimes(frames: dict[str, DataFrame], n: int = 100) -> DataFrame:
+    """The base bars (the first of ``frames``, interval: bars with adx_14 and atr_14) with their flags and ``regime_{interval}``
+    of every interval; longer bars are taken as of each base row, and ranked over base rows."""
+    base, *rest = frames
+    out = regime(frames[base], n=n).withColumnRenamed("regime", f"regime_{base}")
+    for name in rest:
+        out = asof(out, frames[name].select("symbol", "open_time", F.col("adx_14").alias("a_"), F.col("atr_14").alias("v_")))
+        found = regime(out.select("symbol", "open_time", "a_", "v_"), "a_", "v_", n).select("symbol", "open_time", F.col("regime").alias(f"regime_{name}"))
+        out = out.drop("a_", "v_").join(found, ["symbol", "open_time"])
+    return out
 
 
 def targets(bars: DataFrame, minutes: int, horizons: dict[str, tuple[int, float]] | None = None) -> DataFrame:

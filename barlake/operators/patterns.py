@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from barlake.functions.windows import back, by_time, flag, last_where, rolling, so_far
 
-from .indicators import previous
+from .indicators import atr, previous
+
+
+def with_atr(bars: DataFrame) -> DataFrame:
+    """``bars`` with ``atr_14``, made unless it is there."""
+    return bars if "atr_14" in bars.columns else atr(bars, [14])
+
+
+def by_atr(x: Column) -> Column:
+    """``x`` in average true ranges; null unless ATR is above zero."""
+    return x / F.when(F.col("atr_14") > 0, F.col("atr_14"))
 
 
 def candles(bars: DataFrame, intended: bool = False) -> DataFrame:
@@ -63,10 +73,11 @@ def swings(bars: DataFrame) -> DataFrame:
     }).drop("rn_")
 
 
-def support_resistance(bars: DataFrame, keep: int = 30) -> DataFrame:
-    """Nearest of the last ``keep`` swing lows below, and swing highs above, the close; distances; touches within 0.1 %."""
+def support_resistance(bars: DataFrame, keep: int = 30, at_level: float = 0.25) -> DataFrame:
+    """Nearest of the last ``keep`` swing lows below, and swing highs above, the close; distances, also in % and in ATR;
+    whether the close is within ``at_level`` ATR of them; touches within 0.1 %."""
     H, L, C = (F.col(c) for c in ("high", "low", "close"))
-    out = swing_flags(bars)
+    out = swing_flags(with_atr(bars))
     for kind, price in (("low", L), ("high", H)):
         pivots = out.where(F.col(f"is_swing_{kind}") == 1).withColumn("held_", F.collect_list(price).over(back(keep))).select("symbol", "open_time", F.col("held_").alias(f"{kind}s_"))
         out = out.join(pivots, ["symbol", "open_time"], "left").withColumn(f"{kind}s_", F.last(f"{kind}s_", ignorenulls=True).over(so_far()))
@@ -79,6 +90,8 @@ def support_resistance(bars: DataFrame, keep: int = 30) -> DataFrame:
 
     return out.withColumns({
         "sr_dist_support": C - s, "sr_dist_resistance": r - C, "sr_dist_support_pct": F.try_divide(C - s, C), "sr_dist_resistance_pct": F.try_divide(r - C, C),
+        "distance_to_nearest_support": F.try_divide(C - s, F.col("atr_14")), "distance_to_nearest_resistance": F.try_divide(r - C, F.col("atr_14")),
+        "is_at_support": flag(F.abs(C - s) <= at_level * F.col("atr_14")), "is_at_resistance": flag(F.abs(r - C) <= at_level * F.col("atr_14")),
         "nearest_support_touches": touches(s, "lows_"), "nearest_resistance_touches": touches(r, "highs_"),
     }).withColumn("strength_of_level", F.greatest("nearest_support_touches", "nearest_resistance_touches")).drop("lows_", "highs_")
 
@@ -87,7 +100,7 @@ def fair_value_gaps(bars: DataFrame) -> DataFrame:
     """Gaps between this row and the second before; rows since; whether the close is in a gap not yet filled."""
     H, L, C = (F.col(c) for c in ("high", "low", "close"))
     h2, l2 = previous(H, 2), previous(L, 2)
-    out = bars.withColumns({"rn_": F.row_number().over(by_time()), "h2_": h2, "l2_": l2})
+    out = with_atr(bars).withColumns({"rn_": F.row_number().over(by_time()), "h2_": h2, "l2_": l2})
     out = out.withColumns({"fvg_bullish": flag(L > F.col("h2_")), "fvg_bearish": flag(H < F.col("l2_"))})
     bull, bear = F.col("fvg_bullish") == 1, F.col("fvg_bearish") == 1
     out = out.withColumns({
@@ -101,14 +114,16 @@ def fair_value_gaps(bars: DataFrame) -> DataFrame:
     open1 = F.coalesce(F.min(F.when(F.col("rn_") > F.col("z1_.rn_"), L)).over(after1) > F.col("z1_.lo"), F.col("z1_").isNotNull())
     open2 = F.coalesce(F.max(F.when(F.col("rn_") > F.col("z2_.rn_"), H)).over(after2) < F.col("z2_.hi"), F.col("z2_").isNotNull())
     inside = (open1 & C.between(F.col("z1_.lo"), F.col("z1_.hi"))) | (open2 & C.between(F.col("z2_.lo"), F.col("z2_.hi")))
-    return out.withColumns({"fvg_size": F.coalesce("fvg_bull_size", "fvg_bear_size"), "bars_since_fvg": F.col("rn_") - F.col("since_"), "is_price_in_fvg": flag(inside)}).drop("rn_", "h2_", "l2_", "z1_", "z2_", "since_")
+    size = F.coalesce("fvg_bull_size", "fvg_bear_size")
+    return out.withColumns({"fvg_size": size, "fvg_size_normalized": by_atr(size), "bars_since_fvg": F.col("rn_") - F.col("since_"), "is_price_in_fvg": flag(inside)}).drop("rn_", "h2_", "l2_", "z1_", "z2_", "since_")
 
 
 def liquidity(bars: DataFrame) -> DataFrame:
-    """Running extremes of the UTC day and ISO week, and sweeps of the day's or week's before (the one last seen)."""
+    """Running extremes of the UTC day and ISO week, the close's distance to the day's in ATR, and sweeps of the day's or
+    week's before (the one last seen)."""
     H, L, C = (F.col(c) for c in ("high", "low", "close"))
     ts = F.timestamp_millis("open_time")
-    out = bars.withColumns({"day_": F.date_trunc("day", ts), "week_": F.date_trunc("week", ts)})
+    out = with_atr(bars).withColumns({"day_": F.date_trunc("day", ts), "week_": F.date_trunc("week", ts)})
     sweep = F.lit(False)
     for name, key in (("daily", "day_"), ("weekly", "week_")):
         w = Window.partitionBy("symbol", key).orderBy("open_time").rowsBetween(Window.unboundedPreceding, 0)
@@ -118,13 +133,14 @@ def liquidity(bars: DataFrame) -> DataFrame:
         out = out.join(per.select("symbol", key, F.lag("h").over(order).alias(f"{key}h"), F.lag("l").over(order).alias(f"{key}l")), ["symbol", key])
         ph, pl = F.col(f"{key}h"), F.col(f"{key}l")
         sweep = sweep | F.coalesce((H > ph) & (C < ph), F.lit(False)) | F.coalesce((L < pl) & (C > pl), F.lit(False))
+    out = out.withColumns({"distance_to_daily_high": by_atr(F.col("daily_high") - C), "distance_to_daily_low": by_atr(C - F.col("daily_low"))})
     return out.withColumn("is_liquidity_sweep", flag(sweep)).drop("day_", "week_", "day_h", "day_l", "week_h", "week_l")
 
 
 def order_blocks(bars: DataFrame, reach: int = 40) -> DataFrame:
-    """Zones of the last opposite candle before an impulse; distance of the close to either; strength by volume."""
+    """Zones of the last opposite candle before an impulse; distance of the close to either in ATR; strength by volume."""
     O, H, L, C, V = (F.col(c) for c in ("open", "high", "low", "close", "volume"))
-    out = bars.withColumns({"rn_": F.row_number().over(by_time()), "mean_": rolling(F.avg(V), V, 20, 5)})
+    out = with_atr(bars).withColumns({"rn_": F.row_number().over(by_time()), "mean_": rolling(F.avg(V), V, 20, 5)})
     source = F.struct("rn_", L.alias("lo"), H.alias("hi"), F.coalesce(F.try_divide(V, F.col("mean_")), F.lit(1.0)).alias("strength"))
     before = by_time().rowsBetween(Window.unboundedPreceding, -1)
     share = F.try_divide(F.abs(C - O), H - L)
@@ -136,13 +152,14 @@ def order_blocks(bars: DataFrame, reach: int = 40) -> DataFrame:
         z = F.col(zone)
         return F.when(C.between(z["lo"], z["hi"]), 0.0).otherwise(F.least(F.abs(C - z["lo"]), F.abs(C - z["hi"])))
 
-    return out.withColumns({"bull_ob_low": F.col("bz_.lo"), "bull_ob_high": F.col("bz_.hi"), "bear_ob_low": F.col("sz_.lo"), "bear_ob_high": F.col("sz_.hi"), "bull_ob_distance": F.when(F.col("bz_").isNotNull(), apart("bz_")), "bear_ob_distance": F.when(F.col("sz_").isNotNull(), apart("sz_"))}).drop("rn_", "mean_", "b_", "s_", "up_", "down_", "bz_", "sz_")
+    return out.withColumns({"bull_ob_low": F.col("bz_.lo"), "bull_ob_high": F.col("bz_.hi"), "bear_ob_low": F.col("sz_.lo"), "bear_ob_high": F.col("sz_.hi"), "last_bullish_ob_distance": by_atr(F.when(F.col("bz_").isNotNull(), apart("bz_"))), "last_bearish_ob_distance": by_atr(F.when(F.col("sz_").isNotNull(), apart("sz_")))}).drop("rn_", "mean_", "b_", "s_", "up_", "down_", "bz_", "sz_")
 
 
 def structure(bars: DataFrame) -> DataFrame:
-    """Market structure of the last two swings, breaks and changes of it, Fibonacci levels and the OTE flag."""
+    """Market structure of the last two swings, breaks and changes of it, distances of the close to the Fibonacci levels in
+    ATR, and the OTE flag."""
     H, L, C = (F.col(c) for c in ("high", "low", "close"))
-    out = swing_flags(bars)
+    out = swing_flags(with_atr(bars))
     for kind, price in (("high", H), ("low", L)):
         own = out.where(F.col(f"is_swing_{kind}") == 1).select("symbol", "open_time", F.struct(price.alias("now"), F.lag(price).over(by_time()).alias("old")).alias(f"{kind}_"))
         out = out.join(own, ["symbol", "open_time"], "left").withColumn(f"{kind}_", F.last(f"{kind}_", True).over(so_far()))
@@ -152,11 +169,11 @@ def structure(bars: DataFrame) -> DataFrame:
     out = out.withColumns({"break_of_structure_bull": flag(bull), "break_of_structure_bear": flag(bear)})
     was = previous("market_structure")
     span = F.when(h2 > l2, h2 - l2)
-    levels = {f"fib_0_{str(f)[2:]}": h2 - f * span for f in (0.382, 0.5, 0.618, 0.786)}
+    levels = {f"fib_0_{str(f)[2:]}_distance": by_atr(C - (h2 - f * span)) for f in (0.382, 0.5, 0.618, 0.786)}
     return out.withColumns({
         "choch_bullish": flag((was == -1) & (F.col("break_of_structure_bull") == 1)), "choch_bearish": flag((was == 1) & (F.col("break_of_structure_bear") == 1)),
         **levels, "is_in_ote_zone": flag(F.try_divide(h2 - C, span).between(0.618, 0.786)),
-        "smc_last_swing_high": h2, "smc_last_swing_low": l2,
+        "smc_last_swing_high": h2, "smc_last_swing_low": l2, "smc_bos_up": F.col("break_of_structure_bull"), "smc_bos_down": F.col("break_of_structure_bear"),
     }).drop("high_", "low_")
 
 

@@ -251,20 +251,64 @@ def obv_vwap(spark: SparkSession, sf: str) -> DataFrame:
     return shown(indicators.volume_bundle(bars(spark, sf)), "obv", "vwap")
 
 
-@query()
+_TP = "p AS (SELECT symbol, open_time, rn, (high + low + close) / 3 AS tp, volume FROM n), w AS (SELECT *, count(*) OVER {r} AS seen, min(tp) OVER {r} AS lo, max(tp) OVER {r} AS hi, avg(tp) OVER {r} AS mean, (max(tp) OVER {r} - min(tp) OVER {r}) / 24 AS step FROM p)".format(r=_rows(96))
+_POC = "g AS (SELECT w.symbol, w.open_time, w.lo, w.step, p.tp, p.volume, floor((p.tp - w.lo) / w.step) AS guess FROM w JOIN p ON p.symbol = w.symbol AND p.rn BETWEEN w.rn - 95 AND w.rn WHERE seen >= 96 AND hi > lo), c AS (SELECT symbol, open_time, lo, step, least(greatest(guess + CASE WHEN tp < lo + guess * step THEN -1 WHEN tp >= lo + (guess + 1) * step THEN 1 ELSE 0 END, 0), 23) AS bin, sum(volume) AS v FROM g GROUP BY ALL), best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY symbol, open_time ORDER BY v DESC, bin) = 1)"
+
+
+@query(_with(_N, _TP, _POC) + "SELECT w.symbol, w.open_time, round(coalesce(best.lo + (bin + 0.5) * best.step, mean), 6) AS vp_poc FROM w LEFT JOIN best USING (symbol, open_time) WHERE seen >= 96")
 def vp_poc(spark: SparkSession, sf: str) -> DataFrame:
     return shown(indicators.volume_poc(bars(spark, sf)), "vp_poc")
 
 
-@query()
+def _ratchet(period: int, times: float) -> str:
+    """A recursive scan of the strategy's Supertrend over t."""
+    avg = f"(s.avg + (t.tr - s.avg) / {period})"
+    fu, fl = (f"CASE WHEN (t.high + t.low) / 2 {sign} {times} * {avg} {beyond} s.{band} OR s.c {cross} s.{band} THEN (t.high + t.low) / 2 {sign} {times} * {avg} ELSE s.{band} END" for sign, beyond, cross, band in (("+", "<", ">", "fu"), ("-", ">", "<", "fl")))
+    way = f"CASE WHEN (s.way = -1 AND t.close > {fu}) OR (s.way = 1 AND t.close >= {fl}) THEN 1 ELSE -1 END"
+    return f"s AS (SELECT symbol, rn, tr AS avg, (high + low) / 2 + {times} * tr AS fu, (high + low) / 2 - {times} * tr AS fl, close AS c, 1 AS way FROM t WHERE rn = 1 UNION ALL SELECT t.symbol, t.rn, {avg}, {fu}, {fl}, t.close, {way} FROM s JOIN t ON t.symbol = s.symbol AND t.rn = s.rn + 1)"
+
+
+@query("WITH RECURSIVE " + _N + ", " + _ratchet(10, 3.0) + " SELECT t.symbol, open_time, round(CASE WHEN way = 1 THEN fl ELSE fu END, 6) AS supertrend, CAST(way AS BIGINT) AS supertrend_dir FROM s JOIN t USING (symbol, rn)")
 def supertrend_strategy(spark: SparkSession, sf: str) -> DataFrame:
     return shown(indicators.supertrend(bars(spark, sf)), "supertrend", "supertrend_dir")
 
 
-@query()
+@query(_with(_b("1h"), f"f AS (SELECT *, 100 * (close - {_roll('min', 'low', 14)}) / nullif({_roll('max', 'high', 14)} - {_roll('min', 'low', 14)}, 0) AS fast FROM b)") + f"SELECT symbol, open_time, round(fast, 6) AS stochf_k, round({_roll('avg', 'fast', 3)}, 6) AS stochf_d FROM f")
+def stoch_fast(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(indicators.stochastic_fast(bars(spark, sf)), "stochf_k", "stochf_d")
+
+
+@query("WITH RECURSIVE " + _N + ", " + _chain({"a": ("tr", 1 / 10)}) + ", q AS (SELECT symbol, rn, open_time, high, low, close, CASE WHEN rn >= 10 THEN a END AS atr FROM e JOIN t USING (symbol, rn)), s AS (SELECT symbol, rn, (high + low) / 2 + 3 * atr AS fu, (high + low) / 2 - 3 * atr AS fl, close AS c, -1 AS way FROM q WHERE rn = 10 UNION ALL SELECT q.symbol, q.rn, {fu}, {fl}, q.close, CASE WHEN (s.way = -1 AND q.close > {fu}) OR (s.way = 1 AND q.close >= {fl}) THEN 1 ELSE -1 END FROM s JOIN q ON q.symbol = s.symbol AND q.rn = s.rn + 1) SELECT q.symbol, open_time, round(CASE way WHEN 1 THEN fl WHEN -1 THEN fu END, 6) AS supertrend, CAST(coalesce(way, 0) AS BIGINT) AS supertrend_direction FROM q LEFT JOIN s USING (symbol, rn)".format(
+    fu="CASE WHEN (q.high + q.low) / 2 + 3 * q.atr < s.fu OR s.c > s.fu THEN (q.high + q.low) / 2 + 3 * q.atr ELSE s.fu END", fl="CASE WHEN (q.high + q.low) / 2 - 3 * q.atr > s.fl OR s.c < s.fl THEN (q.high + q.low) / 2 - 3 * q.atr ELSE s.fl END"))
+def supertrend_feature(spark: SparkSession, sf: str) -> DataFrame:
+    """With bands that start with ATR; without ``intended`` no line ever comes."""
+    return shown(indicators.feature_supertrend(bars(spark, sf), intended=True), "supertrend", "supertrend_direction")
+
+
+_BUNDLE_IN = ", m AS (SELECT *, CASE WHEN c1 IS NOT NULL THEN greatest(close - c1, 0) END AS gain, CASE WHEN c1 IS NOT NULL THEN greatest(c1 - close, 0) END AS loss, CASE WHEN high - h1 > l1 - low AND high > h1 THEN high - h1 ELSE 0 END AS up, CASE WHEN l1 - low > high - h1 AND l1 > low THEN l1 - low ELSE 0 END AS down FROM t)"
+_BUNDLE_FIRST = {f"ema_{n}": ("close", 2 / (n + 1)) for n in (12, 20, 26, 50, 100, 200)} | {f"atr_{p}": ("tr", 1 / p) for p in (7, 14, 20, 21)} | {f"{k}_{p}": (k, 1 / p) for p in (7, 14, 21) for k in ("gain", "loss")} | {"u": ("up", 1 / 14), "v": ("down", 1 / 14)}
+_BUNDLE_MID = ", d AS (SELECT *, ema_12 - ema_26 AS macd, CASE WHEN rn >= 14 THEN 100 * u / nullif(atr_14, 0) END AS p, CASE WHEN rn >= 14 THEN 100 * v / nullif(atr_14, 0) END AS n FROM e), x AS (SELECT *, coalesce(100 * abs(p - n) / nullif(p + n, 0), 0) AS dx FROM d), e2 AS (SELECT symbol, rn, CAST(macd AS DOUBLE) AS sig, CAST(dx AS DOUBLE) AS y FROM x WHERE rn = 1 UNION ALL SELECT x.symbol, x.rn, e2.sig + (x.macd - e2.sig) * 0.2, e2.y + (x.dx - e2.y) / 14 FROM e2 JOIN x ON x.symbol = e2.symbol AND x.rn = e2.rn + 1)"
+_BUNDLE_ROW = f", z AS (SELECT t.*, x.* EXCLUDE (symbol, rn), sig, y, (high + low + close) / 3 AS tp, coalesce(sign(close - c1) * volume, 0) AS mv, {_roll('avg', 'close', 20)} AS mid, {_roll('stddev_samp', 'close', 20)} AS sd, 100 * (close - {_roll('min', 'low', 14)}) / nullif({_roll('max', 'high', 14)} - {_roll('min', 'low', 14)}, 0) AS fast FROM t JOIN x USING (symbol, rn) JOIN e2 USING (symbol, rn)), z2 AS (SELECT *, {_roll('avg', 'fast', 3)} AS k, {_roll('avg', 'tp', 20)} AS tpm, list(tp) OVER {_rows(20)} AS held FROM z)"
+
+
+def _bundle_out() -> str:
+    out = {f"ema_{n}": f"ema_{n}" for n in (20, 50, 100, 200)} | {f"atr_{p}": f"CASE WHEN rn >= {p} THEN atr_{p} END" for p in (7, 14, 21)}
+    out |= {f"rsi_{p}": f"CASE WHEN rn >= {p + 1} THEN 100 - 100 / (1 + gain_{p} / nullif(loss_{p}, 0)) END" for p in (7, 14, 21)}
+    out |= {"di_plus_14": "p", "di_minus_14": "n", "macd": "macd", "macd_signal": "sig", "macd_hist": "macd - sig", "adx_14": "CASE WHEN rn >= 14 THEN y END", "keltner_mid": "ema_20"}
+    out |= {"keltner_upper": "CASE WHEN rn >= 20 THEN ema_20 + 1.5 * atr_20 END", "keltner_lower": "CASE WHEN rn >= 20 THEN ema_20 - 1.5 * atr_20 END"}
+    out |= {f"sma_{n}": _roll("avg", "close", n) for n in (20, 50, 200)} | {f"volume_sma_{n}": _roll("avg", "volume", n) for n in (20, 50)}
+    out |= {"williams_r_14": f"-100 * ({_roll('max', 'high', 14)} - close) / nullif({_roll('max', 'high', 14)} - {_roll('min', 'low', 14)}, 0)", "stoch_k": "k", "stoch_d": _roll("avg", "k", 3)}
+    out |= {"bb_mid": "mid", "bb_upper": "mid + 2 * sd", "bb_lower": "mid - 2 * sd", "bb_pct_b": "(close - mid + 2 * sd) / nullif(4 * sd, 0)", "bb_bandwidth": "4 * sd / nullif(mid, 0)"}
+    so_far = "(PARTITION BY symbol ORDER BY open_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    out |= {"cci_20": f"CASE WHEN count(tp) OVER {_rows(20)} >= 20 THEN (tp - tpm) / nullif(0.015 * list_avg(list_transform(held, lambda a: abs(a - tpm))), 0) END", "obv": f"sum(mv) OVER {so_far}", "vwap": f"sum(tp * volume) OVER {so_far} / nullif(sum(volume) OVER {so_far}, 0)"}
+    return "SELECT symbol, open_time, " + ", ".join(f"round({x}, {5 if y in ('cci_20', 'bb_pct_b') else 6}) AS {y}" for y, x in out.items()) + " FROM z2"
+
+
+@query("WITH RECURSIVE " + _N + _BUNDLE_IN + ", " + _chain(_BUNDLE_FIRST, "m") + _BUNDLE_MID + _BUNDLE_ROW + _bundle_out())
 def technical_bundle(spark: SparkSession, sf: str) -> DataFrame:
     b = indicators.bundle(bars(spark, sf))
-    return shown(b, *[c for c in b.columns if c not in ("symbol", "open_time", "interval")])
+    made = [c for c in b.columns if c not in ("symbol", "open_time", "interval", "open", "high", "low", "close", "volume")]
+    return shown(b, *[F.round(c, 5).alias(c) if c in ("cci_20", "bb_pct_b") else c for c in made])
 
 
 # ---- patterns and structure ----------------------------------------------------------------------------------------
@@ -281,9 +325,14 @@ def swing_features(spark: SparkSession, sf: str) -> DataFrame:
     return shown(patterns.swings(bars(spark, sf)), "is_swing_high", "is_swing_low", "bars_since_swing_high", "bars_since_swing_low", "swing_high_distance_pct")
 
 
-@query()
+_ATR = ", " + _chain({"a": ("tr", 1 / 14)}) + ", n14 AS (SELECT t.*, CASE WHEN rn >= 14 THEN a END AS atr, coalesce(high > lag(high) OVER w AND high > lag(high, 2) OVER w AND high > lead(high) OVER w AND high > lead(high, 2) OVER w, false) AS sh, coalesce(low < lag(low) OVER w AND low < lag(low, 2) OVER w AND low < lead(low) OVER w AND low < lead(low, 2) OVER w, false) AS sl FROM t JOIN e USING (symbol, rn) " + _W + ")"
+_PIV = ", v AS (SELECT *, list(high) FILTER (WHERE sh) OVER w AS hs, list(low) FILTER (WHERE sl) OVER w AS ls FROM n14 " + _W + "), v2 AS (SELECT *, hs[greatest(1, len(hs) - 29):len(hs)] AS h30, ls[greatest(1, len(ls) - 29):len(ls)] AS l30 FROM v), v3 AS (SELECT *, list_min(list_filter(h30, lambda x: x > close)) AS r, list_max(list_filter(l30, lambda x: x < close)) AS s FROM v2), v4 AS (SELECT *, CASE WHEN s IS NULL THEN 0 ELSE len(list_filter(l30, lambda x: abs(x - s) <= greatest(abs(s) * 0.001, 1e-12))) END AS st, CASE WHEN r IS NULL THEN 0 ELSE len(list_filter(h30, lambda x: abs(x - r) <= greatest(abs(r) * 0.001, 1e-12))) END AS rt FROM v3)"
+
+
+@query("WITH RECURSIVE " + _N + _ATR + _PIV + " SELECT symbol, open_time, round(s, 6) AS sr_nearest_support, round(r, 6) AS sr_nearest_resistance, round(close - s, 6) AS sr_dist_support, round(r - close, 6) AS sr_dist_resistance, round((close - s) / nullif(close, 0), 6) AS sr_dist_support_pct, round((r - close) / nullif(close, 0), 6) AS sr_dist_resistance_pct, round((close - s) / nullif(atr, 0), 6) AS distance_to_nearest_support, round((r - close) / nullif(atr, 0), 6) AS distance_to_nearest_resistance, coalesce(abs(close - s) <= 0.25 * atr, false)::BIGINT AS is_at_support, coalesce(abs(r - close) <= 0.25 * atr, false)::BIGINT AS is_at_resistance, st::BIGINT AS nearest_support_touches, rt::BIGINT AS nearest_resistance_touches, greatest(st, rt)::BIGINT AS strength_of_level FROM v4")
 def support_resistance(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(patterns.support_resistance(bars(spark, sf)), "sr_nearest_support", "sr_nearest_resistance", "sr_dist_support", "sr_dist_resistance", "nearest_support_touches", "nearest_resistance_touches", "strength_of_level")
+    names = "sr_nearest_support sr_nearest_resistance sr_dist_support sr_dist_resistance sr_dist_support_pct sr_dist_resistance_pct distance_to_nearest_support distance_to_nearest_resistance is_at_support is_at_resistance nearest_support_touches nearest_resistance_touches strength_of_level"
+    return shown(patterns.support_resistance(bars(spark, sf)), *names.split())
 
 
 _CAN = _b("1h") + ", k AS (SELECT *, abs(close - open) AS body, nullif(high - low, 0) AS rng, high - greatest(open, close) AS up, least(open, close) - low AS lo, lag(open) OVER w AS o1, lag(close) OVER w AS c1, lag(open, 2) OVER w AS o2, lag(close, 2) OVER w AS c2 FROM b " + _W + "), c AS (SELECT *, body / rng AS s, lag(body / rng) OVER w AS s1, lag(body / rng, 2) OVER w AS s2 FROM k " + _W + ")"
@@ -299,9 +348,12 @@ def candle_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return shown(b, *[c for c in b.columns if c.startswith("pat_")])
 
 
-@query()
+_GAP = ", f AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2 FROM n14 " + _W + "), f2 AS (SELECT *, coalesce(low > h2, false) AS bull, coalesce(high < l2, false) AS bear FROM f), f3 AS (SELECT *, last_value(CASE WHEN bull THEN rn END IGNORE NULLS) OVER w AS z1, last_value(CASE WHEN bear THEN rn END IGNORE NULLS) OVER w AS z2 FROM f2 " + _W + "), f4 AS (SELECT f3.*, a.h2 AS blo, a.low AS bhi, c.high AS rlo, c.l2 AS rhi FROM f3 LEFT JOIN f2 a ON a.symbol = f3.symbol AND a.rn = f3.z1 LEFT JOIN f2 c ON c.symbol = f3.symbol AND c.rn = f3.z2), f5 AS (SELECT *, coalesce(min(CASE WHEN rn > z1 THEN low END) OVER (PARTITION BY symbol, z1 ORDER BY rn) > blo, z1 IS NOT NULL) AS o1, coalesce(max(CASE WHEN rn > z2 THEN high END) OVER (PARTITION BY symbol, z2 ORDER BY rn) < rhi, z2 IS NOT NULL) AS o2 FROM f4)"
+
+
+@query("WITH RECURSIVE " + _N + _ATR + _GAP + " SELECT symbol, open_time, bull::BIGINT AS fvg_bullish, bear::BIGINT AS fvg_bearish, round(CASE WHEN bull THEN low - h2 WHEN bear THEN l2 - high END, 6) AS fvg_size, round(CASE WHEN bull THEN low - h2 WHEN bear THEN l2 - high END / CASE WHEN atr > 0 THEN atr END, 6) AS fvg_size_normalized, rn - greatest(z1, z2) AS bars_since_fvg, coalesce((o1 AND close BETWEEN blo AND bhi) OR (o2 AND close BETWEEN rlo AND rhi), false)::BIGINT AS is_price_in_fvg FROM f5")
 def fvg(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(patterns.fair_value_gaps(bars(spark, sf)), "fvg_bullish", "fvg_bearish", "fvg_size", "bars_since_fvg", "is_price_in_fvg")
+    return shown(patterns.fair_value_gaps(bars(spark, sf)), "fvg_bullish", "fvg_bearish", "fvg_size", "fvg_size_normalized", "bars_since_fvg", "is_price_in_fvg")
 
 
 _DAY = "PARTITION BY symbol, {} ORDER BY open_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -313,14 +365,26 @@ def liquidity(spark: SparkSession, sf: str) -> DataFrame:
     return shown(patterns.liquidity(bars(spark, sf)), "daily_high", "daily_low", "weekly_high", "weekly_low", "is_liquidity_sweep")
 
 
-@query()
+_BLOCK = ", o AS (SELECT *, CASE WHEN count(volume) OVER {m} >= 5 THEN avg(volume) OVER {m} END AS mean, abs(close - open) / nullif(high - low, 0) AS share FROM n14), o2 AS (SELECT *, last_value(CASE WHEN close < open THEN rn END IGNORE NULLS) OVER {b} AS dn, last_value(CASE WHEN close > open THEN rn END IGNORE NULLS) OVER {b} AS un FROM o), o3 AS (SELECT *, coalesce(close > open AND share >= 0.55 AND high >= h1 AND dn >= rn - 40, false) AS up, coalesce(close < open AND share >= 0.55 AND low <= l1 AND un >= rn - 40, false) AS down FROM o2), o4 AS (SELECT *, last_value(CASE WHEN up THEN dn END IGNORE NULLS) OVER w AS bz, last_value(CASE WHEN down THEN un END IGNORE NULLS) OVER w AS sz, last_value(CASE WHEN down THEN un WHEN up THEN dn END IGNORE NULLS) OVER w AS lz FROM o3 {w}), o5 AS (SELECT o4.*, x.low AS blo, x.high AS bhi, y.low AS slo, y.high AS shi, coalesce(z.volume / nullif(z.mean, 0), 1) AS strength FROM o4 LEFT JOIN o x ON x.symbol = o4.symbol AND x.rn = bz LEFT JOIN o y ON y.symbol = o4.symbol AND y.rn = sz LEFT JOIN o z ON z.symbol = o4.symbol AND z.rn = lz)".format(m=_rows(20), b="(PARTITION BY symbol ORDER BY open_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", w=_W)
+
+
+def _zone(lo: str, hi: str) -> str:
+    return f"round(CASE WHEN close BETWEEN {lo} AND {hi} THEN 0 ELSE least(abs(close - {lo}), abs(close - {hi})) END / CASE WHEN atr > 0 THEN atr END, 6)"
+
+
+@query("WITH RECURSIVE " + _N + _ATR + _BLOCK + f" SELECT symbol, open_time, round(blo, 6) AS bull_ob_low, round(bhi, 6) AS bull_ob_high, round(slo, 6) AS bear_ob_low, round(shi, 6) AS bear_ob_high, {_zone('blo', 'bhi')} AS last_bullish_ob_distance, {_zone('slo', 'shi')} AS last_bearish_ob_distance, round(CASE WHEN lz IS NOT NULL THEN strength END, 6) AS ob_strength FROM o5")
 def order_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(patterns.order_blocks(bars(spark, sf)), "bull_ob_low", "bull_ob_high", "bear_ob_low", "bear_ob_high", "bull_ob_distance", "bear_ob_distance", "ob_strength")
+    return shown(patterns.order_blocks(bars(spark, sf)), "bull_ob_low", "bull_ob_high", "bear_ob_low", "bear_ob_high", "last_bullish_ob_distance", "last_bearish_ob_distance", "ob_strength")
 
 
-@query()
+_SMC = ", v AS (SELECT *, list(high) FILTER (WHERE sh) OVER w AS hs, list(low) FILTER (WHERE sl) OVER w AS ls FROM n14 " + _W + "), m AS (SELECT *, hs[len(hs)] AS h2_, hs[len(hs) - 1] AS h1_, ls[len(ls)] AS l2_, ls[len(ls) - 1] AS l1_ FROM v), m2 AS (SELECT *, CASE WHEN len(hs) < 2 OR len(ls) < 2 THEN 0 WHEN h2_ > h1_ AND l2_ > l1_ THEN 1 WHEN h2_ < h1_ AND l2_ < l1_ THEN -1 ELSE 0 END AS ms, coalesce(close > lag(h2_) OVER w, false) AS bb, coalesce(close < lag(l2_) OVER w, false) AS br, CASE WHEN h2_ > l2_ THEN h2_ - l2_ END AS leg FROM m " + _W + "), m3 AS (SELECT *, lag(ms) OVER w AS was FROM m2 " + _W + ")"
+_FIBS = {"0_382": 0.382, "0_5": 0.5, "0_618": 0.618, "0_786": 0.786}
+
+
+@query("WITH RECURSIVE " + _N + _ATR + _SMC + " SELECT symbol, open_time, CAST(coalesce(ms, 0) AS BIGINT) AS market_structure, bb::BIGINT AS break_of_structure_bull, br::BIGINT AS break_of_structure_bear, coalesce(was = -1 AND bb, false)::BIGINT AS choch_bullish, coalesce(was = 1 AND br, false)::BIGINT AS choch_bearish, " + ", ".join(f"round((close - (h2_ - {f} * leg)) / CASE WHEN atr > 0 THEN atr END, 6) AS fib_{k}_distance" for k, f in _FIBS.items()) + ", coalesce((h2_ - close) / leg BETWEEN 0.618 AND 0.786, false)::BIGINT AS is_in_ote_zone, round(h2_, 6) AS smc_last_swing_high, round(l2_, 6) AS smc_last_swing_low, bb::BIGINT AS smc_bos_up, br::BIGINT AS smc_bos_down FROM m3")
 def structure_bos_choch(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(patterns.structure(bars(spark, sf)), "market_structure", "break_of_structure_bull", "break_of_structure_bear", "choch_bullish", "choch_bearish", "is_in_ote_zone")
+    names = "market_structure break_of_structure_bull break_of_structure_bear choch_bullish choch_bearish is_in_ote_zone smc_last_swing_high smc_last_swing_low smc_bos_up smc_bos_down"
+    return shown(patterns.structure(bars(spark, sf)), *names.split(), *[f"fib_{k}_distance" for k in _FIBS])
 
 
 @query(_with(_b("1h"), "g AS (SELECT *, CASE WHEN count(*) OVER v >= 3 THEN max(high) OVER v END AS ph, CASE WHEN count(*) OVER v >= 3 THEN min(low) OVER v END AS pl, CASE WHEN count(*) OVER u >= 5 THEN (close - min(low) OVER u) / nullif(max(high) OVER u - min(low) OVER u, 0) END AS place FROM b WINDOW v AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), u AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))") + f"SELECT symbol, open_time, {_f('high > ph AND close < ph', 'smc_liq_grab_high')}, {_f('low < pl AND close > pl', 'smc_liq_grab_low')}, {_f('abs(close - open) / nullif(high - low, 0) >= 0.65', 'smc_displacement')}, round(greatest(0, least(1, place)), 6) AS smc_premium_discount FROM g WHERE place IS NOT NULL UNION ALL SELECT symbol, open_time, {_f('high > ph AND close < ph', 'a')}, {_f('low < pl AND close > pl', 'b')}, {_f('abs(close - open) / nullif(high - low, 0) >= 0.65', 'c')}, NULL FROM g WHERE place IS NULL")
@@ -331,7 +395,10 @@ def smc_legacy(spark: SparkSession, sf: str) -> DataFrame:
 # ---- regimes, targets, strategy, backtest ------------------------------------------------------------------------------
 
 
-@query()
+_RANK = ", j AS (SELECT t.symbol, rn, open_time, CASE WHEN rn >= 14 THEN y END AS adx, CASE WHEN rn >= 14 THEN e.a END AS atr FROM e2 JOIN e USING (symbol, rn) JOIN t USING (symbol, rn)), k AS (SELECT *, list(atr) FILTER (WHERE atr IS NOT NULL) OVER " + _rows(100) + " AS held FROM j), l AS (SELECT *, CASE WHEN len(held) >= 20 THEN len(list_filter(held, lambda x: x <= atr)) / len(held) END AS r FROM k)"
+
+
+@query("WITH RECURSIVE " + _N + _DM + ", " + _chain({"a": ("tr", 1 / 14), "u": ("up", 1 / 14), "v": ("down", 1 / 14)}, "m") + _DX + ", e2 AS (SELECT symbol, rn, CAST(dx AS DOUBLE) AS y FROM x WHERE rn = 1 UNION ALL SELECT x.symbol, x.rn, e2.y + (x.dx - e2.y) / 14 FROM e2 JOIN x ON x.symbol = e2.symbol AND x.rn = e2.rn + 1)" + _RANK + " SELECT symbol, open_time, round(r, 6) AS volatility_regime, round(adx, 6) AS trend_strength, CAST(CASE WHEN r IS NULL OR adx IS NULL THEN NULL WHEN r >= 0.75 THEN 3 WHEN adx > 25 THEN 2 WHEN adx < 20 THEN 1 WHEN r <= 0.25 THEN 0 ELSE 1 END AS BIGINT) AS regime, coalesce(adx > 25, false)::BIGINT AS regime_trending, coalesce(adx < 20, false)::BIGINT AS regime_ranging, coalesce(r >= 0.75, false)::BIGINT AS regime_volatile FROM l")
 def regime(spark: SparkSession, sf: str) -> DataFrame:
     b = indicators.atr(indicators.adx(bars(spark, sf)), [14])
     return shown(labels.regime(b), "volatility_regime", "trend_strength", "regime", "regime_trending", "regime_ranging", "regime_volatile")
@@ -379,24 +446,50 @@ def _plain_trades(spark: SparkSession, sf: str) -> DataFrame:
     return backtest.trades(backtest.exits(_plain_signals(b), b))
 
 
-@query()
+_WALK = "WITH RECURSIVE " + _PLAIN + ", x AS (SELECT s.symbol, s.open_time, s.side, s.sl, s.tp, row_number() OVER (PARTITION BY s.symbol ORDER BY s.open_time) AS k, coalesce(f.exit_time, s.open_time) AS exit_time, coalesce(f.exit_reason, 'eod') AS exit_reason, s.close * CASE s.side WHEN 'long' THEN 1.0005 ELSE 0.9995 END AS ep, coalesce(f.exit_price, s.close) * CASE s.side WHEN 'long' THEN 0.9995 ELSE 1.0005 END AS xp FROM s LEFT JOIN f USING (symbol, open_time)), z AS (SELECT *, CASE side WHEN 'long' THEN xp * 0.999 / (ep * 1.001) ELSE 1 + (ep * 0.999 - xp * 1.001) / (ep * 1.001) END AS factor, exit_time + CASE exit_reason WHEN 'eod' THEN 1 ELSE 0 END AS free FROM x), r AS (SELECT symbol, k, true AS taken, CAST(10000 AS DOUBLE) AS cash, CAST(10000 AS DOUBLE) * factor AS cash_after, free FROM z WHERE k = 1 UNION ALL SELECT z.symbol, z.k, z.open_time >= r.free AND r.cash_after > 0, r.cash_after, CASE WHEN z.open_time >= r.free AND r.cash_after > 0 THEN r.cash_after * z.factor ELSE r.cash_after END, CASE WHEN z.open_time >= r.free AND r.cash_after > 0 THEN z.free ELSE r.free END FROM r JOIN z ON z.symbol = r.symbol AND z.k = r.k + 1), tr AS (SELECT z.symbol, side, open_time AS entry_time, exit_time, ep AS entry_price, xp AS exit_price, cash / (ep * 1.001) AS size, cash_after - cash AS pnl, (cash_after - cash) / (cash / 1.001) * 100 AS pnl_pct, sl AS stop_loss, tp AS take_profit, exit_reason, cash_after FROM r JOIN z USING (symbol, k) WHERE taken) "
+_TRADE = ["entry_price", "exit_price", "size", "pnl", "pnl_pct", "stop_loss", "take_profit", "cash_after"]
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
+@query(_WALK + "SELECT symbol, side, entry_time, exit_time, exit_reason, " + ", ".join(f"round({c}, 6) AS {c}" for c in _TRADE) + " FROM tr")
 def backtest_trades(spark: SparkSession, sf: str) -> DataFrame:
-    return _plain_trades(spark, sf)
+    return _rounded(_plain_trades(spark, sf))
 
 
-@query()
+def _mean(x: str, of: str) -> str:
+    return f"round(coalesce(avg({x}) FILTER ({of}), 0), 6)"
+
+
+@query(_WALK + f", q AS (SELECT symbol, CAST(10000 AS DOUBLE) AS initial_capital, count(*) AS n_trades, count(*) FILTER (pnl > 0) AS winning_trades, count(*) FILTER (pnl <= 0) AS losing_trades, sum(pnl) AS total_pnl, avg(pnl) AS avg_trade_pnl, {_mean('pnl', 'pnl > 0')} AS avg_win, {_mean('pnl', 'pnl <= 0')} AS avg_loss, {_mean('pnl_pct', 'pnl > 0')} AS avg_return_win_pct, {_mean('pnl_pct', 'pnl <= 0')} AS avg_return_loss_pct, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS gross_profit, abs(coalesce(sum(pnl) FILTER (pnl <= 0), 0)) AS gross_loss_abs FROM tr GROUP BY symbol) SELECT * REPLACE (round(total_pnl, 6) AS total_pnl, round(avg_trade_pnl, 6) AS avg_trade_pnl, round(gross_profit, 6) AS gross_profit, round(gross_loss_abs, 6) AS gross_loss_abs), round(winning_trades / n_trades, 6) AS win_rate, round(CASE WHEN gross_loss_abs > 1e-12 THEN gross_profit / gross_loss_abs WHEN gross_profit > 0 THEN 'inf'::DOUBLE ELSE 0 END, 6) AS profit_factor, round(10000 + total_pnl, 6) AS final_equity, round(total_pnl / 100, 6) AS total_return_pct FROM q")
 def backtest_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return backtest.metrics(_plain_trades(spark, sf))
+    return _rounded(backtest.metrics(_plain_trades(spark, sf)))
 
 
-@query()
+@query(_WALK + "SELECT b.symbol, b.open_time, round(CASE WHEN entry_time IS NULL THEN 10000 WHEN b.open_time < exit_time THEN CASE side WHEN 'long' THEN size * close ELSE cash_after - pnl + size * (entry_price * 0.999 - close) END ELSE cash_after END, 4) AS equity FROM b ASOF LEFT JOIN tr ON b.symbol = tr.symbol AND b.open_time >= tr.entry_time")
 def backtest_equity(spark: SparkSession, sf: str) -> DataFrame:
     return shown(backtest.equity(_plain_trades(spark, sf), bars(spark, sf)), "equity", digits=4)
 
 
-@query()
+@query(_WALK + "SELECT exit_reason, count(*) AS trades, count(*) FILTER (pnl > 0) AS winners, count(*) FILTER (pnl <= 0) AS losers, round(avg(pnl), 6) AS mean_pnl FROM tr GROUP BY 1")
 def trade_analysis(spark: SparkSession, sf: str) -> DataFrame:
-    return backtest.exit_shares(_plain_trades(spark, sf))
+    return _rounded(backtest.exit_shares(_plain_trades(spark, sf)))
+
+
+def _share(reason: str, of: str) -> str:
+    return f"round(coalesce(count(*) FILTER ({of} AND exit_reason = '{reason}') / nullif(count(*) FILTER ({of}), 0), 0), 6)"
+
+
+@query(_WALK + f"SELECT symbol, count(*) AS n_total, count(*) FILTER (pnl > 0) AS n_winners, count(*) FILTER (pnl <= 0) AS n_losers, round(count(*) FILTER (pnl > 0) / count(*), 6) AS win_rate, {_share('sl', 'pnl <= 0')} AS sl_share_among_losers, {_share('tp', 'pnl <= 0')} AS tp_share_among_losers, {_share('time', 'pnl <= 0')} AS time_share_among_losers, {_share('tp', 'pnl > 0')} AS tp_share_among_winners, {_mean('pnl', 'pnl <= 0')} AS avg_loser_pnl, round(coalesce(median(pnl) FILTER (pnl <= 0), 0), 6) AS median_loser_pnl, round(avg(abs(entry_price - stop_loss) / nullif(entry_price, 0) * 100) FILTER (pnl <= 0 AND exit_reason = 'sl'), 6) AS mean_sl_risk_pct_when_sl FROM tr GROUP BY symbol")
+def loser_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(backtest.loser_report(_plain_trades(spark, sf)))
+
+
+@query(_WALK + "SELECT hour(epoch_ms(entry_time)) AS hour, count(*) AS losers FROM tr WHERE pnl <= 0 GROUP BY 1")
+def loser_hours(spark: SparkSession, sf: str) -> DataFrame:
+    return backtest.loser_hours(_plain_trades(spark, sf)).select(F.col("hour").cast("long").alias("hour"), "losers")
 
 
 @query(_with(_b("1h"), "r AS (SELECT symbol, open_time, close / nullif(lag(close) OVER w, 0) - 1 AS r FROM b " + _W + ")", "k AS (SELECT *, sum(r) OVER w AS t FROM r " + _W + ")", "d AS (SELECT *, max(t) OVER (PARTITION BY symbol ORDER BY open_time) - t AS fall FROM k)") + "SELECT symbol, round(avg(r), 6) AS mean_return, round(avg(r) / (stddev_pop(r) + 1e-6), 6) AS sharpe, round(max(fall), 6) AS max_drawdown FROM d GROUP BY 1")

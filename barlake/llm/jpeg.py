@@ -158,11 +158,13 @@ class Decoder:
         self.parts: list[Component] = []
         self.restart, self.comment, self.scans = 0, b"", 0
         at = 2
+        self.ended = False
         if data[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG")
         while at < len(data):
             mark = data[at + 1]
             if mark == 0xD9:
+                self.ended = True
                 break
             size = struct.unpack(">H", data[at + 2 : at + 4])[0]
             body = data[at + 4 : at + 2 + size]
@@ -182,6 +184,8 @@ class Decoder:
             elif mark == 0xDA:
                 segments, at = self._segments(data, at)
                 self._scan(body, segments)
+        if not self.ended or not self.parts:
+            raise ValueError("not a whole JPEG")
 
     @staticmethod
     def _segments(data: bytes, at: int) -> tuple[list[bytes], int]:
@@ -423,8 +427,10 @@ def encode(payload: bytes) -> bytes:
     return b"".join([*out, b"\xff\xd9"])
 
 
-def payload(image: Decoder) -> bytes:
-    """The bytes that ``encode`` stored, from the coefficients."""
+def payload(image: Decoder) -> bytes | None:
+    """The bytes that ``encode`` stored, from the coefficients; None for other images."""
+    if not image.comment.startswith(b"blocks="):
+        return None
     blocks = np.concatenate([c.blocks for c in image.parts])[: int(image.comment.removeprefix(b"blocks="))]
     return (blocks - 256).astype(np.uint8).tobytes()
 
@@ -445,20 +451,36 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+MADE = {"payload": pa.binary(), "height": pa.int32(), "width": pa.int32(), "scans": pa.int32(), "rgb": pa.binary()}
+
+
+def decoded(media: bytes | None) -> dict:
+    """The values of ``MADE`` for one file; all null where it is null or cannot be read."""
+    try:
+        image = Decoder(media or b"")
+        return {"payload": payload(image), "height": image.height, "width": image.width, "scans": image.scans, "rgb": image.rgb().tobytes()}
+    except (ValueError, IndexError, KeyError, AttributeError, StopIteration, struct.error):
+        return dict.fromkeys(MADE)
+
+
 def read(stored: DataFrame, media_col: str = "media") -> DataFrame:
-    """``stored`` with payload, height, width, scans and rgb (height * width * 3 bytes) read from the media column."""
+    """``stored`` with payload, height, width, scans and rgb (height * width * 3 bytes) read from the media column.
+
+    Null media, and bytes that are no whole progressive JPEG, give nulls. Columns that clash with these names are replaced.
+    """
     frames.small_batches(stored.sparkSession, 128)
-    schema = T.StructType([*stored.schema.fields])
+    source = stored.select(*[c for c in stored.columns if c == media_col or c not in MADE])
+    schema = T.StructType([f for f in source.schema.fields if f.name not in MADE])
     for k, t in (("payload", "binary"), ("height", "integer"), ("width", "integer"), ("scans", "integer"), ("rgb", "binary")):
         schema = schema.add(k, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            images = [Decoder(x) for x in b.column(b.schema.get_field_index(media_col)).to_pylist()]
-            made = [pa.array([payload(x) for x in images], pa.binary()), *[pa.array([getattr(x, k) for x in images], pa.int32()) for k in ("height", "width", "scans")], pa.array([x.rgb().tobytes() for x in images], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, "payload", "height", "width", "scans", "rgb"])
+            images = [decoded(x) for x in b.column(b.schema.get_field_index(media_col)).to_pylist()]
+            own = [(c, k) for c, k in zip(b.columns, b.schema.names, strict=True) if k not in MADE]
+            yield pa.RecordBatch.from_arrays([*[c for c, _ in own], *[pa.array([x[k] for x in images], t) for k, t in MADE.items()]], [*[k for _, k in own], *MADE])
 
-    return stored.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

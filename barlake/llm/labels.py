@@ -31,3 +31,9 @@ def training_sample(labels: DataFrame, column: str, per_class: tuple[int, int],
     known = known_labels(labels, column)
     picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class[k]) for k in (0, 1)]
     return picked[0].union(picked[1])
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, label): one of the ``rows`` of each id, that with the least hash of its text, so that ids that repeat
+    do not widen the sample's bound."""
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))

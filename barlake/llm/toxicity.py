@@ -48,7 +48,7 @@ def train(docs: DataFrame, marks: DataFrame, column: str = "toxic", per_class: t
     """Weights from at most ``per_class`` documents of label 0 and of label 1; ``docs``: (doc_id, text)."""
     frames.small_batches(docs.sparkSession)
     sample = labels.training_sample(marks, column, per_class, SEED)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(_extract, "doc_id long, label int, found binary").collect()
+    rows = labels.one_each(docs.join(F.broadcast(sample), "doc_id")).mapInArrow(_extract, "doc_id long, label int, found binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.found))
     y = np.array([r.label for r in rows], float)
     if not len(rows) or y.min() == y.max():

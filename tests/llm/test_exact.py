@@ -248,3 +248,12 @@ def test_long_secrets(spark):
     docs = spark.createDataFrame(made, "doc_id long, text string")
     assert {r.doc_id: r.spans for r in pii.digest(docs).collect()} == {n: f"secret:17:{17 + 4 * n}" for n, _ in made}
     assert {r.text for r in pii.redact(pii.find_pii(docs)).collect()} == {"the api token is [SECRET] ."}
+
+
+def test_broken_media(spark):
+    """Null and broken files give nulls, clashing columns are replaced, whole files are read."""
+    whole = jpeg.encode(bytes(range(64)))
+    made = [(1, whole, "x"), (2, None, "x"), (3, b"", "x"), (4, b"no image", "x"), (5, whole[:-40], "x"), (6, whole[:200], "x"), (7, b"\xff\xd8\xff\xd9", "x")]
+    found = jpeg.read(spark.createDataFrame(made, "doc_id long, media binary, height string")).collect()
+    assert {r.doc_id: r.payload and bytes(r.payload) for r in found} == {1: bytes(range(64)), **dict.fromkeys(range(2, 8))}
+    assert all((r.height is None) == (r.doc_id > 1) for r in found)

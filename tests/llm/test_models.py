@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barlake.llm import ftrl, mixing, rule_ensemble, toxicity
+from barlake.llm import ftrl, labels, mixing, rule_ensemble, toxicity
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.01"
@@ -144,3 +144,25 @@ def test_toxicity_keeps_the_class_shares(spark):
     weights = toxicity.train(docs, marks, per_class=(100, 100))
     score = 1 / (1 + np.exp(-(weights[toxicity.features("the very same words")].sum() + weights[-1])))
     assert 0.03 < score < 0.25
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, an empty table, and columns named like what the stages make, which stay as they were."""
+    words_ = " ".join(f"word{i} and" for i in range(30))
+    made = [(1, words_ + " mail a@b.co", "en", "web", 9), (1, words_ + " mail a@b.co", "en", "web", 9), (2, None, None, None, None), (3, "", "en", None, 0), (None, words_ + " without an id", None, "web", 1), (4, "short", "de", "web", 5)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'own' AS kept", "'own' AS cleaned", "'own' AS pii", "'own' AS n_tokens", "'own' AS marks")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        for given in (docs, docs.limit(0)):
+            rows = stage(spark, given, "")
+            assert rows.columns == docs.columns, name
+            assert all(r[c] == "own" for r in rows.collect() for c in ("kept", "cleaned", "pii", "n_tokens", "marks")), name
+    assert Counter(r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()) == {1: 2, None: 1}
+    clean = {(r.doc_id, r.text) for r in corpus_pipeline.personal_data(spark, docs, "").collect()}
+    assert (2, None) in clean and (1, words_ + " mail [EMAIL]") in clean
+    assert corpus_pipeline.pack(spark, docs.limit(0), "").count() == 0
+
+
+def test_training_takes_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", 1) for i in range(50)] + [(2, None, 0)], "doc_id long, text string, label int")
+    found = labels.one_each(docs).collect()
+    assert sorted((r.doc_id, r.label) for r in found) == [(1, 1), (2, 0)]

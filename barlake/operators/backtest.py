@@ -201,20 +201,42 @@ def drawdown(returns: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return run.groupBy(by).agg(F.avg(value).alias("mean_return"), (F.avg(value) / (F.stddev_pop(value) + 1e-6)).alias("sharpe"), F.max("fall_").alias("max_drawdown"))
 
 
-def trade_labels(signals_: DataFrame, bars: DataFrame, rows: int) -> DataFrame:
-    """For each signal, over the ``rows`` bars after it: whether the target comes before the stop, and the extremes."""
-    ahead = Window.partitionBy("symbol").orderBy("open_time").rowsBetween(1, rows)
-    seen = bars.select("symbol", "open_time", F.min("low").over(ahead).alias("lowest"), F.max("high").over(ahead).alias("highest"), F.collect_list(F.struct("high", "low")).over(ahead).alias("next_"))
-    j = signals_.join(seen, ["symbol", "open_time"])
+def trade_labels(signals_: DataFrame, bars: DataFrame, rows: int, cell: int = 64) -> DataFrame:
+    """For each signal, over the ``rows`` bars after it: whether the target comes before the stop (both at once: no), the
+    extremes against and for it, and these in % of the entry. Signals without a later bar are left out.
+
+    Bars are joined by cells of ``cell`` bars to the few signals that reach into them.
+    """
+    numbered = bars.select("symbol", "open_time", "high", "low", F.row_number().over(by_time()).alias("rn"))
+    s = signals_.join(numbered.select("symbol", "open_time", F.col("rn").alias("s_rn")), ["symbol", "open_time"])
+    s = s.withColumn("cell", F.explode(F.sequence(F.expr(f"cast((s_rn + 1) div {cell} as int)"), F.expr(f"cast((s_rn + {rows}) div {cell} as int)"))))
+    part = numbered.select("symbol", F.expr(f"cast(rn div {cell} as int)").alias("cell"), "rn", "high", "low")
+    seen = s.join(part, ["symbol", "cell"]).where(f"rn > s_rn AND rn <= s_rn + {rows}")
     long_ = F.col("side") == "long"
+    sl = (long_ & (F.col("low") <= F.col("stop_loss"))) | (~long_ & (F.col("high") >= F.col("stop_loss")))
+    tp = (long_ & (F.col("high") >= F.col("take_profit"))) | (~long_ & (F.col("low") <= F.col("take_profit")))
+    found = seen.groupBy("symbol", "open_time", "side", "entry").agg(F.min(F.when(sl, F.col("rn"))).alias("sl_"), F.min(F.when(tp, F.col("rn"))).alias("tp_"), F.min("low").alias("lowest"), F.max("high").alias("highest"))
+    against, with_ = F.when(long_, F.col("lowest")).otherwise(F.col("highest")), F.when(long_, F.col("highest")).otherwise(F.col("lowest"))
+    way = F.when(long_, 1).otherwise(-1)
+    percent = lambda x: F.greatest(F.lit(0.0), x / F.col("entry") * 100)
+    return found.where("entry > 0").select(
+        "symbol", "open_time", "side", F.when(F.col("tp_").isNotNull() & (F.col("sl_").isNull() | (F.col("tp_") < F.col("sl_"))), 1.0).otherwise(0.0).alias("would_trade_successful"),
+        against.alias("optimal_sl"), with_.alias("optimal_tp"), percent(way * (F.col("entry") - against)).alias("optimal_sl_pct"), percent(way * (with_ - F.col("entry"))).alias("optimal_tp_pct"),
+    )
 
-    def step(acc: Column, b: Column) -> Column:
-        sl = F.when(long_, b["low"] <= F.col("stop_loss")).otherwise(b["high"] >= F.col("stop_loss"))
-        tp = F.when(long_, b["high"] >= F.col("take_profit")).otherwise(b["low"] <= F.col("take_profit"))
-        return F.when(acc != -1, acc).when(sl, 0).when(tp, 1).otherwise(-1)
 
-    won = F.aggregate("next_", F.lit(-1), step)
-    return j.where(F.size("next_") > 0).select("symbol", "open_time", "side", F.when(won == 1, 1).otherwise(0).alias("would_trade_successful"), F.when(long_, F.col("lowest")).otherwise(F.col("highest")).alias("optimal_sl"), F.when(long_, F.col("highest")).otherwise(F.col("lowest")).alias("optimal_tp"))
+def aggregates(metrics_: DataFrame) -> DataFrame:
+    """One row over the metrics of all symbols: how many, means, medians and sums; infinite values are left out of means."""
+    known = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
+    out = [F.count("*").alias("n_symbols_in_batch")]
+    out += [F.avg(known(c)).alias(f"mean_{c}") for c in ("win_rate", "total_return_pct", "total_pnl", "profit_factor", "n_trades", "avg_return_win_pct", "avg_return_loss_pct")]
+    out += [F.median(known(c)).alias(f"median_{c}") for c in ("win_rate", "total_return_pct", "profit_factor")]
+    return metrics_.agg(*out, F.sum(known("total_pnl")).alias("sum_total_pnl"), F.sum("n_trades").alias("sum_n_trades"))
+
+
+def best_runs(metrics_: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` rows with the greatest profit factor, then profit: a top-n report."""
+    return metrics_.orderBy(F.desc("profit_factor"), F.desc("total_pnl"), metrics_.columns[0]).limit(n)
 
 
 def correlations(rows: DataFrame, features: list[str], target: str, least: int = 50) -> DataFrame:
@@ -224,3 +246,27 @@ def correlations(rows: DataFrame, features: list[str], target: str, least: int =
     return out.where((F.col("n") >= least) & (F.col("lo") < F.col("hi"))).select("feature", "pearson", "n")
 
 
+def ranked(long: DataFrame, by: str, value: str, name: str, parts: int = 64) -> DataFrame:
+    """``long`` with ``name``: the rank of ``value`` among the rows of its ``by``, ties sharing their mean rank.
+
+    Values are cut at approximate quantiles (a small table of ``parts`` - 1 bounds for each ``by``, read once so that all
+    steps see the same), so that one ``by`` is spread over tasks: rows before the part, plus the rank within it.
+    """
+    bounds = long.groupBy(by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("bounds_")).collect()
+    kind = long.schema[by].dataType.simpleString()
+    cuts = long.sparkSession.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in bounds], f"{by} {kind}, bounds_ array<double>")
+    cut = long.join(F.broadcast(cuts), by).withColumn("part_", F.size(F.filter("bounds_", lambda x: x < F.col(value)))).drop("bounds_")
+    sizes = cut.groupBy(by, "part_").agg(F.count("*").alias("size_"))
+    before = sizes.select(by, "part_", (F.sum("size_").over(Window.partitionBy(by).orderBy("part_")) - F.col("size_")).alias("before_"))
+    inside = Window.partitionBy(by, "part_")
+    rank = F.rank().over(inside.orderBy(value)) + (F.count("*").over(Window.partitionBy(by, "part_", value)) - 1) / 2
+    return cut.withColumn("rank_", rank).join(F.broadcast(before), [by, "part_"]).withColumn(name, F.col("before_") + F.col("rank_")).drop("part_", "rank_", "before_")
+
+
+def spearman(rows: DataFrame, features: list[str], target: str, least: int = 50) -> DataFrame:
+    """(feature, correlation, abs_correlation): rank correlations over complete pairs; features with fewer than ``least``
+    pairs or one value are left out."""
+    long = rows.select(F.col(target).cast("double").alias("y"), F.expr("stack({}, {}) AS (feature, x)".format(len(features), ", ".join(f"'{f}', cast(`{f}` as double)" for f in features)))).where("x IS NOT NULL AND y IS NOT NULL")
+    both = ranked(ranked(long, "feature", "x", "rx"), "feature", "y", "ry")
+    out = both.groupBy("feature").agg(F.corr("rx", "ry").alias("correlation"), F.count("*").alias("n"), F.min("rx").alias("lo"), F.max("rx").alias("hi"))
+    return out.where((F.col("n") >= least) & (F.col("lo") < F.col("hi"))).select("feature", "correlation", F.abs("correlation").alias("abs_correlation"))

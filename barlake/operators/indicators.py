@@ -10,6 +10,8 @@ from barlake.functions.supertrend import feature_step, strategy_step
 from barlake.functions.windows import back, by_time, ewm, rolling, so_far
 from barlake.functions.walk import walk
 
+from .align import align
+
 
 def previous(x: Column | str, k: int = 1) -> Column:
     return F.lag(x, k).over(by_time())
@@ -177,3 +179,8 @@ def bundle(bars: DataFrame) -> DataFrame:
     out = out.withColumns({"macd_hist": F.col("macd") - F.col("macd_signal"), "keltner_mid": F.col("ema_20"), "keltner_upper": F.col("ema_20") + 1.5 * F.col("atr_20"), "keltner_lower": F.col("ema_20") - 1.5 * F.col("atr_20"), **{f"sma_{n}": sma(C, n) for n in (20, 50, 200)}, "williams_r_14": williams_r()})
     out = volume_bundle(bollinger(cci(stochastic(out))))
     return out.drop("tr_", "gain_", "loss_", "up_", "down_", "u_", "d_", "dx_", "ema_12", "ema_26", "atr_20", *[f"{k}_{p}" for p in (7, 14, 21) for k in ("gain", "loss")])
+
+
+def matrix(frames: dict[str, DataFrame], base: str = "15m") -> DataFrame:
+    """The bundle of every interval, made on its own bars and taken as of each base bar; columns are ``{interval}_{name}``."""
+    return align({name: bundle(bars) for name, bars in frames.items()}, base)

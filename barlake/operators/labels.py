@@ -11,9 +11,9 @@ from .align import asof
 
 
 def percentile_rank(x: Column, n: int = 100) -> Column:
-    """Share of the last ``n`` values that are at most this one; null below max(15, n / 5) values."""
+    """Share of the last ``n`` values that are at most this one; null if it is null or below max(15, n / 5) values."""
     held = F.collect_list(x).over(back(n))
-    return F.when(F.size(held) >= max(15, n // 5), F.size(F.filter(held, lambda v: v <= x)) / F.size(held))
+    return F.when((F.size(held) >= max(15, n // 5)) & x.isNotNull(), F.size(F.filter(held, lambda v: v <= x)) / F.size(held))
 
 
 def regime(bars: DataFrame, adx: str = "adx_14", atr: str = "atr_14", n: int = 100) -> DataFrame:
@@ -60,6 +60,16 @@ def legacy_targets(bars: DataFrame, steps: tuple[int, ...] = (1, 4, 16, 96)) ->
     return bars.withColumns(out)
 
 
+def simple_targets(bars: DataFrame, steps: tuple[int, ...] = (1, 4), least: float = 0.005) -> DataFrame:
+    """Simple returns over ``steps`` rows ahead, and 1, -1 or 0 as the change is beyond ``least`` of the close or within."""
+    C = F.col("close")
+    out = {}
+    for k in steps:
+        change = F.lead(C, k).over(by_time()) - C
+        out |= {f"target_fwd_ret_{k}": F.try_divide(change, C), f"target_dir_{k}": F.when(change > least * C, 1.0).when(change < -least * C, -1.0).when(change.isNotNull(), 0.0)}
+    return bars.withColumns(out)
+
+
 def risk_adjusted(bars: DataFrame, steps: int, atr: str = "atr_14") -> Column:
     """Forward simple return over ``steps`` rows, divided by ATR."""
     C = F.col("close")

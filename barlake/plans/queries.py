@@ -511,6 +511,86 @@ def compare_runs(spark: SparkSession, sf: str) -> DataFrame:
     return backtest.compare(a, b)
 
 
+# ---- several intervals, labels, reports over runs ----------------------------------------------------------------------
+
+_N3 = ", ".join([_b("15m", "x1"), _b("1h", "x2"), _b("4h", "x3"), "b AS (SELECT * REPLACE (symbol || '|' || \"interval\" AS symbol) FROM (SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3))"]) + _N[len(_b(ONE_HOUR)) :]
+
+
+def _three(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return {i: bars(spark, sf, i) for i in ("15m", "1h", "4h")}
+
+
+_SIDES = ", ".join(f"{t} AS (SELECT * FROM j WHERE \"interval\" = '{i}')" for t, i in (("ja", "15m"), ("jh", "1h"), ("jd", "4h")))
+_ASOF3 = "FROM ja a ASOF LEFT JOIN jh h ON a.symbol = h.symbol AND a.open_time >= h.open_time ASOF LEFT JOIN jd d ON a.symbol = d.symbol AND a.open_time >= d.open_time"
+_SHOWN = ["ema_20", "rsi_14", "atr_14"]
+
+
+@query("WITH RECURSIVE " + _N3 + _G + ", " + _chain({"c20": ("close", 2 / 21), "a": ("tr", 1 / 14), "g": ("gain", 1 / 14), "l": ("loss", 1 / 14)}, "g") + ", j AS (SELECT split_part(t.symbol, '|', 1) AS symbol, \"interval\", open_time, c20 AS ema_20, CASE WHEN rn >= 15 THEN 100 - 100 / (1 + e.g / nullif(l, 0)) END AS rsi_14, CASE WHEN rn >= 14 THEN a END AS atr_14 FROM e JOIN t USING (symbol, rn)), " + _SIDES + " SELECT a.symbol, a.open_time, " + ", ".join(f'round({t}.{c}, 6) AS "{i}_{c}"' for t, i in (("a", "15m"), ("h", "1h"), ("d", "4h")) for c in _SHOWN) + " " + _ASOF3)
+def technical_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine of the matrix's columns: three of each interval."""
+    return shown(indicators.matrix(_three(spark, sf)), *[f"{i}_{c}" for i in ("15m", "1h", "4h") for c in _SHOWN])
+
+
+def _regime_of(tag: str) -> str:
+    return f"CAST(CASE WHEN r{tag} IS NULL OR x{tag} IS NULL THEN NULL WHEN r{tag} >= 0.75 THEN 3 WHEN x{tag} > 25 THEN 2 WHEN x{tag} < 20 THEN 1 WHEN r{tag} <= 0.25 THEN 0 ELSE 1 END AS BIGINT)"
+
+
+_ADX = ", " + _chain({"a": ("tr", 1 / 14), "u": ("up", 1 / 14), "v": ("down", 1 / 14)}, "m") + _DX + ", e2 AS (SELECT symbol, rn, CAST(dx AS DOUBLE) AS y FROM x WHERE rn = 1 UNION ALL SELECT x.symbol, x.rn, e2.y + (x.dx - e2.y) / 14 FROM e2 JOIN x ON x.symbol = e2.symbol AND x.rn = e2.rn + 1)"
+
+
+@query("WITH RECURSIVE " + _N3 + _DM + _ADX + ", j AS (SELECT split_part(t.symbol, '|', 1) AS symbol, \"interval\", open_time, CASE WHEN rn >= 14 THEN y END AS x, CASE WHEN rn >= 14 THEN e.a END AS v FROM e2 JOIN e USING (symbol, rn) JOIN t USING (symbol, rn)), " + _SIDES + ", q AS (SELECT a.symbol, a.open_time, a.x AS xa, a.v AS va, h.x AS xh, h.v AS vh, d.x AS xd, d.v AS vd " + _ASOF3 + "), q2 AS (SELECT *, " + ", ".join(f"list(v{t}) FILTER (WHERE v{t} IS NOT NULL) OVER {_rows(100)} AS l{t}" for t in "ahd") + " FROM q), q3 AS (SELECT *, " + ", ".join(f"CASE WHEN len(l{t}) >= 20 AND v{t} IS NOT NULL THEN len(list_filter(l{t}, lambda i: i <= v{t})) / len(l{t}) END AS r{t}" for t in "ahd") + " FROM q2) SELECT symbol, open_time, coalesce(xa > 25, false)::BIGINT AS regime_trending, coalesce(xa < 20, false)::BIGINT AS regime_ranging, coalesce(ra >= 0.75, false)::BIGINT AS regime_volatile, " + ", ".join(f"{_regime_of(t)} AS regime_{i}" for t, i in (("a", "15m"), ("h", "1h"), ("d", "4h"))) + " FROM q3")
+def regimes_15m_1h_4h(spark: SparkSession, sf: str) -> DataFrame:
+    known = {i: indicators.atr(indicators.adx(b), [14]) for i, b in _three(spark, sf).items()}
+    return shown(labels.regimes(known), "regime_trending", "regime_ranging", "regime_volatile", "regime_15m", "regime_1h", "regime_4h")
+
+
+@query("WITH RECURSIVE " + _N + ", " + _chain({"a": ("tr", 1 / 14)}) + " SELECT t.symbol, open_time, " + ", ".join(f"round((lead(close, {k}) OVER w - close) / nullif(close, 0) / nullif(CASE WHEN rn >= 14 THEN a END, 0), 6) AS target_risk_adjusted_return_{h}" for h, k in (("1h", 1), ("4h", 4), ("1d", 24))) + " FROM e JOIN t USING (symbol, rn) WINDOW w AS (PARTITION BY t.symbol ORDER BY open_time)")
+def targets_risk_adjusted(spark: SparkSession, sf: str) -> DataFrame:
+    b = indicators.atr(bars(spark, sf), [14])
+    return shown(b.withColumns({f"target_risk_adjusted_return_{h}": labels.risk_adjusted(b, k) for h, k in (("1h", 1), ("4h", 4), ("1d", 24))}), *[f"target_risk_adjusted_return_{h}" for h in ("1h", "4h", "1d")])
+
+
+@query(_with(_b("1h")) + "SELECT symbol, open_time, " + ", ".join(f"round((lead(close, {k}) OVER w - close) / nullif(close, 0), 6) AS target_fwd_ret_{k}, CAST(CASE WHEN lead(close, {k}) OVER w - close > 0.005 * close THEN 1 WHEN lead(close, {k}) OVER w - close < -0.005 * close THEN -1 WHEN lead(close, {k}) OVER w IS NOT NULL THEN 0 END AS DOUBLE) AS target_dir_{k}" for k in (1, 4)) + " FROM b " + _W)
+def targets_simple(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(labels.simple_targets(bars(spark, sf)), *[f"target_{n}_{k}" for k in (1, 4) for n in ("fwd_ret", "dir")])
+
+
+@query(_with(_PLAIN) + ", g AS (SELECT s.symbol, s.open_time, s.side, s.close AS entry, min(n.rn) FILTER ((s.side = 'long' AND n.low <= s.sl) OR (s.side = 'short' AND n.high >= s.sl)) AS a, min(n.rn) FILTER ((s.side = 'long' AND n.high >= s.tp) OR (s.side = 'short' AND n.low <= s.tp)) AS z, CASE s.side WHEN 'long' THEN min(n.low) ELSE max(n.high) END AS worst, CASE s.side WHEN 'long' THEN max(n.high) ELSE min(n.low) END AS best, CASE s.side WHEN 'long' THEN 1 ELSE -1 END AS way FROM s JOIN n ON n.symbol = s.symbol AND n.rn BETWEEN s.rn + 1 AND s.rn + 48 GROUP BY s.symbol, s.open_time, s.side, s.close) SELECT symbol, open_time, side, CASE WHEN z IS NOT NULL AND (a IS NULL OR z < a) THEN 1.0 ELSE 0.0 END::DOUBLE AS would_trade_successful, round(worst, 6) AS optimal_sl, round(best, 6) AS optimal_tp, round(greatest(0, way * (entry - worst) / entry * 100), 6) AS optimal_sl_pct, round(greatest(0, way * (best - entry) / entry * 100), 6) AS optimal_tp_pct FROM g WHERE entry > 0")
+def trade_labels(spark: SparkSession, sf: str) -> DataFrame:
+    b = bars(spark, sf)
+    return _rounded(backtest.trade_labels(_plain_signals(b), b, 48))
+
+
+_METRICS = _SQL["backtest_metrics"].replace(" SELECT * REPLACE", ", all_ AS (SELECT * REPLACE") + ")"
+_FINITE = ["win_rate", "total_return_pct", "total_pnl", "profit_factor", "n_trades", "avg_return_win_pct", "avg_return_loss_pct"]
+
+
+@query(_METRICS + " SELECT count(*) AS n_symbols_in_batch, " + ", ".join(f"round(avg({c}) FILTER (isfinite({c}::DOUBLE)), 4) AS mean_{c}" for c in _FINITE) + ", " + ", ".join(f"round(median({c}) FILTER (isfinite({c}::DOUBLE)), 4) AS median_{c}" for c in ("win_rate", "total_return_pct", "profit_factor")) + ", round(sum(total_pnl), 4) AS sum_total_pnl, CAST(sum(n_trades) AS BIGINT) AS sum_n_trades FROM all_")
+def batch_aggregates(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(backtest.aggregates(backtest.metrics(_plain_trades(spark, sf))), 4)
+
+
+@query(_METRICS + " SELECT symbol, profit_factor, total_pnl, n_trades FROM all_ ORDER BY profit_factor DESC, total_pnl DESC, symbol LIMIT 3")
+def best_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return backtest.best_runs(_rounded(backtest.metrics(_plain_trades(spark, sf)))).select("symbol", "profit_factor", "total_pnl", "n_trades")
+
+
+@query(_with(_b("1h"), "y AS (SELECT *, lead(close, 4) OVER w / nullif(close, 0) - 1 AS y FROM b " + _W + ")", "l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, y FROM y WHERE {c} IS NOT NULL AND y IS NOT NULL" for c in ("open", "high", "low", "volume")) + ")", "r AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2 AS ry FROM l)") + "SELECT feature, round(corr(rx, ry), 6) AS correlation, round(abs(corr(rx, ry)), 6) AS abs_correlation FROM r GROUP BY 1 HAVING count(*) >= 50 AND min(rx) < max(rx)")
+def feature_spearman(spark: SparkSession, sf: str) -> DataFrame:
+    b = bars(spark, sf).withColumn("y", F.try_divide(F.lead("close", 4).over(indicators.by_time()), F.col("close")) - 1)
+    return _rounded(backtest.spearman(b, ["open", "high", "low", "volume"], "y"))
+
+
+@query(_with(_b("1h")) + "SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 100")
+def latest_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return src.latest(bars(spark, sf), 100)
+
+
+@query(_with(_b("1d"), "g AS (SELECT symbol, min(open_time) AS a, max(open_time) AS z FROM b GROUP BY 1)", "c AS (SELECT symbol, a, z, unnest(range(year(epoch_ms(a)), year(epoch_ms(z)) + 1)) AS year FROM g)") + "SELECT symbol, year, greatest(a, greatest(a, epoch_ms(make_timestamp(year, 1, 1, 0, 0, 0))) - 5184000000) AS load_start_ms, least(z, epoch_ms(make_timestamp(year + 1, 1, 1, 0, 0, 0)) - 1) AS load_end_ms, greatest(a, epoch_ms(make_timestamp(year, 1, 1, 0, 0, 0))) AS entry_start_ms, least(z, epoch_ms(make_timestamp(year + 1, 1, 1, 0, 0, 0)) - 1) AS entry_end_ms FROM c")
+def year_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return src.year_chunks(bars(spark, sf, "1d"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_SPARK)
 

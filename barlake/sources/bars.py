@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +120,66 @@ def enrich(bars: DataFrame, window: int = 20) -> DataFrame:
 def ticks_of_events(events: DataFrame) -> DataFrame:
     """The event table as ticks: event types are symbols, each event has size 1."""
     return events.select(F.col("event_type").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time_us"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
+
+
+def latest(bars: DataFrame, rows: int) -> DataFrame:
+    """The last ``rows`` bars of each symbol and interval: a bounded history."""
+    w = Window.partitionBy("symbol", "interval").orderBy(F.desc("open_time"))
+    return bars.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= rows).drop("n_")
+
+
+def refresh(old: DataFrame, new: DataFrame, rows: int) -> DataFrame:
+    """``old`` bars with the ``new`` ones, which win where both have a key, cut to the last ``rows`` of each symbol and interval."""
+    return latest(upsert(old, new), rows)
+
+
+def year_chunks(bars: DataFrame, warmup_days: int = 60) -> DataFrame:
+    """For each symbol and calendar year (UTC) of its bars: where entries start and end, and where loading starts for them."""
+    day = 86_400_000
+    span = bars.groupBy("symbol").agg(F.min("open_time").alias("first_"), F.max("open_time").alias("last_"))
+    of = lambda c: F.year(F.timestamp_millis(c))
+    each = span.withColumn("year", F.explode(F.sequence(of("first_"), of("last_"))))
+    start = F.unix_millis(F.make_timestamp("year", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    end = F.unix_millis(F.make_timestamp(F.col("year") + 1, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))) - 1
+    entry = F.greatest("first_", start)
+    return each.select("symbol", F.col("year").cast("long").alias("year"), F.greatest("first_", entry - warmup_days * day).alias("load_start_ms"), F.least("last_", end).alias("load_end_ms"), entry.alias("entry_start_ms"), F.least("last_", end).alias("entry_end_ms"))
+
+
+def day_range(start: str, end: str) -> tuple[int, int]:
+    """(first, last) millisecond of the days from ``start`` to ``end`` (YYYY-MM-DD, UTC), both included."""
+    first, last = (datetime.datetime.strptime(d, "%Y-%m-%d").replace(tzinfo=datetime.UTC) for d in (start, end))
+    return int(first.timestamp() * 1000), int(last.timestamp() * 1000) + 86_400_000 - 1
+
+
+def read_klines_json(spark: SparkSession, path: str) -> DataFrame:
+    """Bars from files of one JSON array of kline arrays each, as exchanges answer; symbol and interval are read from the path."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<array<string>>")).alias("k"), F.col("_metadata.file_path").alias("file"))
+    at = r"([A-Z0-9]+)[-_/](\d+[mhd])[^/]*$"
+    names = ["open", "high", "low", "close", "volume"]
+    return raw.where(F.size("k") >= 6).select(F.regexp_extract("file", at, 1).alias("symbol"), F.regexp_extract("file", at, 2).alias("interval"), epoch_ms(F.element_at("k", 1).cast("long")).alias("open_time"), *[F.element_at("k", i + 2).cast("double").alias(n) for i, n in enumerate(names)])
+
+
+def misshapen(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lines, bad_lines) of kline CSV files with lines that have not 12 fields or no number first; none: all are good."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", ",").alias("f"))
+    bad = (F.size("f") != 12) | ~F.element_at("f", 1).rlike("^[0-9]+$")
+    return lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(bad).alias("bad_lines")).where("bad_lines > 0")
+
+
+TRADES = "symbol string, side string, entry_time long, exit_time long, entry_price double, exit_price double, size double, pnl double, pnl_pct double, stop_loss double, take_profit double, exit_reason string"
+
+
+def write_trades(trades: DataFrame, path: str) -> None:
+    """Trades as CSV with a header."""
+    trades.select(*[x.split()[0] for x in TRADES.split(", ")]).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_trades(spark: SparkSession, path: str) -> DataFrame:
+    """Trades written by ``write_trades``; a missing exit reason is empty."""
+    return spark.read.schema(TRADES).option("header", True).csv(path).fillna("", ["exit_reason"])
+
+
+def write_summary(metrics: DataFrame, config: dict, path: str) -> None:
+    """A JSON line for each row of ``metrics``, with the run's ``config``; infinite and undefined numbers become null."""
+    finite = [F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in metrics.dtypes]
+    metrics.select(F.struct(*finite).alias("metrics"), F.lit(json.dumps(config)).alias("strategy_config")).write.mode("overwrite").option("ignoreNullFields", False).json(path)

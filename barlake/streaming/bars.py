@@ -27,3 +27,11 @@ def distinct_alerts(signals: DataFrame, late: str = "1 day") -> DataFrame:
 def message() -> Column:
     """One line for an alert."""
     return F.format_string("%s %s at %s: stop %.4f, target %.4f", F.upper("symbol"), F.upper("side"), F.col("ts").cast("string"), "stop_loss", "take_profit")
+
+
+def closed(bars: DataFrame, now_ms: Column | int) -> DataFrame:
+    """Bars that have ended at ``now_ms``: the running one is left out."""
+    width = {"m": 60_000, "h": 3_600_000, "d": 86_400_000}
+    unit = F.element_at(F.create_map(*[F.lit(x) for kv in width.items() for x in kv]), F.substring("interval", -1, 1))
+    ms = F.regexp_extract("interval", r"^(\d+)", 1).cast("long") * unit
+    return bars.where(F.col("open_time") + ms <= (F.lit(now_ms) if isinstance(now_ms, int) else now_ms))

@@ -47,29 +47,23 @@ def ewm(bars: DataFrame, averages: dict[str, tuple[str, float, int]]) -> DataFra
 
     y = (1 - alpha) * y before + alpha * x, starting with the first value; null before ``least`` values. Inputs may start
     with nulls but have none in between. Rows are numbered per symbol and cut into blocks: a windowed sum makes each
-    block's own part, block totals (one row a block) are chained, and the carry is joined back. So a long symbol is spread
-    over tasks but for the numbering.
+    block's own part, to which the ends of the blocks before are added, as far as they weigh more than 2 ** -60. All windows
+    are by symbol, so that bars are shuffled once and nothing is joined.
     """
     size = min(block_size(a) for _, a, _ in averages.values())
-    w = by_time()
-    rn = F.row_number().over(w) - 1
-    base = bars.withColumn("rn_", rn).withColumns({f"n_{y}": F.count(x).over(so_far()) for y, (x, _, _) in averages.items()})
+    base = bars.withColumn("rn_", F.row_number().over(by_time()) - 1).withColumns({f"n_{y}": F.count(x).over(so_far()) for y, (x, _, _) in averages.items()})
     base = base.withColumns({"block_": F.floor(F.col("rn_") / size).cast("int"), "k_": (F.col("rn_") % size).cast("int")})
     inside = Window.partitionBy("symbol", "block_").orderBy("rn_").rowsBetween(Window.unboundedPreceding, 0)
-    parts = {}
+    in_order = Window.partitionBy("symbol").orderBy("rn_")
+    parts, ends, carried = {}, {}, {}
     for y, (x, a, _) in averages.items():
         weight = F.when(F.col(x).isNull(), 0.0).when(F.col(f"n_{y}") == 1, 1.0).otherwise(a)
         q = F.lit(1 - a)
         parts[f"p_{y}"] = F.pow(q, F.col("k_")) * F.sum(weight * F.coalesce(F.col(x).cast("double"), F.lit(0.0)) * F.pow(q, -F.col("k_"))).over(inside)
-    local = base.withColumns(parts)
-    ends = local.groupBy("symbol", "block_").agg(*[F.max_by(f"p_{y}", "rn_").alias(f"e_{y}") for y in averages])
-    before = Window.partitionBy("symbol").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
-    carry = {f"c_{y}": _carry(f"e_{y}", (1 - a) ** size, before) for y, (_, a, _) in averages.items()}
-    carried = ends.select("symbol", "block_", *[c.alias(k) for k, c in carry.items()])
-    out = local.join(carried, ["symbol", "block_"])
+        ends[f"e_{y}"] = F.last(F.when(F.col("k_") == size - 1, F.col(f"p_{y}")), ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+        decay = (1 - a) ** size
+        terms = 1 if decay < 2.0**-60 else math.ceil(60 * math.log(2) / -math.log(decay))
+        carried[f"c_{y}"] = sum((decay**j * F.coalesce(F.lag(f"e_{y}", j * size).over(in_order) if j else F.col(f"e_{y}"), F.lit(0.0)) for j in range(terms)), F.lit(0.0))
+    out = base.withColumns(parts).withColumns(ends).withColumns(carried)
     made = {y: F.when(F.col(f"n_{y}") >= max(1, least), F.col(f"p_{y}") + F.col(f"c_{y}") * F.pow(F.lit(1 - a), F.col("k_") + 1)) for y, (_, a, least) in averages.items()}
     return out.withColumns(made).select(*bars.columns, *averages)
-
-
-def _carry(end: str, decay: float, before: WindowSpec) -> Column:
-    return F.aggregate(F.collect_list(end).over(before), F.lit(0.0), lambda acc, e: acc * decay + e)

@@ -3,11 +3,11 @@
 Texts are reduced to their words (runs of ASCII letters and digits and of all characters from U+0080; A-Z lower-cased),
 joined by one space. A rule is a regular expression over this form with a keyword, a priority and a confidence. A rule
 runs on a text only if the text holds its keyword. Of the detections, one that lies within the interval of a detection
-that comes before it (by priority, then length, then start) is dropped. The labels that are left, and those of the base
+that comes before it (by the rules' order, which is by priority; then length, then start) is dropped. The labels that are left, and those of the base
 phrases, which always stay, are the text's labels. The score is the best confidence among them, 0 without any.
 
 All of it is Spark column expressions on each row: no Python on executors, no shuffle. Null or empty text: no words, no
-labels, score 0. Nulls in other columns, repeated rows and ties (equal priority, length and start: the earlier rule)
+labels, score 0. Nulls in other columns, repeated rows and ties (equal priority: the earlier rule)
 change nothing else. Empty table: empty result. Columns of the input that clash with an output column are replaced.
 """
 
@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .places import let, places
+
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -153,53 +155,35 @@ def normal_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, upper, lower), rf"[{_SEP}]+", " "))
 
 
-def _found(norm: Column, pattern: Column) -> Column:
-    """(start, end) in characters of every match in ``norm``."""
-    hits = F.regexp_extract_all(norm, pattern, F.lit(0))
-    both = _let(hits, lambda h: F.when(F.size(h) > 0, F.zip_with(h, F.transform(F.split(norm, pattern, -1), F.length), lambda m, g: F.struct(F.length(m).alias("m"), g.alias("g")))).otherwise(F.array().cast("array<struct<m:int,g:int>>")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        return F.struct((start + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["m"]).alias("end")))).alias("out"))
-
-    return F.aggregate(F.filter(both, lambda x: x["m"].isNotNull()), first, step, lambda acc: acc["out"])
-
-
 def _table(rows: list[tuple]) -> Column:
     """The rules as one constant array, in their order; as JSON, since thousands of literals take the driver long."""
     made = [{"rank": i, "keyword": key, "keywords": keys, "sure": sure, "label": label, "pattern": _bounded(x)} for i, (_, key, keys, sure, label, x) in enumerate(rows)]
     return F.from_json(F.lit(json.dumps(made)), "array<struct<rank:int,keyword:string,keywords:array<string>,sure:double,label:string,pattern:string>>")
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once for the row, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
+_PLACED = "array<struct<word:bigint,start:int,end:int,label:string>>"
 _DETECTION = "array<struct<rank:int,shorter:int,start:int,end:int,label:string,sure:double>>"
 
 
 def _base(norm: Column, phrase: str, label: str) -> Column:
-    def place(m: Column) -> Column:
-        before = F.substring(norm, F.lit(1), m["start"])
-        return F.struct(F.length(F.regexp_replace(before, "[^ ]+", "")).cast("long").alias("word"), m["start"].alias("start"), m["end"].alias("end"), F.lit(label).alias("label"))
-
-    return F.transform(_found(norm, F.lit(_bounded(phrase))), place)
+    pattern = F.lit(_bounded(phrase))
+    spaces = lambda x: F.length(F.regexp_replace(x, "[^ ]+", ""))
+    place = lambda m, w: F.struct(w["start"].cast("long").alias("word"), m["start"].alias("start"), m["end"].alias("end"), F.lit(label).alias("label"))
+    return let(places(norm, pattern), lambda found: F.when(F.size(found) > 0, F.zip_with(found, places(norm, pattern, spaces), place)).otherwise(F.array().cast(_PLACED)))
 
 
 def _detections(norm: Column, table: Column) -> Column:
     """Detections of the rules whose keyword ``norm`` holds, without those inside an earlier one."""
 
     def detect(r: Column) -> Column:
-        return F.transform(_found(norm, r["pattern"]), lambda m: F.struct(r["rank"].alias("rank"), (m["start"] - m["end"]).alias("shorter"), m["start"].alias("start"), m["end"].alias("end"), r["label"].alias("label"), r["sure"].alias("sure")))
+        return F.transform(places(norm, r["pattern"]), lambda m: F.struct(r["rank"].alias("rank"), (m["start"] - m["end"]).alias("shorter"), m["start"].alias("start"), m["end"].alias("end"), r["label"].alias("label"), r["sure"].alias("sure")))
 
     def keep(acc: Column, d: Column) -> Column:
         inside = F.exists(acc, lambda k: (k["start"] <= d["start"]) & (k["end"] >= d["end"]))
         return F.when(inside, acc).otherwise(F.concat(acc, F.array(d)))
 
     held = F.filter(F.array(*[F.lit(k) for k in keywords()]), lambda k: F.contains(norm, k))
-    hits = _let(held, lambda keys: F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(keys, r["keyword"]) & F.arrays_overlap(keys, r["keywords"])), detect)))
+    hits = let(held, lambda keys: F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(keys, r["keyword"]) & F.arrays_overlap(keys, r["keywords"])), detect)))
     return F.aggregate(F.array_sort(hits), F.array().cast(_DETECTION), keep)
 
 
@@ -211,8 +195,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def read(norm: Column) -> Column:
         return F.struct(F.array_sort(F.concat(*[_base(norm, p, k) for p, k in BASE.items()])).alias("base"), _detections(norm, table).alias("detections"))
 
-    none = F.struct(F.array().cast("array<struct<word:bigint,start:int,end:int,label:string>>").alias("base"), F.array().cast(_DETECTION).alias("detections"))
-    made = F.when(gated(text), _let(normal_form(text), read)).otherwise(none)
+    none = F.struct(F.array().cast(_PLACED).alias("base"), F.array().cast(_DETECTION).alias("detections"))
+    made = F.when(gated(text), let(normal_form(text), read)).otherwise(none)
     own = [docs[c] for c in docs.columns if c == text_col or c not in ("n_words", "base", "detections")]
     # inline() makes the one row again, with what was found computed once
     return docs.select(*own, F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.inline(F.array(made)))

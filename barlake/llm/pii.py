@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .places import let, places
+
 THRESHOLD, NEAR = 0.6, 40
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -37,19 +39,12 @@ EXTRA = {
 KINDS = [*BASE, *EXTRA]
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Every match of ``pattern`` as an array of (start, end, found), in code points; end is exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    both = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("found")))).alias("out"))
-
-    return F.aggregate(F.filter(both, lambda x: x["m"].isNotNull()), first, step, lambda acc: acc["out"])
+def around(text: Column, pattern: str) -> Column:
+    """For every match of ``pattern`` the ``NEAR`` code points before and after it, lower-cased, as an array."""
+    # the match itself is looked for first: looking back at every character would take 40 times as long
+    wide = rf"(?={pattern})(?<=((?s:.){{{NEAR}}}|\A(?s:.){{0,{NEAR - 1}}})){pattern}(?=((?s:.){{0,{NEAR}}}))"
+    sides = [F.regexp_extract_all(text, F.lit(wide), F.lit(k)) for k in (1, 2)]
+    return F.zip_with(*sides, lambda a, b: F.lower(F.concat(a, F.lit(" "), b)))
 
 
 def digits(x: Column) -> Column:
@@ -108,20 +103,16 @@ def checked(kind: str, x: Column) -> Column:
 def _spans(text: Column, kind: str, order: int) -> Column:
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,score:double>>")
     gate, pattern = (BASE | EXTRA)[kind][:2]
+
+    def span(m: Column, score: Column) -> Column:
+        return F.struct(m["start"].alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), F.least(F.lit(1.0), score).alias("score"))
+
     if kind in BASE:
-        hits = F.filter(matches(text, pattern), lambda m: confirmed(kind, m["found"]))
-        score = lambda m: F.lit(1.0)
+        made = F.transform(F.filter(places(text, F.lit(pattern)), lambda m: confirmed(kind, m["found"])), lambda m: span(m, F.lit(1.0)))
     else:
         prior, near, adds = EXTRA[kind][2:]
-        hits = matches(text, pattern)
-
-        def score(m: Column) -> Column:
-            at = F.greatest(m["start"] - NEAR, F.lit(0))
-            around = F.lower(F.concat(F.substring(text, at + 1, m["start"] - at), F.lit(" "), F.substring(text, m["end"] + 1, F.lit(NEAR))))
-            return F.lit(prior) + checked(kind, m["found"]) + F.when(around.rlike(near), adds).otherwise(0.0)
-
-    made = F.transform(hits, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), F.least(F.lit(1.0), score(m)).alias("score")))
-    if kind not in BASE:
+        judged = lambda m, by: span(m, F.lit(prior) + checked(kind, m["found"]) + F.when(by.rlike(near), adds).otherwise(0.0))
+        made = let(places(text, F.lit(pattern)), lambda found: F.when(F.size(found) > 0, F.zip_with(found, around(text, pattern), judged)).otherwise(empty))
         made = F.filter(made, lambda s: s["score"] >= THRESHOLD - 1e-9)
     return F.when(text.rlike(gate), made).otherwise(empty)
 
@@ -163,5 +154,3 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     base = F.filter("pii", lambda s: s["rank"] < len(BASE))
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
-
-

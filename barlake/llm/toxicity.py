@@ -2,8 +2,8 @@
 
 Features of a text: its distinct lower-cased words (letters and digits, other characters cut off), pairs of neighbours, and
 pairs with one word between, hashed into ``DIMS``. Training takes at most ``PER_CLASS`` labelled documents of each
-class, none of them held out, and weights them back to the classes' shares among all labels; their features are made on the executors, and the fitted weights (``DIMS`` + 1 floats,
-4 MB) are sent to the tasks that score every document.
+class, none of them held out, and weights them back to the classes' shares among all labels; their features are made on the executors. Of the fitted weights only
+those that are not zero are sent to the tasks that score every document, as numbers and values; the L1 term leaves few.
 
 Null or empty text: the score of the bias alone. No labels at all, or of one class only: the score is that of the label
 share. Null ids, repeated rows: scored each. Empty table: empty result. Labels, language, source and id are no inputs.
@@ -61,14 +61,29 @@ def train(docs: DataFrame, marks: DataFrame, column: str = "toxic", per_class: t
     return ftrl.fit([np.frombuffer(r.found, "<i4").astype(np.int64) for r in rows], y, DIMS, alpha=ALPHA, l1=L1, l2=L2, passes=PASSES, weight=weight / weight.mean())
 
 
+def sparse(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(sorted feature numbers, their weights, bias) of the weights that are not zero."""
+    at = np.flatnonzero(weights[:-1])
+    return at.astype(np.int32), weights[at], float(weights[-1])
+
+
+def totals(found: list[np.ndarray], at: np.ndarray, values: np.ndarray, bias: float) -> np.ndarray:
+    """The sum of the weights of each text's features, and the bias."""
+    if not len(at):
+        return np.full(len(found), bias)
+    every = np.concatenate([*found, np.empty(0, np.int64)])
+    near = np.minimum(np.searchsorted(at, every), len(at) - 1)
+    each = np.where(at[near] == every, values[near], 0.0)
+    return np.bincount(np.repeat(np.arange(len(found)), [len(x) for x in found]), each, minlength=len(found)) + bias
+
+
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    sent = docs.sparkSession.sparkContext.broadcast(sparse(weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value
         for b in batches:
-            sums = np.array([w[features(t)].sum(dtype=np.float64) for t in b.column(1).to_pylist()], float) + float(w[-1])
+            sums = totals([features(t) for t in b.column(1).to_pylist()], *sent.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")

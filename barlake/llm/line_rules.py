@@ -1,9 +1,11 @@
 """Line-first cleaning: judge each line, remove the lines that fail, reject documents that lose too much text.
 
 A line fails as
-- *navigation*: short words separated by ``|``, or "home", "menu" and the like joined by ``>`` or bullets;
+- *navigation*: separators (``|``, ``>``, bullets and the like, standing alone) cut it into three parts or more, of at most three words
+  each on average, whatever the words are;
 - *punctuation*: over a third of its words carry one of the symbols ``#*$%&|<>`` or ``!!``;
-- *boilerplate*: cookie, copyright and similar notices.
+- *boilerplate*: half of its words or more are addresses of the web or of mail, or it is a short line with a copyright sign and a year,
+  or a short one with one of the fixed notices, in English, German, French or Spanish.
 A line that repeats an earlier one is removed as well. The document is kept if at least ``MIN_LEFT`` of its word
 characters are left and the base limits (at least ten words, no more than a fifth of them in repeated five-word
 windows) hold.
@@ -29,8 +31,17 @@ MIN_WORDS, MAX_REPEAT, MIN_LEFT, WINDOW = 10, 0.20, 0.5, 5
 _SPACE = dict.fromkeys(map(ord, " \t\n\x0b\x0c\r"))
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _ODD_WORD = re.compile(r"[#*$%&|<>]|!!")
-_NOTICE = re.compile(r"cookie (?:policy|settings)|all rights reserved|terms of (?:use|service)|privacy policy|enable javascript|click here to|subscribe to our|lorem ipsum", re.I)
-_MENU = re.compile(r"\b(?:home|menu|login|sign in|sign up|search|contact us|about us|next|previous)\b", re.I)
+#: What stands alone between the parts of a menu; notices.
+_BETWEEN = frozenset(["|", ">", ">>", "»", "›", "•", "·", "/", "::", "→", "–", "—"])
+_NOTICES = [
+    "cookie policy", "cookie settings", "all rights reserved", "terms of use", "terms of service", "privacy policy", "enable javascript", "click here to", "subscribe to our", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookie-einstellungen", "allgemeine geschäftsbedingungen", "javascript aktivieren",
+    "tous droits réservés", "politique de confidentialité", "politique relative aux cookies", "conditions d'utilisation", "mentions légales", "activer javascript",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos de uso", "condiciones de uso", "aviso legal", "habilitar javascript",
+]
+_NOTICE = re.compile("|".join(map(re.escape, _NOTICES)))
+_OWNED = re.compile(r"(?:©|\(c\)|copyright)\s.{0,40}\b(?:19|20)[0-9]{2}\b")
+_ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\S+")
 
 STATS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("n_bad_lines", "long"), ("left_share", "double"), ("cleaned", "string")]
 
@@ -50,15 +61,23 @@ def repeated_words(found: list[bytes]) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
+def navigation(tokens: list[str]) -> bool:
+    cuts = sum(t in _BETWEEN for t in tokens)
+    return cuts >= 2 and len(tokens) - cuts <= 3 * (cuts + 1)
+
+
+def boilerplate(line: str, tokens: list[str]) -> bool:
+    if ("/" in line or "@" in line or "www." in line) and 2 * sum(1 for t in tokens if _ADDRESS.fullmatch(t)) >= len(tokens):
+        return True
+    low = line.lower()
+    return len(tokens) <= 30 and bool(_NOTICE.search(low) or _OWNED.search(low))
+
+
 def bad_line(line: str) -> bool:
     """Whether a line with words fails the punctuation, navigation or boilerplate rule."""
     tokens = line.split()
-    odd = sum(1 for w in tokens if _ODD_WORD.search(w))
-    if odd * 3 > len(tokens) or len(tokens) >= 4 and tokens.count("|") * 3 >= len(tokens) - 1:
-        return True
-    if len(tokens) <= 30 and _NOTICE.search(line):
-        return True
-    return len(tokens) <= 20 and (">" in line or "|" in line or "•" in line) and len(_MENU.findall(line)) >= 2
+    odd = sum(1 for w in tokens if _ODD_WORD.search(w)) if _ODD_WORD.search(line) else 0
+    return odd * 3 > len(tokens) or navigation(tokens) or boilerplate(line, tokens)
 
 
 def judge(text: str | None) -> tuple:

@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from barlake.shipping import ship
 
 
+#: Most bytes of an Arrow batch, but for a single longer row.
+BATCH_BYTES = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset (local tests) a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder; on a
+    cluster it would be of one machine, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="barlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -46,6 +53,8 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Before Python functions on texts: bound the Arrow batches (long texts make large rows) and hand out the package."""
+    """Before Python functions on texts: bound the Arrow batches by rows and by bytes (long texts make large rows), and hand
+    out the package. The bounds stay set in the session, as plans read them when they run."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

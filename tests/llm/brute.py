@@ -63,6 +63,14 @@ def lines(text):
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(again), n < 10 or 100 * len(again) > 20 * n
 
 
+def lines_kept(text, bad_line):
+    """kept and cleaned, given which lines fail: all lines without words stay, of equal ones the first."""
+    each = (text or "").split("\n")
+    left = [x for k, x in enumerate(each) if not SPACE.search(x) or x not in each[:k] and not bad_line(x)]
+    size = lambda x: sum(map(len, SPACE.findall(x)))
+    return not lines(text)[-1] and 2 * sum(map(size, left)) >= size(text or ""), "\n".join(left)
+
+
 def luhn(digits):
     return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
@@ -83,6 +91,20 @@ def personal(text):
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+def ranks(edges, seeds, damping=0.85):
+    """Personalised PageRank that loses what reaches hosts without edges: {host: rank}; edges {(src, dst): n}."""
+    out = Counter()
+    for (a, _), n in edges.items():
+        out[a] += n
+    rank = {}
+    for _ in range(400):
+        now = Counter({h: (1 - damping) * s for h, s in seeds.items()})
+        for (a, b), n in edges.items():
+            now[b] += damping * rank.get(a, 0.0) * n / out[a]
+        rank = now
+    return rank
+
+
 def url(text):
     """host, path, rule, verdict (None where no rule fits)."""
     if text is None or "://" not in text:

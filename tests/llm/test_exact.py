@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from barlake.llm import jpeg, licenses, line_rules, minhash, packing, pii, queries, url_filter
+from barlake.llm import frames, jpeg, licenses, line_rules, minhash, packing, pii, queries, url_filter
 from tests.llm import brute
 from tests.llm.conftest import SF
 
@@ -257,3 +257,47 @@ def test_broken_media(spark):
     found = jpeg.read(spark.createDataFrame(made, "doc_id long, media binary, height string")).collect()
     assert {r.doc_id: r.payload and bytes(r.payload) for r in found} == {1: bytes(range(64)), **dict.fromkeys(range(2, 8))}
     assert all((r.height is None) == (r.doc_id > 1) for r in found)
+
+
+def test_lines_kept(docs, rows):
+    """Which documents and lines stay, against a plain version over all rows."""
+    plain = Counter((i, *brute.lines_kept(t, line_rules.bad_line)) for i, t in rows if len(t or "") < 50_000)
+    found = line_rules.clean_lines(docs).where("coalesce(length(text), 0) < 50000").collect()
+    assert Counter((r.doc_id, r.kept, r.cleaned) for r in found) == plain
+
+
+@pytest.mark.parametrize(("line", "bad"), [
+    ("Start | Produkte | Über uns | Kontakt", True), ("Inicio > Cámaras > Lentes", True), ("one • two • three", True), ("either / or is a choice that all of the readers have to make", False), ("a > b", False),
+    ("Tous droits réservés.", True), ("© Example 2021", True), ("Copyright (c) 2019 the authors", True), ("the copyright of 2019 was a matter that the court took up again", True),
+    ("https://a.example/x https://b.example/y", True), ("see https://a.example/x for what the rest of it says", False), ("write to a@b.example", False), ("#### $$$$ ****", True), ("A plain sentence, with a comma & more.", False), ("x", False),
+])
+def test_bad_lines(line, bad):
+    assert line_rules.bad_line(line) == bad
+
+
+def test_ranks_of_hosts(spark):
+    """Trust and distrust of every host against plain ranks, within what the stated tolerance allows."""
+    draw = random.Random(3)
+    edges = Counter((f"h{draw.randrange(40)}", f"h{draw.randrange(40)}") for _ in range(160))
+    edges = {k: n for k, n in edges.items() if k[0] != k[1]}
+    trust, distrust = {"h1": 0.5, "h2": 0.5}, {"h3": 0.25, "h4": 0.75}
+    seeds = spark.createDataFrame([(h, trust.get(h, 0.0), distrust.get(h, 0.0)) for h in {*trust, *distrust}], "host string, trust double, distrust double")
+    found = url_filter.propagate(spark.createDataFrame([(*k, n) for k, n in edges.items()], "src string, dst string, n long"), seeds, frames.Scratch(spark, "ranks")).collect()
+    plain = brute.ranks(edges, trust), brute.ranks({(b, a): n for (a, b), n in edges.items()}, distrust)
+    for r in found:
+        for made, exact in ((r.trust, plain[0].get(r.host, 0.0)), (r.distrust, plain[1].get(r.host, 0.0))):
+            assert made == pytest.approx(exact, rel=2e-3)
+    assert {r.host for r in found} == {h for p in plain for h, x in p.items() if x > 0}
+
+
+def test_many_matches_in_one_text(spark):
+    """Places of 20,000 matches, over many blocks, are those of a plain search; context reaches over matches close by."""
+    text = "a@b.co é 1.2.3.4 " * 20_000
+    found = pii.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = ",".join(f"{k}:{a}:{b}" for a, _, k, b in brute.personal(text))
+    assert (found.n_email, found.n_ip, found.base_sha256) == (20_000, 20_000, hashlib.sha256(spans.encode()).hexdigest())
+    phrase = "so Under the MIT license; " * 3_000
+    r = licenses.digest(spark.createDataFrame([(1, phrase)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute.licenses(phrase)
+    near = "passport no 😀 12345678 12345679 " + "x" * 60 + " 12345670"
+    assert pii.digest(spark.createDataFrame([(1, near)], "doc_id long, text string")).first().spans == "id:14:22,id:23:31"

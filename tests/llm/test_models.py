@@ -166,3 +166,51 @@ def test_training_takes_one_row_an_id(spark):
     docs = spark.createDataFrame([(1, f"text {i}", 1) for i in range(50)] + [(2, None, 0)], "doc_id long, text string, label int")
     found = labels.one_each(docs).collect()
     assert sorted((r.doc_id, r.label) for r in found) == [(1, 1), (2, 0)]
+
+
+def test_ftrl_against_a_plain_version():
+    """The vectorised fit and a loop over single coordinates, as the method is published, give the same weights."""
+    draw = np.random.default_rng(6)
+    dims, rows = 40, [np.unique(draw.integers(0, 40, 6)) for _ in range(120)]
+    y, weight = draw.integers(0, 2, 120).astype(float), draw.uniform(0.5, 2, 120)
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.3, 0.1
+    z, n = [0.0] * (dims + 1), [0.0] * (dims + 1)
+
+    def at(i):
+        limit = 0.0 if i == dims else l1
+        return 0.0 if abs(z[i]) <= limit else -(z[i] - np.sign(z[i]) * limit) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for k in order.permutation(120):
+            now = {int(i): at(int(i)) for i in (*rows[k], dims)}
+            g = (1 / (1 + np.exp(-sum(now.values()))) - y[k]) * weight[k]
+            for i, w in now.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w
+                n[i] += g * g
+    made = ftrl.fit(rows, y, dims, alpha, beta, l1, l2, passes=2, seed=5, weight=weight)
+    assert np.allclose(made, [at(i) for i in range(dims + 1)], atol=1e-6) and (made == 0).any()
+
+
+def test_sparse_totals():
+    """Sums over the nonzero weights only are those over all; no features, no weights, no texts."""
+    draw = np.random.default_rng(8)
+    dense = np.where(draw.random(toxicity.DIMS + 1) < 0.01, draw.normal(size=toxicity.DIMS + 1), 0).astype(np.float32)
+    found = [np.empty(0, np.int64), *[np.unique(draw.integers(0, toxicity.DIMS, k)) for k in (1, 500, 20_000)], np.empty(0, np.int64)]
+    assert np.allclose(toxicity.totals(found, *toxicity.sparse(dense)), [dense[x].sum(dtype=float) + dense[-1] for x in found])
+    assert len(toxicity.totals([], *toxicity.sparse(dense))) == 0
+    assert toxicity.totals(found, *toxicity.sparse(np.zeros(toxicity.DIMS + 1, np.float32))).tolist() == [0.0] * 5
+
+
+def test_compiled_rules(spark):
+    """The column expression gives what the rules give in numpy, at their bounds too."""
+    draw = np.random.default_rng(9)
+    k = len(rule_ensemble.STATISTICS)
+    x = draw.integers(0, 6, (300, k)) / 2.0
+    y = ((x[:, 0] > 1) & (x[:, 3] <= 1.5) | (draw.random(300) < 0.1)).astype(float)
+    rules, intercept = rule_ensemble.fit(x, y, np.ones(300))
+    rules.append((((2, True, 1.0), (5, False, 1.5)), 0.75))  # bounds that are values of the data
+    plain = 1 / (1 + np.exp(-(intercept + sum(w * rule_ensemble.holds(r, x) for r, w in rules))))
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["i", *rule_ensemble.STATISTICS])
+    made = [r.score for r in rows.select("i", rule_ensemble.compiled(rules, intercept).alias("score")).orderBy("i").collect()]
+    assert len(rules) > 3 and np.allclose(made, plain)

@@ -260,12 +260,12 @@ def vp_poc(spark: SparkSession, sf: str) -> DataFrame:
     return shown(indicators.volume_poc(bars(spark, sf)), "vp_poc")
 
 
-def _ratchet(period: int, times: float) -> str:
+def _ratchet(period: int, times: float, name: str = "s") -> str:
     """A recursive scan of the strategy's Supertrend over t."""
     avg = f"(s.avg + (t.tr - s.avg) / {period})"
     fu, fl = (f"CASE WHEN (t.high + t.low) / 2 {sign} {times} * {avg} {beyond} s.{band} OR s.c {cross} s.{band} THEN (t.high + t.low) / 2 {sign} {times} * {avg} ELSE s.{band} END" for sign, beyond, cross, band in (("+", "<", ">", "fu"), ("-", ">", "<", "fl")))
     way = f"CASE WHEN (s.way = -1 AND t.close > {fu}) OR (s.way = 1 AND t.close >= {fl}) THEN 1 ELSE -1 END"
-    return f"s AS (SELECT symbol, rn, tr AS avg, (high + low) / 2 + {times} * tr AS fu, (high + low) / 2 - {times} * tr AS fl, close AS c, 1 AS way FROM t WHERE rn = 1 UNION ALL SELECT t.symbol, t.rn, {avg}, {fu}, {fl}, t.close, {way} FROM s JOIN t ON t.symbol = s.symbol AND t.rn = s.rn + 1)"
+    return f"{name} AS (SELECT symbol, rn, tr AS avg, (high + low) / 2 + {times} * tr AS fu, (high + low) / 2 - {times} * tr AS fl, close AS c, 1 AS way FROM t WHERE rn = 1 UNION ALL SELECT t.symbol, t.rn, {avg}, {fu}, {fl}, t.close, {way} FROM {name} s JOIN t ON t.symbol = s.symbol AND t.rn = s.rn + 1)"
 
 
 @query("WITH RECURSIVE " + _N + ", " + _ratchet(10, 3.0) + " SELECT t.symbol, open_time, round(CASE WHEN way = 1 THEN fl ELSE fu END, 6) AS supertrend, CAST(way AS BIGINT) AS supertrend_dir FROM s JOIN t USING (symbol, rn)")
@@ -414,15 +414,44 @@ def targets_legacy(spark: SparkSession, sf: str) -> DataFrame:
     return shown(labels.legacy_targets(bars(spark, sf)), *[f"target_{n}_{k}" for k in (1, 4, 16, 96) for n in ("fwd_ret", "dir")])
 
 
-def _signals(spark: SparkSession, sf: str) -> DataFrame:
-    """Signals with loosened parameters: the data are short."""
-    made = backtest.setups(bars(spark, sf, "15m"), bars(spark, sf, "1h"), bars(spark, sf, "4h"), span=20, swing=16, rsi_long=70, rsi_short=30, st=(5, 1.0))
-    return backtest.signals(made, hours=24)
+#: Parameters of the strategy in place of its own, with which the tables, a month of sparse bars, give signals.
+LOOSE = {"span": 20, "swing": 16, "rsi_long": 70, "rsi_short": 30, "st": (5, 1.0)}
+#: The strategy's own, which are the operator's defaults.
+OWN = {"span": 200, "swing": 64, "rsi_long": 42, "rsi_short": 60, "st": (10, 3.0)}
+
+
+def _setups_sql(span: int, swing: int, rsi_long: float, rsi_short: float, st: tuple[int, float], hours: int) -> str:
+    """Tables up to s, the signals: the 4h bar as of each 15m row is high, low and close of t, the 1h bar mh, ml and mc."""
+    held = f"OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN {swing - 1} PRECEDING AND CURRENT ROW)"
+    half = f"CASE WHEN count(*) {held} >= {swing // 2} THEN"
+    joined = "j AS (SELECT a.symbol, a.open_time, a.open AS bo, a.high AS bh, a.low AS bl, a.close AS bc, h.high AS mh, h.low AS ml, h.close AS mc, d.high, d.low, d.close FROM a ASOF JOIN hour_bars h ON a.symbol = h.symbol AND a.open_time >= h.open_time ASOF JOIN d ON a.symbol = d.symbol AND a.open_time >= d.open_time)"
+    before = "k AS (SELECT *, row_number() OVER w AS rn, lag(close) OVER w AS d1, lag(bo) OVER w AS o1, lag(bc) OVER w AS c1, abs(bc - bo) AS body, bh - bl AS rng, bh - greatest(bo, bc) AS up, least(bo, bc) - bl AS lo FROM j " + _W + ")"
+    ranges = f"t AS (SELECT *, greatest(high - low, coalesce(abs(high - d1), 0), coalesce(abs(low - d1), 0)) AS tr, CASE WHEN c1 IS NOT NULL THEN greatest(bc - c1, 0) END AS gain, CASE WHEN c1 IS NOT NULL THEN greatest(c1 - bc, 0) END AS loss, {half} max(mh) {held} END AS top, {half} min(ml) {held} END AS bottom FROM k)"
+    made = "y AS (SELECT t.*, ema, coalesce(100 - 100 / (1 + ga / nullif(la, 0)), 50) AS rsi, way, nullif(top - bottom, 0) AS span FROM t JOIN e USING (symbol, rn) JOIN trend USING (symbol, rn))"
+    bull = "((c1 < o1 AND bc > bo AND bc > o1 AND bo < c1) OR (body > 0 AND body <= 0.35 * rng AND lo >= 2 * body AND up <= body) OR (lo >= 2 * body AND up <= 0.6 * body AND rng > 0))"
+    bear = "((c1 > o1 AND bc < bo AND bc < o1 AND bo > c1) OR (body > 0 AND body <= 0.35 * rng AND up >= 2 * body AND lo <= body) OR (up >= 2 * body AND lo <= 0.6 * body AND rng > 0))"
+    sides = f"sides AS (SELECT symbol, open_time, bc AS close, CASE WHEN close > ema AND way = 1 AND mc BETWEEN top - 0.786 * span AND top - 0.618 * span AND {bull} AND rsi <= {rsi_long} THEN 'long' WHEN close < ema AND way = -1 AND mc BETWEEN bottom + 0.618 * span AND bottom + 0.786 * span AND {bear} AND rsi >= {rsi_short} THEN 'short' END AS side FROM y)"
+    signals = f"s AS (SELECT *, close * CASE side WHEN 'long' THEN 0.965 ELSE 1.035 END AS sl, close * CASE side WHEN 'long' THEN 1.065 ELSE 0.935 END AS tp, open_time + {hours * 3_600_000} AS due FROM sides WHERE side IS NOT NULL)"
+    chain = _chain({"ema": ("close", 2 / (span + 1)), "ga": ("gain", 1 / 14), "la": ("loss", 1 / 14)})
+    return ", ".join((_b("15m", "a"), _b("1h", "hour_bars"), _b("4h", "d"), joined, before, ranges, chain, _ratchet(*st, name="trend"), made, sides, signals))
+
+
+def _signals(spark: SparkSession, sf: str, parameters: dict, hours: int) -> DataFrame:
+    return backtest.signals(backtest.setups(bars(spark, sf, "15m"), bars(spark, sf, "1h"), bars(spark, sf, "4h"), **parameters), hours=hours)
+
 
+_SIGNALS_OUT = " SELECT symbol, open_time, side, round(close, 6) AS entry, round(sl, 6) AS stop_loss, round(tp, 6) AS take_profit, due AS deadline FROM s"
 
-@query()
+
+@query("WITH RECURSIVE " + _setups_sql(**LOOSE, hours=24) + _SIGNALS_OUT)
 def strategy_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return _signals(spark, sf)
+    return _rounded(_signals(spark, sf, LOOSE, 24))
+
+
+@query("WITH RECURSIVE " + _setups_sql(**OWN, hours=96) + _SIGNALS_OUT)
+def strategy_signals_own(spark: SparkSession, sf: str) -> DataFrame:
+    """With the strategy's own parameters: none or few on a month of sparse bars."""
+    return _rounded(_signals(spark, sf, {}, 96))
 
 
 def _plain_signals(b: DataFrame) -> DataFrame:
@@ -432,7 +461,10 @@ def _plain_signals(b: DataFrame) -> DataFrame:
     return backtest.signals(made, hours=24)
 
 
-_PLAIN = _b("1h") + ", n AS (SELECT *, row_number() OVER w AS rn, max(open_time) OVER (PARTITION BY symbol) AS last_time FROM b " + _W + "), s AS (SELECT *, CASE WHEN rn % 14 = 0 THEN 'long' ELSE 'short' END AS side, close * CASE WHEN rn % 14 = 0 THEN 0.965 ELSE 1.035 END AS sl, close * CASE WHEN rn % 14 = 0 THEN 1.065 ELSE 0.935 END AS tp, open_time + 86400000 AS due FROM n WHERE rn % 7 = 0), h AS (SELECT s.symbol, s.open_time, s.side, n.open_time AS seen, n.close AS c, s.sl, s.tp, CASE WHEN (s.side = 'long' AND n.low <= s.sl) OR (s.side = 'short' AND n.high >= s.sl) THEN 'sl' WHEN (s.side = 'long' AND n.high >= s.tp) OR (s.side = 'short' AND n.low <= s.tp) THEN 'tp' WHEN n.open_time >= s.due THEN 'time' WHEN n.open_time = n.last_time THEN 'eod' END AS why FROM s JOIN n ON n.symbol = s.symbol AND n.open_time > s.open_time), f AS (SELECT symbol, open_time, side, min(seen) AS exit_time, arg_min(why, seen) AS exit_reason, arg_min(CASE why WHEN 'sl' THEN sl WHEN 'tp' THEN tp ELSE c END, seen) AS exit_price FROM h WHERE why IS NOT NULL GROUP BY 1, 2, 3)"
+_PLAIN = _b("1h") + ", n AS (SELECT *, row_number() OVER w AS rn, max(open_time) OVER (PARTITION BY symbol) AS last_time FROM b " + _W + "), s AS (SELECT *, CASE WHEN rn % 14 = 0 THEN 'long' ELSE 'short' END AS side, close * CASE WHEN rn % 14 = 0 THEN 0.965 ELSE 1.035 END AS sl, close * CASE WHEN rn % 14 = 0 THEN 1.065 ELSE 0.935 END AS tp, open_time + 86400000 AS due FROM n WHERE rn % 7 = 0)"
+#: The first exit f of each signal s (symbol, open_time, side, close, sl, tp, due) over the bars n.
+_EXITS = ", h AS (SELECT s.symbol, s.open_time, s.side, n.open_time AS seen, n.close AS c, s.sl, s.tp, CASE WHEN (s.side = 'long' AND n.low <= s.sl) OR (s.side = 'short' AND n.high >= s.sl) THEN 'sl' WHEN (s.side = 'long' AND n.high >= s.tp) OR (s.side = 'short' AND n.low <= s.tp) THEN 'tp' WHEN n.open_time >= s.due THEN 'time' WHEN n.open_time = n.last_time THEN 'eod' END AS why FROM s JOIN n ON n.symbol = s.symbol AND n.open_time > s.open_time), f AS (SELECT symbol, open_time, side, min(seen) AS exit_time, arg_min(why, seen) AS exit_reason, arg_min(CASE why WHEN 'sl' THEN sl WHEN 'tp' THEN tp ELSE c END, seen) AS exit_price FROM h WHERE why IS NOT NULL GROUP BY 1, 2, 3)"
+_PLAIN += _EXITS
 
 
 @query(_with(_PLAIN) + "SELECT s.symbol, s.open_time, s.side, coalesce(f.exit_time, s.open_time) AS exit_time, coalesce(f.exit_reason, 'eod') AS exit_reason, round(coalesce(f.exit_price, s.close), 6) AS exit_price FROM s LEFT JOIN f USING (symbol, open_time)")
@@ -446,7 +478,8 @@ def _plain_trades(spark: SparkSession, sf: str) -> DataFrame:
     return backtest.trades(backtest.exits(_plain_signals(b), b))
 
 
-_WALK = "WITH RECURSIVE " + _PLAIN + ", x AS (SELECT s.symbol, s.open_time, s.side, s.sl, s.tp, row_number() OVER (PARTITION BY s.symbol ORDER BY s.open_time) AS k, coalesce(f.exit_time, s.open_time) AS exit_time, coalesce(f.exit_reason, 'eod') AS exit_reason, s.close * CASE s.side WHEN 'long' THEN 1.0005 ELSE 0.9995 END AS ep, coalesce(f.exit_price, s.close) * CASE s.side WHEN 'long' THEN 0.9995 ELSE 1.0005 END AS xp FROM s LEFT JOIN f USING (symbol, open_time)), z AS (SELECT *, CASE side WHEN 'long' THEN xp * 0.999 / (ep * 1.001) ELSE 1 + (ep * 0.999 - xp * 1.001) / (ep * 1.001) END AS factor, exit_time + CASE exit_reason WHEN 'eod' THEN 1 ELSE 0 END AS free FROM x), r AS (SELECT symbol, k, true AS taken, CAST(10000 AS DOUBLE) AS cash, CAST(10000 AS DOUBLE) * factor AS cash_after, free FROM z WHERE k = 1 UNION ALL SELECT z.symbol, z.k, z.open_time >= r.free AND r.cash_after > 0, r.cash_after, CASE WHEN z.open_time >= r.free AND r.cash_after > 0 THEN r.cash_after * z.factor ELSE r.cash_after END, CASE WHEN z.open_time >= r.free AND r.cash_after > 0 THEN z.free ELSE r.free END FROM r JOIN z ON z.symbol = r.symbol AND z.k = r.k + 1), tr AS (SELECT z.symbol, side, open_time AS entry_time, exit_time, ep AS entry_price, xp AS exit_price, cash / (ep * 1.001) AS size, cash_after - cash AS pnl, (cash_after - cash) / (cash / 1.001) * 100 AS pnl_pct, sl AS stop_loss, tp AS take_profit, exit_reason, cash_after FROM r JOIN z USING (symbol, k) WHERE taken) "
+_TAKEN = ", x AS (SELECT s.symbol, s.open_time, s.side, s.sl, s.tp, row_number() OVER (PARTITION BY s.symbol ORDER BY s.open_time) AS k, coalesce(f.exit_time, s.open_time) AS exit_time, coalesce(f.exit_reason, 'eod') AS exit_reason, s.close * CASE s.side WHEN 'long' THEN 1.0005 ELSE 0.9995 END AS ep, coalesce(f.exit_price, s.close) * CASE s.side WHEN 'long' THEN 0.9995 ELSE 1.0005 END AS xp FROM s LEFT JOIN f USING (symbol, open_time)), z AS (SELECT *, CASE side WHEN 'long' THEN xp * 0.999 / (ep * 1.001) ELSE 1 + (ep * 0.999 - xp * 1.001) / (ep * 1.001) END AS factor, exit_time + CASE exit_reason WHEN 'eod' THEN 1 ELSE 0 END AS free FROM x), r AS (SELECT symbol, k, true AS taken, CAST(10000 AS DOUBLE) AS cash, CAST(10000 AS DOUBLE) * factor AS cash_after, free FROM z WHERE k = 1 UNION ALL SELECT z.symbol, z.k, z.open_time >= r.free AND r.cash_after > 0, r.cash_after, CASE WHEN z.open_time >= r.free AND r.cash_after > 0 THEN r.cash_after * z.factor ELSE r.cash_after END, CASE WHEN z.open_time >= r.free AND r.cash_after > 0 THEN z.free ELSE r.free END FROM r JOIN z ON z.symbol = r.symbol AND z.k = r.k + 1), tr AS (SELECT z.symbol, side, open_time AS entry_time, exit_time, ep AS entry_price, xp AS exit_price, cash / (ep * 1.001) AS size, cash_after - cash AS pnl, (cash_after - cash) / (cash / 1.001) * 100 AS pnl_pct, sl AS stop_loss, tp AS take_profit, exit_reason, cash_after FROM r JOIN z USING (symbol, k) WHERE taken) "
+_WALK = "WITH RECURSIVE " + _PLAIN + _TAKEN
 _TRADE = ["entry_price", "exit_price", "size", "pnl", "pnl_pct", "stop_loss", "take_profit", "cash_after"]
 
 
@@ -459,6 +492,12 @@ def backtest_trades(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_plain_trades(spark, sf))
 
 
+@query("WITH RECURSIVE " + _setups_sql(**LOOSE, hours=24) + ", n AS (SELECT *, max(open_time) OVER (PARTITION BY symbol) AS last_time FROM a)" + _EXITS + _TAKEN + "SELECT symbol, side, entry_time, exit_time, exit_reason, " + ", ".join(f"round({c}, 6) AS {c}" for c in _TRADE) + " FROM tr")
+def strategy_trades(spark: SparkSession, sf: str) -> DataFrame:
+    """The trades of the strategy's signals, over the base interval's bars."""
+    return _rounded(backtest.trades(backtest.exits(_signals(spark, sf, LOOSE, 24), bars(spark, sf, "15m"))))
+
+
 def _mean(x: str, of: str) -> str:
     return f"round(coalesce(avg({x}) FILTER ({of}), 0), 6)"
 

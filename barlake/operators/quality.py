@@ -69,6 +69,22 @@ def low_quality(reports: DataFrame, threshold: int = 70) -> DataFrame:
     return reports.where(F.col("quality_score") < threshold).groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_set("interval")), ",").alias("intervals"))
 
 
+def repair_plan(bars: DataFrame, threshold: int = 70) -> DataFrame:
+    """(symbol, interval, date): the days to load again, those that gaps touch where the report scores below ``threshold``."""
+    low = report(bars).where(F.col("quality_score") < threshold).select("symbol", "interval")
+    day = lambda c: F.to_date(F.timestamp_millis(c))
+    return gaps(bars).join(low, ["symbol", "interval"], "left_semi").select("symbol", "interval", F.explode(F.sequence(day("from_time"), day("to_time"))).alias("date")).distinct()
+
+
+def status(wanted: DataFrame, bars: DataFrame, start: int, end: int) -> DataFrame:
+    """(symbol, status, n_bars) of each ``wanted`` symbol: ``missing`` without bars, ``empty_range`` with none from ``start``
+    to ``end`` (ms, both included), else ``ok``. Symbols wanted twice come once; null is never there."""
+    inside = F.count_if(F.col("open_time").between(start, end)).alias("n_bars")
+    found = bars.groupBy("symbol").agg(inside)
+    known = F.when(F.col("n_bars").isNull(), "missing").when(F.col("n_bars") == 0, "empty_range").otherwise("ok")
+    return wanted.select("symbol").distinct().join(found, "symbol", "left").select("symbol", known.alias("status"), F.coalesce("n_bars", F.lit(0)).alias("n_bars"))
+
+
 def iqr_filter(rows: DataFrame, column: str, by: str, factor: float = 1.5) -> DataFrame:
     """Rows whose value lies within the quartiles widened by ``factor`` times their distance, per ``by``."""
     bounds = rows.groupBy(by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q_"))

@@ -149,6 +149,19 @@ def low_quality_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return quality.low_quality(quality.report(all_bars(spark, sf)))
 
 
+@query(_REPORT + ', touched AS (SELECT symbol, "interval", unnest(generate_series(date_trunc(\'day\', epoch_ms(prev)), date_trunc(\'day\', epoch_ms(open_time)), INTERVAL 1 DAY)) AS day FROM g WHERE step > width) SELECT DISTINCT symbol, "interval", CAST(day AS DATE) AS date FROM touched SEMI JOIN (SELECT * FROM reports WHERE quality_score < 70) USING (symbol, "interval")')
+def repair_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.repair_plan(all_bars(spark, sf))
+
+
+@query(_with(_b("4h"), "c AS (SELECT symbol, count(*) FILTER (open_time BETWEEN 1704067200000 AND 1704153599999) AS n FROM b WHERE symbol <> 'view' OR open_time >= 1704153600000 GROUP BY 1)") + "SELECT w.symbol, CASE WHEN n IS NULL THEN 'missing' WHEN n = 0 THEN 'empty_range' ELSE 'ok' END AS status, coalesce(n, 0) AS n_bars FROM (SELECT DISTINCT event_type AS symbol FROM events UNION ALL SELECT 'absent') w LEFT JOIN c USING (symbol)")
+def symbol_status(spark: SparkSession, sf: str) -> DataFrame:
+    """The first day of 2024 of each symbol, of one that has no bars on it and of one that has none at all."""
+    b = bars(spark, sf, "4h")
+    wanted = b.select("symbol").union(spark.range(1).select(F.lit("absent")))
+    return quality.status(wanted, b.where("symbol <> 'view' OR open_time >= 1704153600000"), 1704067200000, 1704153599999)
+
+
 @query(_with(_b("1h"), "q AS (SELECT symbol, quantile_cont(close, 0.25) AS lo, quantile_cont(close, 0.75) AS hi FROM b GROUP BY 1)") + "SELECT b.symbol, open_time, close FROM b JOIN q USING (symbol) WHERE close BETWEEN lo - 1.5 * (hi - lo) AND hi + 1.5 * (hi - lo)")
 def iqr_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return quality.iqr_filter(bars(spark, sf), "close", "symbol").select("symbol", "open_time", "close")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barlake.shipping import ship
 from barlake.sources.bars import interval_minutes
 
+_VALUES = ["open", "high", "low", "close", "volume"]
+
 
 def stream_bars(ticks: DataFrame, interval: str, late: str = "10 minutes") -> DataFrame:
     """Bars of a stream of ticks (ts, symbol, seq, price, size); late ticks change their bar until the watermark passes.
@@ -35,3 +42,27 @@ def closed(bars: DataFrame, now_ms: Column | int) -> DataFrame:
     unit = F.element_at(F.create_map(*[F.lit(x) for kv in width.items() for x in kv]), F.substring("interval", -1, 1))
     ms = F.regexp_extract("interval", r"^(\d+)", 1).cast("long") * unit
     return bars.where(F.col("open_time") + ms <= (F.lit(now_ms) if isinstance(now_ms, int) else now_ms))
+
+
+def bounded_history(bars: DataFrame, rows: int) -> DataFrame:
+    """Of a stream of bars: the last ``rows`` bars of each symbol and interval that a batch changed (update mode).
+
+    The history is the state: a bar that comes again replaces the one before it, older ones than the last ``rows`` go. Bars
+    without a time or a close are left out, so that one symbol's broken bars stop neither it nor the others.
+    """
+    ship(bars.sparkSession)
+    columns = ["open_time", *_VALUES]
+
+    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(dict(zip(columns, state.get, strict=True))) if state.exists else pd.DataFrame(columns=columns)
+        for part in parts:
+            good = part.loc[part["open_time"].notna() & part["close"].notna(), columns]
+            both = pd.concat([held, good]) if len(held) else good
+            held = both.drop_duplicates("open_time", keep="last").sort_values("open_time").tail(rows)
+        if len(held):
+            state.update(tuple(held[c].tolist() for c in columns))
+            yield held.assign(symbol=key[0], interval=key[1])[["symbol", "interval", *columns]]
+
+    of_state = ", ".join(["open_time array<long>", *[f"{c} array<double>" for c in _VALUES]])
+    out = ", ".join(["symbol string, interval string, open_time long", *[f"{c} double" for c in _VALUES]])
+    return bars.groupBy("symbol", "interval").applyInPandasWithState(keep, out, of_state, "update", GroupStateTimeout.NoTimeout)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
 
-from barlake.operators import backtest, patterns
+from barlake.operators import backtest, patterns, quality
 from barlake.plans import queries as plans
 from barlake.sources import bars as src
 from barlake.streaming import bars as streams
@@ -69,6 +70,50 @@ def test_stream_equals_batch(spark, tmp_path):
     assert of_spark(spark.table("streamed_bars").select(*plans.bars(spark, SF).columns)) == of_spark(plans.bars(spark, SF))
 
 
+def test_bounded_history_of_a_stream(spark, tmp_path):
+    """Three batches: the last state of each symbol and interval is the batch refresh; broken bars stop nothing."""
+    b = plans.bars(spark, SF, "1h").union(plans.bars(spark, SF, "4h")).withColumn("part", F.floor(F.col("open_time") % 864_000_000 / 288_000_000).cast("int"))
+    for i in range(3):
+        part = b.where(F.col("part") == i).drop("part")
+        broken = part.limit(1).withColumns({"symbol": F.lit("broken"), "close": F.lit(None).cast("double")})
+        again = b.where("part = 0").drop("part").withColumn("volume", F.col("volume") + i) if i else part
+        part.unionByName(again).unionByName(broken).distinct().coalesce(1).write.parquet(f"file://{tmp_path}/bars/{i}")
+    got: dict = {}
+
+    def take(batch, _):
+        for row in batch.collect():
+            got.setdefault((row.symbol, row.interval, _), []).append(tuple(row)[2:])
+
+    source = spark.readStream.schema(b.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/bars/*")
+    streams.bounded_history(source, 40).writeStream.outputMode("update").option("checkpointLocation", f"file://{tmp_path}/state").foreachBatch(take).trigger(availableNow=True).start().awaitTermination()
+    last = {key[:2]: key for key in sorted(got, key=lambda k: k[2])}
+    ours = {key: sorted(got[of]) for key, of in last.items()}
+    expected: dict = {}
+    final = b.withColumn("volume", F.when(F.col("part") == 0, F.col("volume") + 2).otherwise(F.col("volume"))).drop("part")
+    for row in src.latest(final, 40).select("symbol", "interval", "open_time", "open", "high", "low", "close", "volume").collect():
+        expected.setdefault(tuple(row)[:2], []).append(tuple(row)[2:])
+    assert ours == {k: sorted(v) for k, v in expected.items()}
+    assert max(map(len, ours.values())) == 40
+
+
+def test_status_of_symbols(spark):
+    b = spark.createDataFrame([("a", 5), ("b", 50), (None, 5)], "symbol string, open_time long")
+    wanted = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,)], "symbol string")
+    found = {tuple(r) for r in quality.status(wanted, b, 0, 9).collect()}
+    assert found == {("a", "ok", 1), ("b", "empty_range", 0), ("c", "missing", 0), (None, "missing", 0)}
+
+
+def test_validation_of_all_and_checksums(spark):
+    b = spark.createDataFrame([("a", "1h", i * 3_600_000, 1.0, 1.0, 1.0, 1.0, 1.0) for i in (0, 1, 3)], "symbol string, interval string, open_time long, open double, high double, low double, close double, volume double")
+    found = {(r.symbol, r.interval): (r.exists, r.gap_count, r.missing_rows) for r in quality.validate_all(b, ["a", "z"], ["1h"]).collect()}
+    assert found == {("a", "1h"): (True, 1, 1), ("z", "1h"): (False, None, None)}
+    says = [r.suggestion for r in quality.suggestions(quality.report(b)).collect()]
+    assert says == ["re-download the days around the gaps; fill or re-download missing bars"]
+    files = spark.createDataFrame([("x", bytearray(b"1")), ("y", bytearray(b"2")), ("z", bytearray(b"3"))], "path string, content binary")
+    sums = spark.createDataFrame([("x", hashlib.sha256(b"1").hexdigest().upper()), ("y", "0" * 64)], "path string, sha256 string")
+    assert {(r.path, r.valid) for r in quality.verify_checksums(files, sums).collect()} == {("x", True), ("y", False), ("z", True)}
+
+
 def test_closed_bars(spark):
     b = spark.createDataFrame([("a", "1h", 0), ("a", "15m", 0), ("a", "1h", 3_600_000)], "symbol string, interval string, open_time long")
     assert sorted((r.interval, r.open_time) for r in streams.closed(b, 3_600_000).collect()) == [("15m", 0), ("1h", 0)]

@@ -35,8 +35,16 @@ def bars(spark: SparkSession, sf: str, interval: str = ONE_HOUR) -> DataFrame:
     return src.bars_of(events(spark, sf), interval)
 
 
+def frames(spark: SparkSession, sf: str, *intervals: str) -> dict[str, DataFrame]:
+    """Bars of several intervals, the longer ones made of those of 15 minutes: the events are grouped once, as Spark reuses
+    that exchange, and what is shuffled again are bars."""
+    base = bars(spark, sf, "15m")
+    return {i: base if i == "15m" else src.resample(base, i) for i in intervals}
+
+
 def all_bars(spark: SparkSession, sf: str) -> DataFrame:
-    return bars(spark, sf, "15m").union(bars(spark, sf, "1h")).union(bars(spark, sf, "4h"))
+    of = frames(spark, sf, "15m", "1h", "4h")
+    return of["15m"].union(of["1h"]).union(of["4h"])
 
 
 def shown(df: DataFrame, *columns: str | Column, digits: int = 6) -> DataFrame:
@@ -107,12 +115,12 @@ def bar_enrich(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_with(_b("15m", "a"), _b("1h", "h"), _b("4h", "d")) + 'SELECT a.symbol, a.open_time, a.close AS "15m_close", h.close AS "1h_close", d.close AS "4h_close", d.high AS "4h_high" FROM a ASOF LEFT JOIN h ON a.symbol = h.symbol AND a.open_time >= h.open_time ASOF LEFT JOIN d ON a.symbol = d.symbol AND a.open_time >= d.open_time')
 def asof_align_15m_1h_4h(spark: SparkSession, sf: str) -> DataFrame:
-    return align.align({i: bars(spark, sf, i) for i in ("15m", "1h", "4h")}).select("symbol", "open_time", "15m_close", "1h_close", "4h_close", "4h_high")
+    return align.align(frames(spark, sf, "15m", "1h", "4h")).select("symbol", "open_time", "15m_close", "1h_close", "4h_close", "4h_high")
 
 
 @query(_with(_b("15m", "a"), _b("1h", "h")) + 'SELECT a.symbol, a.open_time, h.close AS "1h_close" FROM a ASOF LEFT JOIN h ON a.symbol = h.symbol AND a.open_time >= h.open_time + 2700000')
 def asof_closed_only(spark: SparkSession, sf: str) -> DataFrame:
-    return align.align({i: bars(spark, sf, i) for i in ("15m", "1h")}, closed_only=True).select("symbol", "open_time", "1h_close")
+    return align.align(frames(spark, sf, "15m", "1h"), closed_only=True).select("symbol", "open_time", "1h_close")
 
 
 _ALL = _with(_b("15m", "x1"), _b("1h", "x2"), _b("4h", "x3"), "b AS (SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3)", "g AS (SELECT *, open_time - lag(open_time) OVER w AS step, lag(open_time) OVER w AS prev, abs(close / nullif(lag(close) OVER w, 0) - 1) AS move, CASE \"interval\" WHEN '15m' THEN 900000 WHEN '1h' THEN 3600000 ELSE 14400000 END AS width FROM b WINDOW w AS (PARTITION BY symbol, \"interval\" ORDER BY open_time))")
@@ -450,7 +458,7 @@ def _setups_sql(span: int, swing: int, rsi_long: float, rsi_short: float, st: tu
 
 
 def _signals(spark: SparkSession, sf: str, parameters: dict, hours: int) -> DataFrame:
-    return backtest.signals(backtest.setups(bars(spark, sf, "15m"), bars(spark, sf, "1h"), bars(spark, sf, "4h"), **parameters), hours=hours)
+    return backtest.signals(backtest.setups(*frames(spark, sf, "15m", "1h", "4h").values(), **parameters), hours=hours)
 
 
 _SIGNALS_OUT = " SELECT symbol, open_time, side, round(close, 6) AS entry, round(sl, 6) AS stop_loss, round(tp, 6) AS take_profit, due AS deadline FROM s"
@@ -569,7 +577,7 @@ _N3 = ", ".join([_b("15m", "x1"), _b("1h", "x2"), _b("4h", "x3"), "b AS (SELECT
 
 
 def _three(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return {i: bars(spark, sf, i) for i in ("15m", "1h", "4h")}
+    return frames(spark, sf, "15m", "1h", "4h")
 
 
 _SIDES = ", ".join(f"{t} AS (SELECT * FROM j WHERE \"interval\" = '{i}')" for t, i in (("ja", "15m"), ("jh", "1h"), ("jd", "4h")))

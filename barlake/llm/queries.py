@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, licenses, line_rules, minhash, mixing, packing, pii, rule_ensemble, toxicity, url_filter
+from . import clusters, infill, jpeg, licenses, line_rules, minhash, mixing, packing, pii, rule_ensemble, sql, substrings, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_license_scan, op3_jpeg, op4_url_filter, op5_packing, op6_mixing, op7_rule_ensemble, op8_toxicity, op9_line_rules, op10_pii)}
+    return {f.__name__: f for f in (op1_minhash, op2_license_scan, op3_jpeg, op4_url_filter, op5_packing, op6_mixing, op7_rule_ensemble, op8_toxicity, op9_line_rules, op10_pii, op11_substrings, op12_lloyd, op13_infill)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_substrings": sql.SUBSTRINGS, "op12_lloyd": sql.lloyd(), "op13_infill": sql.INFILL}

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Code points that are one row of the unit table; only the number of rows depends on it.
-RUN = 512
+RUN = 2048
 CHARS, WORDS, LINES = "(?s).", r"\s*\S+\s*|\s+", "(?s)[^\n]*\n|[^\n]+$"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 _KEY = ["key_1", "key_2", "id"]

@@ -138,7 +138,7 @@ def cut(text, i, units):
 @pytest.mark.parametrize(("unit", "pattern"), [(infill.CHARS, r"(?s)."), (infill.WORDS, r"\s*\S+\s*|\s+"), (infill.LINES, r"[^\n]*\n|[^\n]+$")])
 def test_infill(spark, docs, rows, none, unit, pattern):
     odd = [(i, "".join(random.Random(i).choice("<PSM> é😀\n") for _ in range(i % 1100))) for i in range(300)]
-    odd += [(7, "a<M>b"), (8, "<P><S><M>"), (9, "x" * 512), (10, "y" * 1024), (11, "<"), (11, "<"), (12, "S>" * 40)]
+    odd += [(7, "a<M>b"), (8, "<P><S><M>"), (9, "x" * infill.RUN), (10, "y" * 2 * infill.RUN), (13, "ab é" * infill.RUN), (11, "<"), (11, "<"), (12, "S>" * 40)]
     more = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "1 AS n", "'z' AS form", "2 AS output", "3 AS id", "4 AS key_1")
     for table, plain in ((docs, rows), (more, odd)):
         found = infill.fill_in_middle(table, unit).collect()

@@ -72,17 +72,17 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the phrases at ``places``, with its phrase's seed."""
+    """Each window of the phrases that start at ``places``, with its phrase's seed."""
     for b in batches:
         out: dict[str, list[np.ndarray]] = {k: [] for k in ("seed", "phrase", "number", "doc_id", "place")}
-        for number, doc, text, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        asked, ends = b.column(3).flatten(), b.column(3).offsets.to_numpy()
+        places, seeds = (asked.field(k).to_numpy() for k in ("place", "seed"))
+        for i, (number, doc, text) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)):
+            part = slice(ends[i] - ends[0], ends[i + 1] - ends[0])
+            n, start = places[part] % PLACE, places[part] // PLACE
+            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
             hashes = words.word_hashes(words.split(text))
-            seed, _, place = phrases(hashes)
-            asked = np.isin(place, np.array(places, np.int64))
-            seed, place = seed[asked], place[asked]
-            n = place % PLACE
-            at = np.repeat(place // PLACE - np.cumsum(n) + n, n) + np.arange(n.sum())
-            made = (np.repeat(seed, n), words.windows(hashes, SIZE)[at].view(np.int64), np.full(len(at), number), np.full(len(at), doc), at * PLACE + 1)
+            made = (np.repeat(seeds[part], n), words.windows_at(hashes, SIZE, at).view(np.int64), np.full(len(at), number), np.full(len(at), doc), at * PLACE + 1)
             for k, x in zip(out, made, strict=True):
                 out[k].append(x)
         yield _batch(out)
@@ -115,18 +115,19 @@ def factors(rows: DataFrame, scratch: frames.Scratch) -> DataFrame:
     known = rows.where("doc_id IS NOT NULL")
     keys = "seed long, phrase long, number long, doc_id long, place long"
     shared = known.select("text").mapInArrow(_seeds, "seed long").groupBy("seed").count().where("count > 1").select("seed")
+    shared = scratch.write(shared)  # joins of two tables as they are dealt can be split where a seed has very many rows
     live = scratch.write(known.select("number", "doc_id", "text").mapInArrow(_parsed, keys).join(shared, "seed", "left_semi"))
     first = scratch.write(live.groupBy("seed", "phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     whole = live.join(first.where("first < last"), ["seed", "phrase"]).where("doc_id > first").select("number", "place")
 
-    several = first.groupBy("seed").count().where("count > 1").select("seed")
+    several = scratch.write(first.groupBy("seed").count().where("count > 1").select("seed"))
     ends = live.join(first.join(several, "seed", "left_semi").select("seed", "phrase", F.col("first").alias("doc_id")), ["seed", "phrase", "doc_id"], "left_semi")
-    asked = ends.groupBy("number").agg(F.collect_set("place").alias("places"))
+    asked = ends.groupBy("number").agg(F.collect_set(F.struct("place", "seed")).alias("places"))
     windows = scratch.write(known.join(asked, "number").select("number", "doc_id", "text", "places").mapInArrow(_windowed, keys))
     again = windows.groupBy("seed", "phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     longer = windows.join(again, ["seed", "phrase"]).where("doc_id > first").select("number", "place")
     found = scratch.write(whole.union(longer).groupBy("number").agg(F.collect_set("place").alias("places")))
-    scratch.free(live, first, windows)
+    scratch.free(shared, live, first, several, windows)
     return found
 
 

@@ -33,12 +33,19 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash for each run of ``size`` consecutive words; empty if there are fewer."""
-    n = len(hashes) - size + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    return _mixed(hashes, size, slice(0, max(0, len(hashes) - size + 1)))
+
+
+def windows_at(hashes: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
+    """Of ``windows`` only those that start at ``starts``."""
+    return _mixed(hashes, size, starts)
+
+
+def _mixed(hashes: np.ndarray, size: int, starts: slice | np.ndarray) -> np.ndarray:
+    out = np.zeros(len(hashes[starts]), np.uint64)
     for i in range(size):
-        out += hashes[i : i + n] * _MIX[i % len(_MIX)]
+        at = slice(starts.start + i, starts.stop + i) if isinstance(starts, slice) else starts + i
+        out += hashes[at] * _MIX[i % len(_MIX)]
         out ^= out >> np.uint64(29)
     out *= np.uint64(0xFF51AFD7ED558CCD)
     return out ^ (out >> np.uint64(32))

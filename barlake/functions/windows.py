@@ -27,6 +27,12 @@ def rolling(agg: Column, x: Column, n: int, least: int, end: int = 0) -> Column:
     return F.when(F.count(x).over(w) >= least, agg.over(w))
 
 
+def among(mark: str) -> WindowSpec:
+    """The symbol's rows that are alike in ``mark``, by time: for the marked ones, those marked before. Rows that are dealt
+    by symbol need no other exchange for it."""
+    return Window.partitionBy("symbol", mark).orderBy("open_time")
+
+
 def flag(condition: Column) -> Column:
     """1 or 0; a condition that is null counts as false."""
     return F.coalesce(condition, F.lit(False)).cast("tinyint")

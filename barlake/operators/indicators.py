@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlake.functions.carry import Arrays, average, carried, poc, ratio
 from barlake.functions.supertrend import feature_step, strategy_step
-from barlake.functions.windows import back, by_time, ewm, rolling, so_far
 from barlake.functions.walk import walk
-
-from .align import align
+from barlake.functions.windows import back, by_time, ewm, rolling, so_far
 
 
 def previous(x: Column | str, k: int = 1) -> Column:
@@ -119,25 +118,14 @@ def volume_bundle(bars: DataFrame, window: int | None = None) -> DataFrame:
 
 
 def volume_poc(bars: DataFrame, window: int = 96, bins: int = 24) -> DataFrame:
-    """``vp_poc``: middle of the price bin with the most volume in the window, the lowest at a tie; the mean if the window is flat.
+    """``bars`` with ``vp_poc``: middle of the price bin with the most volume in the window, the lowest at a tie; the mean if
+    the window is flat; null before it is full."""
 
-    Each row is dealt to the ``window`` rows that see it and grouped again, so no window is held as a list.
-    """
-    H, L, C, V = (F.col(c) for c in ("high", "low", "close", "volume"))
-    typical = (H + L + C) / 3
-    base = bars.select("symbol", "open_time", F.row_number().over(by_time()).alias("rn"), typical.alias("tp"), V.alias("v"))
-    w = back(window)
-    seen = base.select("symbol", "open_time", "rn", F.when(F.count("tp").over(w) >= window, F.min("tp").over(w)).alias("lo"), F.max("tp").over(w).alias("hi"), F.avg("tp").over(w).alias("mean")).where("lo IS NOT NULL")
-    dealt = base.select("symbol", F.explode(F.sequence(F.col("rn"), F.col("rn") + window - 1)).alias("rn"), "tp", "v")
-    step = (F.col("hi") - F.col("lo")) / bins
-    joined = dealt.join(seen.select("symbol", "rn", "lo", "hi").where("hi > lo"), ["symbol", "rn"])
-    guess = F.floor((F.col("tp") - F.col("lo")) / step)
-    at = guess + F.when(F.col("tp") < F.col("lo") + guess * step, -1).when(F.col("tp") >= F.col("lo") + (guess + 1) * step, 1).otherwise(0)
-    cell = F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1)).alias("bin")
-    sums = joined.groupBy("symbol", "rn", cell, "lo", "hi").agg(F.sum("v").alias("volume"))
-    best = sums.groupBy("symbol", "rn", "lo", "hi").agg(F.max_by("bin", F.struct("volume", -F.col("bin"))).alias("bin"))
-    found = best.select("symbol", "rn", (F.col("lo") + (F.col("bin") + 0.5) * step).alias("poc"))
-    return seen.join(found, ["symbol", "rn"], "left").select("symbol", "open_time", F.coalesce("poc", "mean").alias("vp_poc"))
+    def step(state: dict | None, x: Arrays) -> tuple[dict, Arrays]:
+        tail, found = poc((state or {}).get("tail"), (x["high"] + x["low"] + x["close"]) / 3, x["volume"], window, bins)
+        return {"tail": tail}, {"vp_poc": found}
+
+    return carried(bars, ["high", "low", "close", "volume"], ["vp_poc"], step)
 
 
 def supertrend(bars: DataFrame, period: int = 10, times: float = 3.0) -> DataFrame:
@@ -160,27 +148,90 @@ def stochastic_fast(bars: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
     return out.withColumn("stochf_d", rolling(F.avg("stochf_k"), F.col("stochf_k"), d, d))
 
 
+#: Columns of ``technical``, in order.
+TECHNICAL = [
+    *[f"ema_{n}" for n in (20, 50, 100, 200)], *[f"sma_{n}" for n in (20, 50, 200)], "macd", "macd_signal", "macd_hist", "adx_14", "di_plus_14", "di_minus_14",
+    "supertrend_p3_m10_0", "supertrend_direction_p3_m10_0", "supertrend_p5_m20_0", "supertrend_direction_p5_m20_0", *[f"rsi_{p}" for p in (7, 14, 21)],
+    "stoch_k_14_3", "stoch_d_14_3_3", "williams_r_14", "cci_20", "bb_mid", "bb_upper", "bb_lower", "bb_pct_b", "bb_bandwidth", *[f"atr_{p}" for p in (7, 14, 21)],
+    "keltner_mid", "keltner_upper", "keltner_lower", "obv", "volume_sma_20", "volume_sma_50", "vp_poc",
+]
+_CARRIED = [*[f"ema_{n}" for n in (20, 50, 100, 200)], "macd", "macd_signal", "adx_14", "di_plus_14", "di_minus_14", *[f"rsi_{p}" for p in (7, 14, 21)], *[f"atr_{p}" for p in (7, 14, 20, 21)], "obv", "vp_poc"]
+
+
+def _technical_step(window: int, bins: int):
+    """A step of ``carried`` for all that looks back without end, and for the volume profile."""
+
+    def step(state: dict | None, x: Arrays) -> tuple[dict, Arrays]:
+        was, now, out = state or {}, {}, {}
+        H, L, C, V = (x[c] for c in ("high", "low", "close", "volume"))
+        h, lo, c = (np.concatenate([[was.get(k, np.nan)], a[:-1]]) for k, a in (("high", H), ("low", L), ("close", C)))
+        now |= {"high": H[-1], "low": L[-1], "close": C[-1]}
+
+        def mean(name: str, values: np.ndarray, alpha: float, least: int = 1) -> np.ndarray:
+            now[name], y = average(was.get(name), values, alpha, least)
+            return y
+
+        wide = np.fmax(H - L, np.fmax(np.abs(H - c), np.abs(L - c)))
+        gain, loss, up, down = C - c, c - C, H - h, lo - L
+        out |= {f"ema_{n}": mean(f"ema_{n}", C, 2 / (n + 1)) for n in (20, 50, 100, 200)} | {f"atr_{p}": mean(f"atr_{p}", wide, 1 / p, p) for p in (7, 14, 20, 21)}
+        for p in (7, 14, 21):
+            out[f"rsi_{p}"] = 100 - 100 / (1 + ratio(mean(f"gain_{p}", np.maximum(gain, 0), 1 / p, p), mean(f"loss_{p}", np.maximum(loss, 0), 1 / p, p)))
+        out["macd"] = mean("ema_12", C, 2 / 13) - mean("ema_26", C, 2 / 27)
+        out["macd_signal"] = mean("macd_signal", out["macd"], 0.2)
+        rise, fall = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
+        plus, minus = (100 * ratio(mean(k, m, 1 / 14, 14), out["atr_14"]) for k, m in (("rise", rise), ("fall", fall)))
+        out |= {"di_plus_14": plus, "di_minus_14": minus, "adx_14": mean("adx", np.nan_to_num(100 * ratio(np.abs(plus - minus), plus + minus)), 1 / 14, 14)}
+        moved = np.nan_to_num(np.sign(C - c) * V)
+        out["obv"] = was.get("obv", 0.0) + np.cumsum(moved)
+        now["obv"] = out["obv"][-1]
+        now["tail"], out["vp_poc"] = poc(was.get("tail"), (H + L + C) / 3, V, window, bins)
+        return now, out
+
+    return step
+
+
+def technical(bars: DataFrame, vp_window: int = 96, vp_bins: int = 24) -> DataFrame:
+    """``bars`` with the columns of ``TECHNICAL``.
+
+    What looks back without end is made of arrays in one pass, the rest by windows of rows. Both Supertrends start from an
+    unknown ATR, so that, as known results have it, they have no line and the way 0; ``feature_supertrend`` has lines.
+    """
+    C, V = F.col("close"), F.col("volume")
+    out = carried(bars, ["high", "low", "close", "volume"], _CARRIED, _technical_step(vp_window, vp_bins))
+    out = out.withColumns({"macd_hist": F.col("macd") - F.col("macd_signal"), "keltner_mid": F.col("ema_20"), "keltner_upper": F.col("ema_20") + 1.5 * F.col("atr_20"), "keltner_lower": F.col("ema_20") - 1.5 * F.col("atr_20")})
+    out = out.withColumns({**{f"sma_{n}": sma(C, n) for n in (20, 50, 200)}, **{f"volume_sma_{n}": sma(V, n) for n in (20, 50)}, "williams_r_14": williams_r()})
+    out = bollinger(cci(stochastic(out))).withColumnsRenamed({"stoch_k": "stoch_k_14_3", "stoch_d": "stoch_d_14_3_3"})
+    none = {f"supertrend_{p}": F.lit(None).cast("double") for p in ("p3_m10_0", "p5_m20_0")} | {f"supertrend_direction_{p}": F.lit(0).cast("tinyint") for p in ("p3_m10_0", "p5_m20_0")}
+    return out.withColumns(none).select(*bars.columns, *TECHNICAL)
+
+
 def bundle(bars: DataFrame) -> DataFrame:
-    """All indicators of one interval but Supertrend and the volume profile. Averages of bars share one blocked scan, those
-    of averages (MACD signal, ADX) a second."""
-    H, L, C = (F.col(c) for c in ("high", "low", "close"))
-    change, up, down = C - previous(C), H - previous(H), previous(L) - L
-    moved = bars.withColumns({
-        "tr_": true_range(), "gain_": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "loss_": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
-        "up_": F.when((up > down) & (up > 0), up).otherwise(0.0), "down_": F.when((down > up) & (down > 0), down).otherwise(0.0),
-    })
-    first = {f"ema_{n}": ("close", 2 / (n + 1), 1) for n in (12, 20, 26, 50, 100, 200)} | {f"atr_{p}": ("tr_", 1 / p, p) for p in (7, 14, 20, 21)}
-    first |= {f"{k}_{p}": (f"{k}_", 1 / p, p) for p in (7, 14, 21) for k in ("gain", "loss")} | {"u_": ("up_", 1 / 14, 14), "d_": ("down_", 1 / 14, 14)}
-    out = ewm(moved, first)
-    plus, minus = 100 * F.try_divide("u_", "atr_14"), 100 * F.try_divide("d_", "atr_14")
-    out = out.withColumns({"di_plus_14": plus, "di_minus_14": minus, "macd": F.col("ema_12") - F.col("ema_26"), **{f"rsi_{p}": 100 - 100 / (1 + F.try_divide(f"gain_{p}", f"loss_{p}")) for p in (7, 14, 21)}})
-    out = out.withColumn("dx_", F.coalesce(100 * F.try_divide(F.abs(plus - minus), plus + minus), F.lit(0.0)))
-    out = ewm(out, {"macd_signal": ("macd", 0.2, 1), "adx_14": ("dx_", 1 / 14, 14)})
-    out = out.withColumns({"macd_hist": F.col("macd") - F.col("macd_signal"), "keltner_mid": F.col("ema_20"), "keltner_upper": F.col("ema_20") + 1.5 * F.col("atr_20"), "keltner_lower": F.col("ema_20") - 1.5 * F.col("atr_20"), **{f"sma_{n}": sma(C, n) for n in (20, 50, 200)}, "williams_r_14": williams_r()})
-    out = volume_bundle(bollinger(cci(stochastic(out))))
-    return out.drop("tr_", "gain_", "loss_", "up_", "down_", "u_", "d_", "dx_", "ema_12", "ema_26", "atr_20", *[f"{k}_{p}" for p in (7, 14, 21) for k in ("gain", "loss")])
+    """All indicators of one interval but Supertrend and the volume profile, and vwap."""
+    out = volume_bundle(technical(bars).drop("volume_sma_20", "volume_sma_50", "obv")).withColumnsRenamed({"stoch_k_14_3": "stoch_k", "stoch_d_14_3_3": "stoch_d"})
+    return out.drop("vp_poc", *[c for c in TECHNICAL if c.startswith("supertrend")])
+
+
+def trend(bars: DataFrame, spans: tuple[int, ...] = (12, 26, 50, 200), lines: tuple[tuple[int, float], ...] = ((10, 3.0),)) -> DataFrame:
+    """Averages, MACD, ADX and DMI (``adx``, ``plus_di``, ``minus_di``), and a Supertrend for each (period, factor), which has
+    no line, as in ``technical``."""
+    out = adx(macd(ema(bars, list(spans)))).withColumnsRenamed({"adx_14": "adx", "di_plus_14": "plus_di", "di_minus_14": "minus_di"})
+    for p, m in lines:
+        name = f"p{p}_m{float(m)}".replace(".", "_")
+        out = out.withColumns({f"supertrend_{name}": F.lit(None).cast("double"), f"supertrend_direction_{name}": F.lit(0).cast("tinyint")})
+    return out
+
+
+def momentum(bars: DataFrame, periods: tuple[int, ...] = (7, 14, 21), k: int = 14, d: int = 3, ranges: tuple[int, ...] = (14, 28)) -> DataFrame:
+    """RSI, the stochastic (raw %K and its average) and Williams %R of several periods."""
+    out = stochastic_fast(rsi(bars, list(periods)), k, d).withColumnsRenamed({"stochf_k": "stoch_k", "stochf_d": "stoch_d"})
+    return out.withColumns({f"williams_r_{n}": williams_r(n) for n in ranges})
+
+
+def volatility(bars: DataFrame, n: int = 20, times: float = 2.0, periods: tuple[int, ...] = (14, 21)) -> DataFrame:
+    """Bollinger bands, ATR of several periods, and a Keltner channel of span 20, ATR 10 and factor 2."""
+    return keltner(atr(bollinger(bars, n, times), list(periods)), 20, 10, 2.0)
 
 
-def matrix(frames: dict[str, DataFrame], base: str = "15m") -> DataFrame:
-    """The bundle of every interval, made on its own bars and taken as of each base bar; columns are ``{interval}_{name}``."""
-    return align({name: bundle(bars) for name, bars in frames.items()}, base)
+def volumes(bars: DataFrame, window: int | None = None, vp_window: int = 96, vp_bins: int = 24) -> DataFrame:
+    """obv, vwap (so far, or of ``window`` rows) and vp_poc."""
+    return volume_poc(volume_bundle(bars, window).drop("volume_sma_20", "volume_sma_50"), vp_window, vp_bins)

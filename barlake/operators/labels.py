@@ -16,13 +16,17 @@ def percentile_rank(x: Column, n: int = 100) -> Column:
     return F.when((F.size(held) >= max(15, n // 5)) & x.isNotNull(), F.size(F.filter(held, lambda v: v <= x)) / F.size(held))
 
 
+def composite(adx: Column, rank: Column) -> Column:
+    """0 quiet, 1 ranging, 2 trending, 3 volatile; null where ADX or the volatility rank is unknown."""
+    return F.when(rank.isNull() | adx.isNull(), None).when(rank >= 0.75, 3).when(adx > 25, 2).when(adx < 20, 1).when(rank <= 0.25, 0).otherwise(1)
+
+
 def regime(bars: DataFrame, adx: str = "adx_14", atr: str = "atr_14", n: int = 100) -> DataFrame:
     """``regime``: 0 quiet, 1 ranging, 2 trending, 3 volatile; null where ADX or the volatility rank is unknown. The flags
     look at ADX (over 25, below 20) and at the rank (from 0.75) each by itself."""
     out = bars.withColumn("volatility_regime", percentile_rank(F.col(atr), n))
     p, a = F.col("volatility_regime"), F.col(adx)
-    label = F.when(p.isNull() | a.isNull(), None).when(p >= 0.75, 3).when(a > 25, 2).when(a < 20, 1).when(p <= 0.25, 0).otherwise(1)
-    return out.withColumns({"trend_strength": a, "regime": label, "regime_trending": flag(a > 25), "regime_ranging": flag(a < 20), "regime_volatile": flag(p >= 0.75)})
+    return out.withColumns({"trend_strength": a, "regime": composite(a, p), "regime_trending": flag(a > 25), "regime_ranging": flag(a < 20), "regime_volatile": flag(p >= 0.75)})
 
 
 def regimes(frames: dict[str, DataFrame], n: int = 100) -> DataFrame:

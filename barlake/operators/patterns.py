@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.windows import back, by_time, flag, last_where, rolling, so_far
+from barlake.functions.windows import among, back, by_time, flag, last_where, rolling
 
 from .indicators import atr, previous
 
@@ -62,7 +62,7 @@ def swing_flags(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
 
 
 def swings(bars: DataFrame) -> DataFrame:
-    """Swing flags, rows since each, and how far (in %) the last swing high is above the close."""
+    """Swing flags and rows since each, under both names they go by, and how far (in %) the last swing high is above the close."""
     H, C = (F.col(c) for c in ("high", "close"))
     out = swing_flags(bars).withColumn("rn_", F.row_number().over(by_time()))
     last = last_where(F.col("is_swing_high") == 1, H)
@@ -70,7 +70,7 @@ def swings(bars: DataFrame) -> DataFrame:
         "bars_since_swing_high": F.col("rn_") - last_where(F.col("is_swing_high") == 1, F.col("rn_")),
         "bars_since_swing_low": F.col("rn_") - last_where(F.col("is_swing_low") == 1, F.col("rn_")),
         "swing_high_distance_pct": F.when(last > C, F.try_divide(last - C, C) * 100),
-    }).drop("rn_")
+    }).withColumns({"swing_is_high": F.col("is_swing_high"), "swing_is_low": F.col("is_swing_low"), "swing_bars_since_high": F.col("bars_since_swing_high"), "swing_bars_since_low": F.col("bars_since_swing_low")}).drop("rn_")
 
 
 def support_resistance(bars: DataFrame, keep: int = 30, at_level: float = 0.25) -> DataFrame:
@@ -79,8 +79,9 @@ def support_resistance(bars: DataFrame, keep: int = 30, at_level: float = 0.25)
     H, L, C = (F.col(c) for c in ("high", "low", "close"))
     out = swing_flags(with_atr(bars))
     for kind, price in (("low", L), ("high", H)):
-        pivots = out.where(F.col(f"is_swing_{kind}") == 1).withColumn("held_", F.collect_list(price).over(back(keep))).select("symbol", "open_time", F.col("held_").alias(f"{kind}s_"))
-        out = out.join(pivots, ["symbol", "open_time"], "left").withColumn(f"{kind}s_", F.last(f"{kind}s_", ignorenulls=True).over(so_far()))
+        swing = F.col(f"is_swing_{kind}") == 1
+        out = out.withColumn(f"{kind}s_", F.when(swing, F.collect_list(price).over(among(f"is_swing_{kind}").rowsBetween(1 - keep, 0))))
+        out = out.withColumn(f"{kind}s_", last_where(swing, F.col(f"{kind}s_")))
     out = out.withColumns({"sr_nearest_support": F.array_max(F.filter("lows_", lambda p: p < C)), "sr_nearest_resistance": F.array_min(F.filter("highs_", lambda p: p > C))})
     s, r = F.col("sr_nearest_support"), F.col("sr_nearest_resistance")
 
@@ -128,13 +129,13 @@ def liquidity(bars: DataFrame) -> DataFrame:
     for name, key in (("daily", "day_"), ("weekly", "week_")):
         w = Window.partitionBy("symbol", key).orderBy("open_time").rowsBetween(Window.unboundedPreceding, 0)
         out = out.withColumns({f"{name}_high": F.max(H).over(w), f"{name}_low": F.min(L).over(w)})
-        per = bars.select("symbol", F.date_trunc(key[:-1], ts).alias(key), "high", "low").groupBy("symbol", key).agg(F.max("high").alias("h"), F.min("low").alias("l"))
-        order = Window.partitionBy("symbol").orderBy(key)
-        out = out.join(per.select("symbol", key, F.lag("h").over(order).alias(f"{key}h"), F.lag("l").over(order).alias(f"{key}l")), ["symbol", key])
+        turned = F.col(key) != F.col(f"{key}was")
+        out = out.withColumns({f"{key}was": previous(key), f"{key}h": previous(f"{name}_high"), f"{key}l": previous(f"{name}_low")})
+        out = out.withColumns({f"{key}h": last_where(turned, F.col(f"{key}h")), f"{key}l": last_where(turned, F.col(f"{key}l"))})
         ph, pl = F.col(f"{key}h"), F.col(f"{key}l")
         sweep = sweep | F.coalesce((H > ph) & (C < ph), F.lit(False)) | F.coalesce((L < pl) & (C > pl), F.lit(False))
     out = out.withColumns({"distance_to_daily_high": by_atr(F.col("daily_high") - C), "distance_to_daily_low": by_atr(C - F.col("daily_low"))})
-    return out.withColumn("is_liquidity_sweep", flag(sweep)).drop("day_", "week_", "day_h", "day_l", "week_h", "week_l")
+    return out.withColumn("is_liquidity_sweep", flag(sweep)).drop(*[f"{k}_{x}" for k in ("day", "week") for x in ("", "was", "h", "l")])
 
 
 def order_blocks(bars: DataFrame, reach: int = 40) -> DataFrame:
@@ -161,8 +162,8 @@ def structure(bars: DataFrame) -> DataFrame:
     H, L, C = (F.col(c) for c in ("high", "low", "close"))
     out = swing_flags(with_atr(bars))
     for kind, price in (("high", H), ("low", L)):
-        own = out.where(F.col(f"is_swing_{kind}") == 1).select("symbol", "open_time", F.struct(price.alias("now"), F.lag(price).over(by_time()).alias("old")).alias(f"{kind}_"))
-        out = out.join(own, ["symbol", "open_time"], "left").withColumn(f"{kind}_", F.last(f"{kind}_", True).over(so_far()))
+        out = out.withColumn(f"{kind}_", F.struct(price.alias("now"), F.lag(price).over(among(f"is_swing_{kind}")).alias("old")))
+        out = out.withColumn(f"{kind}_", last_where(F.col(f"is_swing_{kind}") == 1, F.col(f"{kind}_")))
     h2, h1, l2, l1 = F.col("high_.now"), F.col("high_.old"), F.col("low_.now"), F.col("low_.old")
     out = out.withColumn("market_structure", F.when((h2 > h1) & (l2 > l1), 1).when((h2 < h1) & (l2 < l1), -1).otherwise(0))
     bull, bear = C > previous("high_.now"), C < previous("low_.now")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.operators import align, backtest, indicators, labels, patterns, quality
+from barlake.operators import align, backtest, features, indicators, labels, patterns, quality
 from barlake.sources import bars as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -278,7 +278,7 @@ _POC = "g AS (SELECT w.symbol, w.open_time, w.lo, w.step, p.tp, p.volume, floor(
 
 @query(_with(_N, _TP, _POC) + "SELECT w.symbol, w.open_time, round(coalesce(best.lo + (bin + 0.5) * best.step, mean), 6) AS vp_poc FROM w LEFT JOIN best USING (symbol, open_time) WHERE seen >= 96")
 def vp_poc(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(indicators.volume_poc(bars(spark, sf)), "vp_poc")
+    return shown(indicators.volume_poc(bars(spark, sf)).where("vp_poc IS NOT NULL"), "vp_poc")
 
 
 def _ratchet(period: int, times: float, name: str = "s") -> str:
@@ -582,13 +582,36 @@ def _three(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 _SIDES = ", ".join(f"{t} AS (SELECT * FROM j WHERE \"interval\" = '{i}')" for t, i in (("ja", "15m"), ("jh", "1h"), ("jd", "4h")))
 _ASOF3 = "FROM ja a ASOF LEFT JOIN jh h ON a.symbol = h.symbol AND a.open_time >= h.open_time ASOF LEFT JOIN jd d ON a.symbol = d.symbol AND a.open_time >= d.open_time"
-_SHOWN = ["ema_20", "rsi_14", "atr_14"]
+#: The bars of all intervals as one table of symbol|interval, in place of b of one hour.
+_KEYED = _N3[: len(_N3) - len(_N[len(_b(ONE_HOUR)) :])]
 
 
-@query("WITH RECURSIVE " + _N3 + _G + ", " + _chain({"c20": ("close", 2 / 21), "a": ("tr", 1 / 14), "g": ("gain", 1 / 14), "l": ("loss", 1 / 14)}, "g") + ", j AS (SELECT split_part(t.symbol, '|', 1) AS symbol, \"interval\", open_time, c20 AS ema_20, CASE WHEN rn >= 15 THEN 100 - 100 / (1 + e.g / nullif(l, 0)) END AS rsi_14, CASE WHEN rn >= 14 THEN a END AS atr_14 FROM e JOIN t USING (symbol, rn)), " + _SIDES + " SELECT a.symbol, a.open_time, " + ", ".join(f'round({t}.{c}, 6) AS "{i}_{c}"' for t, i in (("a", "15m"), ("h", "1h"), ("d", "4h")) for c in _SHOWN) + " " + _ASOF3)
+def _of_all(name: str) -> str:
+    """The SQL of a query over hourly bars, over the bars of all intervals."""
+    return "(" + _SQL[name].replace(_b(ONE_HOUR), _KEYED) + ")"
+
+
+#: Names of the technical columns in the SQL of the bundle and of the volume profile.
+_IN_SQL = {"stoch_k_14_3": "stoch_k", "stoch_d_14_3_3": "stoch_d"} | {c: "CAST(NULL AS DOUBLE)" if "direction" not in c else "CAST(0 AS BIGINT)" for c in indicators.TECHNICAL if c.startswith("supertrend")}
+_TECH = "j AS MATERIALIZED (SELECT split_part(t.symbol, '|', 1) AS symbol, split_part(t.symbol, '|', 2) AS \"interval\", open_time, open, high, low, close, volume, " + ", ".join(f"{_IN_SQL.get(c, c)} AS {c}" for c in indicators.TECHNICAL) + ", {more} FROM " + _of_all("technical_bundle") + " t JOIN (WITH " + _KEYED + " SELECT * FROM b) USING (symbol, open_time) LEFT JOIN " + _of_all("vp_poc") + " p USING (symbol, open_time) {joined})"
+_LEVELS = ["sr_nearest_support", "sr_nearest_resistance", "distance_to_nearest_support", "distance_to_nearest_resistance", "is_at_support", "is_at_resistance", "nearest_support_touches", "nearest_resistance_touches", "strength_of_level"]
+
+
+def _as_of(columns: list[str], own: list[str]) -> str:
+    """Base rows with ``own``, and ``columns`` of every interval."""
+    return "SELECT a.symbol, a.open_time, " + ", ".join([f"a.{c}" for c in own] + [f'{t}.{c} AS "{i}_{c}"' for t, i in (("a", "15m"), ("h", "1h"), ("d", "4h")) for c in columns]) + " " + _ASOF3
+
+
+def _named(df: DataFrame, like: list[str]) -> list[str | Column]:
+    """Columns as ``shown`` takes them, those that amplify rounding less exact."""
+    return [F.round(c, 5).alias(c) if c.endswith(("cci_20", "bb_pct_b")) else c for c in df.columns if c in like]
+
+
+@query("WITH " + _TECH.format(more="1 AS one", joined="") + ", " + _SIDES + " " + _as_of(indicators.TECHNICAL, features.RAW))
 def technical_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Nine of the matrix's columns: three of each interval."""
-    return shown(indicators.matrix(_three(spark, sf)), *[f"{i}_{c}" for i in ("15m", "1h", "4h") for c in _SHOWN])
+    """Every technical column of 15m, 1h and 4h on the rows of 15m."""
+    made = features.matrix(_three(spark, sf))
+    return shown(made, *_named(made, made.columns[2:]))
 
 
 def _regime_of(tag: str) -> str:

@@ -34,24 +34,28 @@ def together(frames: dict[str, DataFrame]) -> DataFrame:
 
 def as_of_base(rows: DataFrame, intervals: list[str], own: list[str], held: list[str]) -> DataFrame:
     """The rows of the first of ``intervals`` with ``own`` under their names, and ``held`` of it and of the last row so far of
-    every other interval as ``{interval}_{name}``; equal times count as so far.
+    every other interval as structs ``at_{interval}``; equal times count as so far.
 
     ``rows`` are of ``together``. One exchange by symbol, one sort.
     """
     base, *longer = intervals
     parts = F.split(F.col("symbol"), r"\|(?=[^|]*$)")
-    keyed = rows.select(parts[0].alias("symbol"), parts[1].alias("interval_"), "open_time", *own, F.struct(*held).alias("held_"))
+    keyed = rows.select(parts[0].alias("symbol"), parts[1].alias("interval_"), "open_time", *own, F.struct(*held).alias(f"at_{base}"))
     so_far = Window.partitionBy("symbol").orderBy("open_time", F.col("interval_") == base).rowsBetween(Window.unboundedPreceding, 0)
-    last = {f"held_{i}": F.last(F.when(F.col("interval_") == i, F.col("held_")), ignorenulls=True).over(so_far) for i in longer}
-    found = keyed.withColumns(last).where(F.col("interval_") == base)
-    of = {base: "held_", **{i: f"held_{i}" for i in longer}}
-    return found.select("symbol", "open_time", *own, *[F.col(f"{at}.{c}").alias(f"{i}_{c}") for i, at in of.items() for c in held])
+    last = {f"at_{i}": F.last(F.when(F.col("interval_") == i, F.col(f"at_{base}")), ignorenulls=True).over(so_far) for i in longer}
+    return keyed.withColumns(last).where(F.col("interval_") == base).drop("interval_")
+
+
+def flat(rows: DataFrame, intervals: list[str], held: list[str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with the structs of ``as_of_base`` as columns ``{interval}_{name}``, without those to ``drop``."""
+    inner = [F.col(f"at_{i}.{c}").alias(f"{i}_{c}") for i in intervals for c in held if f"{i}_{c}" not in drop]
+    return rows.select(*[c for c in rows.columns if not (c.startswith("at_") and c[3:] in intervals)], *inner)
 
 
 def matrix(frames: dict[str, DataFrame], vp_window: int = 96, vp_bins: int = 24) -> DataFrame:
     """The base bars (the first of ``frames``) with all columns of ``technical`` of every interval, each made on its own bars,
     as ``{interval}_{name}``."""
-    return as_of_base(technical(together(frames), vp_window, vp_bins), list(frames), RAW, TECHNICAL)
+    return flat(as_of_base(technical(together(frames), vp_window, vp_bins), list(frames), RAW, TECHNICAL), list(frames), TECHNICAL)
 
 
 def regime_columns(rows: DataFrame, names: dict[str, str], n: int = 100) -> DataFrame:
@@ -75,15 +79,18 @@ def feature_matrix(frames: dict[str, DataFrame], signals: DataFrame | None = Non
     """
     base, *_ = frames
     made = patterns.support_resistance(technical(together(frames)))
-    out = as_of_base(made, list(frames), [*RAW, *LEVELS], [*RAW, *TECHNICAL, *LEVELS]).drop(*[f"{base}_{c}" for c in LEVELS])
-    out = out.withColumn("atr_14", F.col(f"{base}_atr_14"))
+    held = [*RAW, *TECHNICAL, *LEVELS]
+    own = [*[f"{i}_{c}" for i in frames for c in ("adx_14", "atr_14")]]
+    out = as_of_base(made, list(frames), [*RAW, *LEVELS], held)
+    out = out.withColumns({**{f"{i}_{c}": F.col(f"at_{i}.{c}") for i in frames for c in ("adx_14", "atr_14")}, "atr_14": F.col(f"at_{base}.atr_14")})
     out = patterns.fair_value_gaps(patterns.swings(patterns.candles(out)))
     out = patterns.legacy(patterns.structure(patterns.order_blocks(patterns.liquidity(out))))
     out = regime_columns(out, {i: {"m": "M", "h": "H"}.get(i[-1], i[-1]) + i[:-1] for i in frames})
     out = labels.legacy_targets(labels.targets(out, minutes))
     C, atr = F.col("close"), F.col(f"{base}_atr_14")
     ahead = {name: F.lead(C, max(1, round(60 * hours / minutes))).over(by_time()) for name, hours in (("1h", 1), ("4h", 4), ("1d", 24))}
-    out = out.withColumns({f"target_risk_adjusted_return_{name}": F.try_divide(F.try_divide(x - C, C), atr) for name, x in ahead.items()}).drop("atr_14")
+    out = out.withColumns({f"target_risk_adjusted_return_{name}": F.try_divide(F.try_divide(x - C, C), atr) for name, x in ahead.items()})
+    out = flat(out.drop("atr_14", *own), list(frames), held, tuple(f"{base}_{c}" for c in (*RAW, *LEVELS)))
     if signals is None:
         return out.withColumns({c: F.lit(None).cast("double") for c in LABELS})
     found = backtest.trade_labels(signals, frames[base], label_rows).select("symbol", "open_time", *LABELS)

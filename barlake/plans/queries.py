@@ -594,9 +594,6 @@ def _of_all(name: str) -> str:
 #: Names of the technical columns in the SQL of the bundle and of the volume profile.
 _IN_SQL = {"stoch_k_14_3": "stoch_k", "stoch_d_14_3_3": "stoch_d"} | {c: "CAST(NULL AS DOUBLE)" if "direction" not in c else "CAST(0 AS BIGINT)" for c in indicators.TECHNICAL if c.startswith("supertrend")}
 _TECH = "j AS MATERIALIZED (SELECT split_part(t.symbol, '|', 1) AS symbol, split_part(t.symbol, '|', 2) AS \"interval\", open_time, open, high, low, close, volume, " + ", ".join(f"{_IN_SQL.get(c, c)} AS {c}" for c in indicators.TECHNICAL) + ", {more} FROM " + _of_all("technical_bundle") + " t JOIN (WITH " + _KEYED + " SELECT * FROM b) USING (symbol, open_time) LEFT JOIN " + _of_all("vp_poc") + " p USING (symbol, open_time) {joined})"
-_LEVELS = ["sr_nearest_support", "sr_nearest_resistance", "distance_to_nearest_support", "distance_to_nearest_resistance", "is_at_support", "is_at_resistance", "nearest_support_touches", "nearest_resistance_touches", "strength_of_level"]
-
-
 def _as_of(columns: list[str], own: list[str]) -> str:
     """Base rows with ``own``, and ``columns`` of every interval."""
     return "SELECT a.symbol, a.open_time, " + ", ".join([f"a.{c}" for c in own] + [f'{t}.{c} AS "{i}_{c}"' for t, i in (("a", "15m"), ("h", "1h"), ("d", "4h")) for c in columns]) + " " + _ASOF3
@@ -644,6 +641,47 @@ def trade_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(backtest.trade_labels(_plain_signals(b), b, 48))
 
 
+#: Labels of the strategy's signals (with loosened parameters), 96 rows ahead.
+_LABELS = "(WITH RECURSIVE " + _setups_sql(**LOOSE, hours=24) + ", n AS (SELECT *, row_number() OVER w AS rn FROM a " + _W + "), s2 AS (SELECT s.*, n.rn FROM s JOIN n USING (symbol, open_time))" + _SQL["trade_labels"][_SQL["trade_labels"].index(", g AS (") :].replace("FROM s JOIN n", "FROM s2 s JOIN n").replace("s.rn + 48", "s.rn + 96") + ")"
+
+
+def _of_base(name: str, leads: dict[int, int] | None = None) -> str:
+    """The SQL of a query over hourly bars, over those of 15 minutes; ``leads``: rows ahead instead of others."""
+    sql = _SQL[name].replace(_b(ONE_HOUR), _b("15m"))
+    for old, new in sorted((leads or {}).items(), reverse=True):
+        sql = sql.replace(f"lead(close, {old})", f"lead(close, {new})")
+    return "(" + sql + ")"
+
+
+_HOURS = {1: 4, 4: 16, 24: 96}
+_BASE_SQL = {n: _of_base(n) for n in ("swing_features", "candle_patterns", "fvg", "liquidity", "order_blocks", "structure_bos_choch", "smc_legacy", "targets_legacy")} | {"regime": "(SELECT * EXCLUDE (regime) FROM " + _of_base("regime") + ")"} | {n: _of_base(n, _HOURS) for n in ("targets_horizon", "targets_risk_adjusted")}
+_GAP_SIDES = {"fvg_bull_low": "h2", "fvg_bull_high": "high", "fvg_bull_size": "low - h2", "fvg_bear_low": "high", "fvg_bear_high": "l2", "fvg_bear_size": "l2 - high"}
+
+
+def _feature_sql() -> str:
+    """All groups of columns on the rows of 15m; each group is the SQL of its own query."""
+    tech = _TECH.format(more=", ".join(f"l.{c}" for c in features.LEVELS), joined="JOIN " + _of_all("support_resistance") + " l USING (symbol, open_time)")
+    held = [*features.RAW, *indicators.TECHNICAL, *features.LEVELS]
+    apart = ", ".join(f'"15m_{c}"' for c in (*features.RAW, *features.LEVELS))
+    made = f"""SELECT m0.* EXCLUDE ({apart}), g.* EXCLUDE (symbol, open_time), is_swing_high AS swing_is_high, is_swing_low AS swing_is_low, bars_since_swing_high AS swing_bars_since_high, bars_since_swing_low AS swing_bars_since_low,
+    r3.regime_15m::DOUBLE AS "regime_M15", r3.regime_1h::DOUBLE AS "regime_H1", r3.regime_4h::DOUBLE AS "regime_H4", {", ".join(f"y.{c}" for c in features.LABELS)}"""
+    groups = "g AS (SELECT * FROM " + " JOIN ".join(f"{q} q_{n}{' USING (symbol, open_time)' if k else ''}" for k, (n, q) in enumerate(_BASE_SQL.items())) + ")"
+    return "WITH " + tech + ", " + _SIDES + ", m0 AS (" + _as_of(held, [*features.RAW, *features.LEVELS]) + "), " + groups + " " + made + f" FROM m0 JOIN g USING (symbol, open_time) JOIN ({_SQL['regimes_15m_1h_4h']}) r3 USING (symbol, open_time) LEFT JOIN {_LABELS} y ON y.symbol = m0.symbol AND y.open_time = m0.open_time"
+
+
+#: Made of two columns of the same row, told by their own queries' SQL in another form: distances in average true ranges, zone ends.
+_NOT_TOLD = ["distance_to_daily_high", "distance_to_daily_low", *_GAP_SIDES]
+
+
+@query(_feature_sql())
+def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Every feature, target and label on the rows of 15m, but the columns that no SQL tells."""
+    frames_ = _three(spark, sf)
+    signals = backtest.signals(backtest.setups(*frames_.values(), **LOOSE), hours=24)
+    made = features.feature_matrix(frames_, signals, label_rows=96).drop(*_NOT_TOLD)
+    return shown(made, *_named(made, made.columns[2:]))
+
+
 _METRICS = _SQL["backtest_metrics"].replace(" SELECT * REPLACE", ", all_ AS (SELECT * REPLACE") + ")"
 _FINITE = ["win_rate", "total_return_pct", "total_pnl", "profit_factor", "n_trades", "avg_return_win_pct", "avg_return_loss_pct"]
 

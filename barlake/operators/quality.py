@@ -22,9 +22,12 @@ def gaps(bars: DataFrame) -> DataFrame:
 
 
 def report(bars: DataFrame) -> DataFrame:
-    """One row per symbol and interval: rows, gaps, bad prices, negative volumes, outliers, missing rows, score, label."""
+    """One row per symbol and interval: rows, gaps, bad prices, negative volumes, outliers (closes that move by
+    more than half, from 0 to anything included), missing rows, score, label."""
     w = Window.partitionBy("symbol", "interval").orderBy("open_time")
-    rows = bars.withColumns({"step_": F.col("open_time") - F.lag("open_time").over(w), "move_": F.abs(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1), "width_": width_ms()})
+    before = F.lag("close").over(w)
+    move = F.when(before == 0, F.when(F.col("close") != 0, float("inf"))).otherwise(F.abs(F.col("close") / before - 1))
+    rows = bars.withColumns({"step_": F.col("open_time") - F.lag("open_time").over(w), "move_": move, "width_": width_ms()})
     bad = F.lit(False)
     for c in PRICES:
         bad = bad | (F.col(c) <= 0)

@@ -118,6 +118,12 @@ def asof_align_15m_1h_4h(spark: SparkSession, sf: str) -> DataFrame:
     return align.align(frames(spark, sf, "15m", "1h", "4h")).select("symbol", "open_time", "15m_close", "1h_close", "4h_close", "4h_high")
 
 
+@query(_SQL["asof_align_15m_1h_4h"])
+def asof_grid_15m_1h_4h(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by equi-joins on the grids."""
+    return align.align_grid(frames(spark, sf, "15m", "1h", "4h")).select("symbol", "open_time", "15m_close", "1h_close", "4h_close", "4h_high")
+
+
 @query(_with(_b("15m", "a"), _b("1h", "h")) + 'SELECT a.symbol, a.open_time, h.close AS "1h_close" FROM a ASOF LEFT JOIN h ON a.symbol = h.symbol AND a.open_time >= h.open_time + 2700000')
 def asof_closed_only(spark: SparkSession, sf: str) -> DataFrame:
     return align.align(frames(spark, sf, "15m", "1h"), closed_only=True).select("symbol", "open_time", "1h_close")
@@ -180,9 +186,11 @@ def date_spine_missing(spark: SparkSession, sf: str) -> DataFrame:
     return quality.missing_dates(bars(spark, sf, "1d"), "2023-12-30", "2024-02-02")
 
 
-@query(_with(_b("1h")) + "SELECT DISTINCT symbol, '1w' AS missing, false AS available FROM b")
+@query("WITH s AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS p FROM orders) SELECT c AS symbol, concat_ws(',', CASE WHEN count(*) FILTER (p = '1-URGENT') = 0 THEN '1-URGENT' END, CASE WHEN count(*) FILTER (p = '2-HIGH') = 0 THEN '2-HIGH' END, CASE WHEN count(*) FILTER (p = '3-MEDIUM') = 0 THEN '3-MEDIUM' END) AS missing, count(*) FILTER (p IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) = 3 AS available FROM s GROUP BY 1")
 def available_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.available(all_bars(spark, sf), ["15m", "1h", "4h", "1w"])
+    """Customers as symbols, the priorities of their orders as intervals: some have all three, others lack some."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("symbol"), F.col("o_orderpriority").alias("interval"))
+    return quality.available(o, ["1-URGENT", "2-HIGH", "3-MEDIUM"])
 
 
 @query("SELECT c_name AS symbol, c_acctbal AS volume FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) ORDER BY volume DESC, symbol LIMIT 20")
@@ -712,6 +720,69 @@ def year_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return src.year_chunks(bars(spark, sf, "1d"))
 
 
+_RANKED = [f"{i}_{c}" for i in ("15m", "1h", "4h") for c in indicators.TECHNICAL]
+
+
+@query("WITH m AS MATERIALIZED (" + _SQL["technical_matrix"] + "), y AS MATERIALIZED (SELECT *, lead(close, 16) OVER w / nullif(close, 0) - 1 AS y FROM m " + _W + "), c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, covar_pop(\"{c}\", y) / nullif(sqrt(var_pop(\"{c}\") FILTER (y IS NOT NULL)) * sqrt(var_pop(y) FILTER (\"{c}\" IS NOT NULL)), 0) AS r, count(\"{c}\") FILTER (y IS NOT NULL) AS n, max(\"{c}\") FILTER (y IS NOT NULL) > min(\"{c}\") FILTER (y IS NOT NULL) AS v FROM y" for c in _RANKED) + ") SELECT feature, round(r, 5) AS correlation, round(abs(r), 5) AS abs_correlation, n FROM c WHERE n >= 50 AND v ORDER BY abs(r) DESC, feature LIMIT 20")
+def feature_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 technical columns that go most with the return of the next 16 bars: a top report over all rows and columns."""
+    m = _rounded(technical_matrix(spark, sf))
+    rows = m.withColumn("y", F.try_divide(F.lead("close", 16).over(indicators.by_time()), F.col("close")) - 1)
+    found = backtest.correlations(rows, _RANKED, "y", top=20)
+    return found.select("feature", F.round("pearson", 5).alias("correlation"), F.round(F.abs("pearson"), 5).alias("abs_correlation"), "n")
+
+
+_JSON = "CAST(to_json(map_from_entries(list({{'k': k, 'v': n}} ORDER BY k) FILTER (map = '{m}'))) AS VARCHAR) AS {m}"
+_MAPS = ["losers_by_exit_reason", "winners_by_exit_reason", "loser_entry_hour_utc_counts"]
+
+
+@query(_SQL["loser_report"].replace("SELECT symbol, count(*) AS n_total", ", cells AS (SELECT symbol, map, k, count(*) AS n FROM (SELECT symbol, CASE WHEN pnl > 0 THEN 'winners_by_exit_reason' ELSE 'losers_by_exit_reason' END AS map, exit_reason AS k FROM tr UNION ALL SELECT symbol, 'loser_entry_hour_utc_counts', lpad(CAST(hour(epoch_ms(entry_time)) AS VARCHAR), 2, '0') FROM tr WHERE pnl <= 0) GROUP BY ALL), maps AS (SELECT symbol, " + ", ".join(f"'{{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY k) FILTER (map = '{m}') || '}}' AS {m}" for m in _MAPS) + " FROM cells GROUP BY 1), rep AS (SELECT symbol, count(*) AS n_total", 1) + """) SELECT rep.*, maps.* EXCLUDE (symbol), '[' || concat_ws(',', CASE WHEN sl_share_among_losers > 0.55 AND n_losers >= 5 THEN '"most losers hit the stop: it may be too tight, or entries too noisy"' END, CASE WHEN time_share_among_losers > 0.35 AND n_losers >= 5 THEN '"many losers end by time: hold longer or give up earlier"' END, CASE WHEN tp_share_among_winners < 0.25 AND n_winners >= 5 THEN '"few winners reach the target: it may be too far"' END) || ']' AS hypotheses FROM rep JOIN maps USING (symbol)""")
+def trade_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(backtest.trade_report(_plain_trades(spark, sf)))
+
+
+#: The grid: the span of the trend's average, stop, target (shares of the entry) and longest stay.
+GRID = {"span": [10, 20, 40], "stop": [0.01, 0.035, 0.07], "target": [0.02, 0.065, 0.13], "hours": [12, 24]}
+
+
+def _grid_sql() -> str:
+    keep = {k: v for k, v in LOOSE.items() if k != "span"}
+    made = "g AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS i, symbol, open_time, side, close FROM (WITH RECURSIVE {_setups_sql(span=n, **keep, hours=24)} SELECT * FROM s)" for k, n in enumerate(GRID["span"])) + ")"
+    lists = {k: f"(SELECT unnest({v}) AS {k}, unnest(range({len(v)})) AS i_{k})" for k, v in GRID.items()}
+    runs = "runs AS MATERIALIZED (SELECT *, ((i_span * 3 + i_stop) * 3 + i_target) * 2 + i_hours AS run_id FROM " + ", ".join(lists.values()) + ")"
+    signals = "s AS MATERIALIZED (SELECT run_id || '|' || symbol AS symbol, open_time, side, close, close * CASE side WHEN 'long' THEN 1 - stop ELSE 1 + stop END AS sl, close * CASE side WHEN 'long' THEN 1 + target ELSE 1 - target END AS tp, open_time + hours * 3600000 AS due FROM g JOIN runs ON g.i = runs.i_span)"
+    bars_ = _b("15m", "b0") + ", n AS (SELECT *, max(open_time) OVER (PARTITION BY symbol) AS last_time FROM b0)"
+    exits = _EXITS.replace("n.symbol = s.symbol", "n.symbol = split_part(s.symbol, '|', 2)")
+    out = "m AS (SELECT CAST(split_part(symbol, '|', 1) AS BIGINT) AS run_id, split_part(symbol, '|', 2) AS symbol, entry_time, pnl, pnl_pct FROM tr), f AS (SELECT *, sum(pnl_pct) OVER (PARTITION BY run_id ORDER BY symbol, entry_time) AS t FROM m), f2 AS (SELECT *, max(t) OVER (PARTITION BY run_id ORDER BY symbol, entry_time) - t AS fall FROM f), q AS (SELECT run_id, count(*) AS total_trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS gross_profit, abs(coalesce(sum(pnl) FILTER (pnl <= 0), 0)) AS gross_loss, avg(pnl_pct) AS avg_return_per_trade, avg(pnl_pct) / (stddev_pop(pnl_pct) + 1e-6) AS sharpe_ratio, max(fall) AS max_drawdown FROM f2 GROUP BY 1)"
+    columns = ", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in ("win_rate", "gross_profit", "gross_loss", "avg_return_per_trade", "sharpe_ratio", "max_drawdown"))
+    return "WITH RECURSIVE " + ", ".join((bars_, made, runs, signals)) + exits.replace(", f AS (", ", f0 AS (", 1) + _TAKEN.replace("LEFT JOIN f USING", "LEFT JOIN f0 USING").replace("f.exit", "f0.exit") + ", " + out + f" SELECT run_id, span, stop::DOUBLE AS stop, target::DOUBLE AS target, hours, coalesce(total_trades, 0) AS total_trades, {columns}, round(CASE WHEN gross_loss > 0 THEN gross_profit / gross_loss ELSE coalesce(gross_profit, 0) END, 6) AS profit_factor FROM runs LEFT JOIN q USING (run_id)"
+
+
+_GRID_SQL = _grid_sql()
+
+
+def _grid(spark: SparkSession, sf: str) -> DataFrame:
+    of = _three(spark, sf)
+    keep = {k: v for k, v in LOOSE.items() if k != "span"}
+    ready = backtest.setups(*of.values(), **keep, spans=GRID["span"])
+    runs = backtest.parameter_runs(spark, {f"i_{k}": list(range(len(v))) for k, v in GRID.items()})
+    found = backtest.grid(backtest.signals_of_spans(ready, GRID["span"]), of["15m"], runs, "i_span", GRID["stop"], GRID["target"], GRID["hours"])
+    of_run = [F.element_at(F.array(*map(F.lit, v)), F.col(f"i_{k}") + 1).alias(k) for k, v in GRID.items()]
+    return _rounded(found.select("run_id", *of_run, *[c for c in found.columns if c != "run_id" and not c.startswith("i_")]))
+
+
+@query(_GRID_SQL)
+def parameter_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """54 runs of the strategy: three spans of its trend, three stops, three targets, two stays."""
+    return _grid(spark, sf)
+
+
+@query("SELECT * FROM (" + _GRID_SQL + ") ORDER BY profit_factor DESC, gross_profit DESC, run_id LIMIT 10")
+def parameter_grid_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten runs with the greatest profit factor: a top report."""
+    return _grid(spark, sf).orderBy(F.desc("profit_factor"), F.desc("gross_profit"), "run_id").limit(10)
+
+
 def queries() -> dict[str, Query]:
     return dict(_SPARK)
 

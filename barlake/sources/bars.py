@@ -55,10 +55,11 @@ def keep_last(bars: DataFrame, order: list[Column], keys: tuple[str, ...] = ("sy
     return bars.groupBy(*keys).agg(last).select(*keys, "last.*").select(*bars.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Bars of both tables; where both have a key, the new one's."""
+def upsert(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Bars of both tables; where both have a key, the new one's. Of repeats within one table the last by ``order`` stays (a
+    column of both that tells which row is later, such as a load number); without it that of the greatest close."""
     both = old.withColumn("prio", F.lit(0)).unionByName(new.withColumn("prio", F.lit(1)))
-    return keep_last(both, [F.col("prio"), F.col("close")]).drop("prio")
+    return keep_last(both, [F.col("prio"), *([F.col(order)] if order else []), F.col("close")]).drop("prio")
 
 
 def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -128,9 +129,18 @@ def latest(bars: DataFrame, rows: int) -> DataFrame:
     return bars.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= rows).drop("n_")
 
 
-def refresh(old: DataFrame, new: DataFrame, rows: int) -> DataFrame:
+def refresh(old: DataFrame, new: DataFrame, rows: int, order: str | None = None) -> DataFrame:
     """``old`` bars with the ``new`` ones, which win where both have a key, cut to the last ``rows`` of each symbol and interval."""
-    return latest(upsert(old, new), rows)
+    return latest(upsert(old, new, order), rows)
+
+
+def backfill(bars: DataFrame, least: int) -> DataFrame:
+    """(symbol, interval, start, end): what to load before the first bar of each symbol and interval with fewer than ``least``
+    rows, in ms, both included, so that it has ``least`` if none is missing."""
+    found = bars.groupBy("symbol", "interval").agg(F.count("*").alias("n_"), F.min("open_time").alias("first_"))
+    unit = F.when(F.col("interval").endswith("m"), 1).when(F.col("interval").endswith("h"), 60).otherwise(1440)
+    width = F.regexp_extract("interval", r"^(\d+)", 1).cast("long") * unit * 60_000
+    return found.where(F.col("n_") < least).select("symbol", "interval", (F.col("first_") - (least - F.col("n_")) * width).alias("start"), (F.col("first_") - 1).alias("end"))
 
 
 def year_chunks(bars: DataFrame, warmup_days: int = 60) -> DataFrame:
@@ -159,11 +169,74 @@ def read_klines_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.size("k") >= 6).select(F.regexp_extract("file", at, 1).alias("symbol"), F.regexp_extract("file", at, 2).alias("interval"), epoch_ms(F.element_at("k", 1).cast("long")).alias("open_time"), *[F.element_at("k", i + 2).cast("double").alias(n) for i, n in enumerate(names)])
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(file): the names of all files of a path, empty ones too, which scans leave out. They are listed for a scan anyway."""
+    return spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "file string")
+
+
 def misshapen(spark: SparkSession, path: str) -> DataFrame:
-    """(file, lines, bad_lines) of kline CSV files with lines that have not 12 fields or no number first; none: all are good."""
+    """(file, lines, bad_lines) of kline CSV files that are no klines: with lines of fewer than 6 fields or no number first, or
+    without any line; none: all are good."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", ",").alias("f"))
-    bad = (F.size("f") != 12) | ~F.element_at("f", 1).rlike("^[0-9]+$")
-    return lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(bad).alias("bad_lines")).where("bad_lines > 0")
+    bad = (F.size("f") < 6) | ~F.element_at("f", 1).rlike("^[0-9]+$")
+    found = lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(bad).alias("bad_lines"))
+    files = _files(spark, path)
+    each = files.join(found, "file", "left").select("file", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("bad_lines", F.lit(0)).alias("bad_lines"))
+    return each.where("bad_lines > 0 OR lines = 0")
+
+
+def extraction_report(spark: SparkSession, path: str) -> DataFrame:
+    """One row over the kline CSV files of a folder: how many are good, how many are not, and the rows of the good ones."""
+    bad = misshapen(spark, path).select("file", F.lit(True).alias("bad_"))
+    rows = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_"))
+    files = _files(spark, path)
+    each = files.join(bad, "file", "left").join(rows, "file", "left")
+    return each.agg(F.count_if(F.col("bad_").isNull()).alias("succeeded"), F.count_if(F.col("bad_").isNotNull()).alias("failed"), F.coalesce(F.sum(F.when(F.col("bad_").isNull(), F.col("n_"))), F.lit(0)).alias("rows"))
+
+
+def archive_jobs(symbols: DataFrame, intervals: list[str], start: str, end: str, root: str) -> DataFrame:
+    """(symbol, interval, date, url, checksum_url): every symbol with every interval and day from ``start`` to ``end``, both
+    included, and where its archive and the archive's checksum are below ``root``."""
+    each = symbols.select("symbol").distinct().select("symbol", F.explode(F.array(*map(F.lit, intervals))).alias("interval"))
+    each = each.select("*", F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date"))
+    url = F.format_string(root.rstrip("/").replace("%", "%%") + "/%s/%s/%s-%s-%s.zip", "symbol", "interval", "symbol", "interval", F.date_format("date", "yyyy-MM-dd"))
+    return each.withColumns({"url": url, "checksum_url": F.concat(url, F.lit(".CHECKSUM"))})
+
+
+def read_mixed(spark: SparkSession, path: str, symbol: str, interval: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Bars of one symbol and interval from ``write_bars``' layout, whose open times may be in seconds, ms, us or ns row by row:
+    in ms, from ``start`` to ``end`` (ms, both included), one row a time (the last written file's, then the greatest close).
+
+    The bounds are one predicate for each unit, which the scan prunes row groups by; rows are told apart afterwards.
+    """
+    raw = spark.read.parquet(path).where((F.col("symbol") == symbol) & (F.col("interval") == canonical_interval(interval)))
+    t = F.col("open_time")
+    if start is not None or end is not None:
+        low, high = start if start is not None else 0, end if end is not None else 10**14 - 1
+        spans = [(-(-low // 1000), high // 1000), (low, high), (low * 1000, high * 1000 + 999), (low * 10**6, min(2**63 - 1, high * 10**6 + 999_999))]
+        some = F.lit(False)
+        for a, b in spans:
+            some = some | t.between(a, b)
+        raw = raw.where(some)
+    rows = raw.withColumns({"open_time": epoch_ms(t), "written_": F.col("_metadata.file_modification_time")})
+    if start is not None:
+        rows = rows.where(F.col("open_time") >= start)
+    if end is not None:
+        rows = rows.where(F.col("open_time") <= end)
+    return keep_last(rows, [F.col("written_"), F.col("close")]).drop("written_")
+
+
+def upsert_in_place(new: DataFrame, path: str) -> None:
+    """Write ``new`` bars into ``write_bars``' table at ``path``: only partitions (interval, symbol) that ``new`` touches are
+    written again, the others keep their files. Then ``{path}.meta`` gets a JSON line for each of them: rows, first and
+    last time, columns; it is the mark that the write is done. The same bars again change no row."""
+    spark = new.sparkSession
+    touched = new.select("interval", "symbol").distinct()
+    old = spark.read.parquet(path).join(touched, ["interval", "symbol"], "left_semi")
+    made = upsert(old.select(*new.columns), new)
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "symbol").parquet(path)
+    columns = F.array(*[F.lit(c) for c in new.columns])
+    metadata(spark.read.parquet(path)).withColumn("columns", columns).coalesce(1).write.mode("overwrite").json(f"{path}.meta")
 
 
 TRADES = "symbol string, side string, entry_time long, exit_time long, entry_price double, exit_price double, size double, pnl double, pnl_pct double, stop_loss double, take_profit double, exit_reason string"
@@ -183,3 +256,9 @@ def write_summary(metrics: DataFrame, config: dict, path: str) -> None:
     """A JSON line for each row of ``metrics``, with the run's ``config``; infinite and undefined numbers become null."""
     finite = [F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in metrics.dtypes]
     metrics.select(F.struct(*finite).alias("metrics"), F.lit(json.dumps(config)).alias("strategy_config")).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_summary(spark: SparkSession, path: str, metrics_schema: str) -> DataFrame:
+    """Summaries again: the metrics by ``metrics_schema`` and ``strategy_config`` as a map of texts."""
+    raw = spark.read.schema(f"metrics struct<{metrics_schema.replace(' ', ':').replace(',:', ', ')}>, strategy_config string").json(path)
+    return raw.select("metrics.*", F.from_json("strategy_config", "map<string, string>").alias("strategy_config"))

@@ -43,6 +43,7 @@ def test_klines(spark, tmp_path):
     read = src.read_kline_csv(spark, f"file://{folder}/a.csv").first()
     assert (read.symbol, read.interval, read.open_time, read.close) == ("ETHUSDT", "15m", 1704067200000, 1.75)
     (folder / "b.csv").write_text("open_time,open\n" + ",".join(map(str, row)) + "\n")
+    (folder / "c.csv").write_text(",".join(map(str, row[:6])) + "\n")
     bad = src.misshapen(spark, f"file://{folder}/*.csv").collect()
     assert [(r.file.rsplit("/", 1)[1], r.lines, r.bad_lines) for r in bad] == [("b.csv", 2, 1)]
 

@@ -171,13 +171,18 @@ def read_klines_json(spark: SparkSession, path: str) -> DataFrame:
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """(file): the names of all files of a path, empty ones too, which scans leave out. They are listed for a scan anyway."""
-    return spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "file string")
+    return spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "file string").select(_one_form("file").alias("file"))
+
+
+def _one_form(file: str) -> Column:
+    """A file's name with one slash after ``file:``, as the two ways to get it differ there."""
+    return F.regexp_replace(file, "^file:/+", "file:/")
 
 
 def misshapen(spark: SparkSession, path: str) -> DataFrame:
     """(file, lines, bad_lines) of kline CSV files that are no klines: with lines of fewer than 6 fields or no number first, or
     without any line; none: all are good."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", ",").alias("f"))
+    lines = spark.read.text(path).select(_one_form("_metadata.file_path").alias("file"), F.split("value", ",").alias("f"))
     bad = (F.size("f") < 6) | ~F.element_at("f", 1).rlike("^[0-9]+$")
     found = lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(bad).alias("bad_lines"))
     files = _files(spark, path)
@@ -188,7 +193,7 @@ def misshapen(spark: SparkSession, path: str) -> DataFrame:
 def extraction_report(spark: SparkSession, path: str) -> DataFrame:
     """One row over the kline CSV files of a folder: how many are good, how many are not, and the rows of the good ones."""
     bad = misshapen(spark, path).select("file", F.lit(True).alias("bad_"))
-    rows = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_"))
+    rows = spark.read.text(path).groupBy(_one_form("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_"))
     files = _files(spark, path)
     each = files.join(bad, "file", "left").join(rows, "file", "left")
     return each.agg(F.count_if(F.col("bad_").isNull()).alias("succeeded"), F.count_if(F.col("bad_").isNotNull()).alias("failed"), F.coalesce(F.sum(F.when(F.col("bad_").isNull(), F.col("n_"))), F.lit(0)).alias("rows"))

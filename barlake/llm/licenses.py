@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .places import let, places
+from .places import blocks, let, places
 
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -173,18 +173,31 @@ def _base(norm: Column, phrase: str, label: str) -> Column:
 
 
 def _detections(norm: Column, table: Column) -> Column:
-    """Detections of the rules whose keyword ``norm`` holds, without those inside an earlier one."""
+    """Detections of the rules whose keyword ``norm`` holds, without those inside one of a rule before.
+
+    Detections are walked by place, block by block, with those that still reach on: linear in their number.
+    """
 
     def detect(r: Column) -> Column:
         return F.transform(places(norm, r["pattern"]), lambda m: F.struct(r["rank"].alias("rank"), (m["start"] - m["end"]).alias("shorter"), m["start"].alias("start"), m["end"].alias("end"), r["label"].alias("label"), r["sure"].alias("sure")))
 
     def keep(acc: Column, d: Column) -> Column:
-        inside = F.exists(acc, lambda k: (k["start"] <= d["start"]) & (k["end"] >= d["end"]))
-        return F.when(inside, acc).otherwise(F.concat(acc, F.array(d)))
-
+        # by start, the longer first: what may hold d is among those that reach beyond its start
+        still = F.filter(acc["open"], lambda k: k["end"] > d["start"])
+        inside = F.exists(still, lambda k: (k["rank"] <= d["rank"]) & (k["end"] >= d["end"]))
+        return F.when(inside, acc).otherwise(F.struct(F.concat(still, F.array(d)).alias("open"), F.concat(acc["out"], F.array(d)).alias("out")))
+
+    def across(acc: Column, block: Column) -> Column:
+        made = F.aggregate(block, F.struct(acc["open"].alias("open"), none.alias("out")), keep)
+        return let(made, lambda m: F.struct(m["open"].alias("open"), F.concat(acc["parts"], F.array(m["out"])).alias("parts")))
+
+    none = F.array().cast(_DETECTION)
+    by_place = lambda hits: F.array_sort(F.transform(hits, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["rank"].alias("rank"), d["shorter"].alias("shorter"), d["end"].alias("end"), d["label"].alias("label"), d["sure"].alias("sure"))))
+    as_found = lambda hits: F.transform(by_place(hits), lambda d: F.struct(*[d[k].alias(k) for k in ("rank", "shorter", "start", "end", "label", "sure")]))
+    left = lambda found: F.array_sort(F.aggregate(blocks(found), F.struct(none.alias("open"), F.array().cast(f"array<{_DETECTION}>").alias("parts")), across, lambda acc: F.flatten(acc["parts"])))
     held = F.filter(F.array(*[F.lit(k) for k in keywords()]), lambda k: F.contains(norm, k))
     hits = let(held, lambda keys: F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(keys, r["keyword"]) & F.arrays_overlap(keys, r["keywords"])), detect)))
-    return F.aggregate(F.array_sort(hits), F.array().cast(_DETECTION), keep)
+    return let(let(hits, as_found), left)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .places import let, places
+from .places import blocks, let, places
 
 THRESHOLD, NEAR = 0.6, 40
 
@@ -134,14 +134,20 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` of ``find_pii`` with each span in ``text_col`` replaced by its kind, like ``[EMAIL]``; overlapping spans become one."""
     text = F.col(text_col)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
-    def step(acc: Column, s: Column) -> Column:
+    def within(acc: Column, s: Column) -> Column:
+        """``part`` is the text from ``from`` on, as far as the block's spans reach."""
         fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["done"]).alias("done"))
+        piece = F.concat(acc["done"], F.substring(acc["part"], acc["at"] - acc["from"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["done"]).alias("done"), acc["from"].alias("from"), acc["part"].alias("part"))
 
-    made = F.aggregate(F.col("pii"), first, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
+    def across(acc: Column, block: Column) -> Column:
+        reach = F.array_max(F.transform(block, lambda s: s["end"]))
+        start = F.struct(acc["at"].alias("at"), F.lit("").alias("done"), acc["at"].alias("from"), F.substring(text, acc["at"] + 1, F.greatest(reach - acc["at"], F.lit(0))).alias("part"))
+        return let(F.aggregate(block, start, within), lambda m: F.struct(m["at"].alias("at"), F.concat(acc["parts"], F.array(m["done"])).alias("parts")))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    made = F.aggregate(blocks(F.col("pii")), first, across, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     return docs.withColumn(text_col, F.when(F.size("pii") > 0, made).otherwise(text))
 
 

@@ -17,6 +17,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def blocks(items: Column) -> Column:
+    """``items`` cut into arrays of at most ``BLOCK``; an empty array has none."""
+    cut = lambda: F.transform(F.sequence(F.lit(0), F.size(items) - 1, F.lit(BLOCK)), lambda i: F.slice(items, i + 1, F.lit(BLOCK)))
+    return F.when(F.size(items) > 0, cut()).otherwise(F.slice(F.array(items), 1, 0))
+
+
 def places(text: Column, pattern: Column, measure: Callable[[Column], Column] = F.length) -> Column:
     """Every match of ``pattern`` as an array of (start, end, found); end is exclusive. Positions are sums of ``measure``
     of what stands before: code points, unless it counts something else, like spaces. No match: an empty array."""

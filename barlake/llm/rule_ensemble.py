@@ -144,7 +144,7 @@ def train(docs: DataFrame, marks: DataFrame, column: str = "quality", per_class:
     """Rules from at most ``per_class`` documents of each class; ``docs``: (doc_id, text)."""
     sample = labels.training_sample(marks, column, (per_class, per_class), SEED)
     known = measured(labels.one_each(docs.join(F.broadcast(sample), "doc_id"))).collect()
-    shares = {r.label: r["count"] for r in marks.where(F.col(column).isNotNull() & ~labels.held_out(F.col("doc_id"))).groupBy(F.col(column).cast("int").alias("label")).count().where("label IN (0, 1)").collect()}
+    shares = {r.label: r["count"] for r in labels.known_labels(marks, column).groupBy("label").count().where("label IN (0, 1)").collect()}
     marked = {r.doc_id: r.label for r in sample.collect()}
     known.sort()
     x = np.array([r[1:] for r in known], float).reshape(-1, len(STATISTICS))

@@ -301,3 +301,18 @@ def test_many_matches_in_one_text(spark):
     assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute.licenses(phrase)
     near = "passport no 😀 12345678 12345679 " + "x" * 60 + " 12345670"
     assert pii.digest(spark.createDataFrame([(1, near)], "doc_id long, text string")).first().spans == "id:14:22,id:23:31"
+
+
+def test_many_detections_in_one_text(spark):
+    """Tens of thousands of detections: the same labels as a few, in time linear in their number; rules inside others go."""
+    line = "licensed under the apache license version 2 0 and under the mit license ; "
+    few, many = (licenses.scan(spark.createDataFrame([(1, line * n)], "doc_id long, text string")).first() for n in (3, 8_000))
+    assert {d.label for d in few.detections} == {d.label for d in many.detections} and len(many.detections) == len(few.detections) // 3 * 8_000
+    for a in few.detections:
+        assert not any(b is not a and b.rank < a.rank and b.start <= a.start and b.end >= a.end for b in few.detections)
+
+
+def test_many_spans_redacted(spark):
+    text = "mail a@b.co now é, " * 6_000
+    found = pii.redact(pii.find_pii(spark.createDataFrame([(1, text), (2, "none"), (3, None), (4, "")], "doc_id long, text string"))).collect()
+    assert {r.doc_id: r.text for r in found} == {1: "mail [EMAIL] now é, " * 6_000, 2: "none", 3: None, 4: ""}

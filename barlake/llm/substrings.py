@@ -1,7 +1,7 @@
 """Exact substring dedup by relative Lempel-Ziv parsing against the documents with smaller ids.
 
-Documents are cut into phrases, the blocks of the reference: consecutive windows of ``SIZE`` words whose least seed (of the
-hashes of their runs of ``SEED`` words) is the same one. Where a phrase ends depends on its words alone, so a passage is cut
+Documents are cut into phrases, the blocks of the reference: consecutive windows of ``SIZE`` words with the same seed, the
+least hash of their runs of ``SEED`` words. Where a phrase ends depends on its words alone, so a passage is cut
 alike in every document, but for its ends. The index of the reference is a table of seeds and of phrases, dealt over the
 cluster by hash; every document is factored against all of it by joins:
 
@@ -36,19 +36,35 @@ SIZE, SEED = 13, 4
 PLACE = 16
 
 
+def seeds(hashes: np.ndarray) -> np.ndarray:
+    """The seed of each window of ``SIZE`` words: the least hash of its runs of ``SEED`` words; none with fewer words."""
+    least, width, wanted = words.windows(hashes, SEED), 1, SIZE - SEED + 1
+    if len(least) < wanted:
+        return least[:0]
+    while 2 * width <= wanted:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    return np.minimum(least[: len(least) - wanted + width], least[wanted - width :])
+
+
 def phrases(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(seed, phrase, place) of each phrase of a document's word hashes; none with fewer than ``SIZE`` words.
 
-    A phrase has at most ``SIZE - SEED + 1`` windows, so that its first and its last window hold all its words.
+    A phrase has at most ``SIZE - SEED + 1`` windows, so that its first and its last window hold all its words; longer runs
+    of windows with one seed, as of words that repeat, are cut from their start.
     """
-    if len(hashes) < SIZE:
+    seed, most = seeds(hashes), SIZE - SEED + 1
+    if not len(seed):
         return tuple(np.empty(0, np.int64) for _ in range(3))
-    seeds, whole = words.windows(hashes, SEED), words.windows(hashes, SIZE)
-    least = sliding_window_view(seeds, SIZE - SEED + 1).argmin(axis=1) + np.arange(len(whole))
-    start = np.flatnonzero(np.diff(least, prepend=-1))
-    n = np.diff(start, append=len(whole))
+    start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+    n = np.diff(start, append=len(seed))
+    if n.max() > most:
+        parts = -(-n // most)
+        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = np.repeat(start, parts) + within * most
+        n = np.diff(start, append=len(seed))
+    whole = words.windows(hashes, SIZE)
     phrase = (whole[start] * np.uint64(0x9E3779B97F4A7C15)) ^ (whole[start + n - 1] + n.astype(np.uint64))
-    return seeds[least[start]].view(np.int64), phrase.view(np.int64), start * PLACE + n
+    return seed[start].view(np.int64), phrase.view(np.int64), start * PLACE + n
 
 
 def _batch(parts: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
@@ -58,7 +74,7 @@ def _batch(parts: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield _batch({"seed": [np.unique(phrases(words.word_hashes(words.split(t)))[0]) for t in b.column(0).to_pylist()]})
+        yield _batch({"seed": [np.unique(seeds(words.word_hashes(words.split(t)))).view(np.int64) for t in b.column(0).to_pylist()]})
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

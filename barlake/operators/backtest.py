@@ -1,4 +1,4 @@
-"""Signals, exits and trades. Everything is joins, windows and one pass over each symbol's few signals.
+"""Signals, exits and trades. Everything is joins and windows; no Python runs on executors but for Supertrend.
 
 A signal table has symbol, open_time, side (long or short), entry (close), stop_loss, take_profit and deadline (ms).
 """
@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.walk import walk
+from barlake.functions.links import along, first_from
+from barlake.functions.scratch import Written
 from barlake.functions.windows import by_time, ewm, rolling
 
 from .align import asof
@@ -90,11 +91,9 @@ def signals(prepared: DataFrame, stop: float = 0.035, target: float = 0.065, hou
 
 def until_due(signals_: DataFrame, numbered: DataFrame) -> DataFrame:
     """``signals_`` with ``t_rn``, the number of the first bar at or after the deadline, null if there is none."""
-    later = Window.partitionBy("symbol").orderBy("at_", "kind_").rowsBetween(0, Window.unboundedFollowing)
-    marks = numbered.select("symbol", F.col("open_time").alias("at_"), F.lit(1).alias("kind_"), "rn", F.lit(None).cast("bigint").alias("open_time"))
-    asked = signals_.select("symbol", F.col("deadline").alias("at_"), F.lit(0).alias("kind_"), F.lit(None).cast("int").alias("rn"), "open_time")
-    due = marks.union(asked).withColumn("t_rn", F.first("rn", True).over(later)).where("kind_ = 0").select("symbol", "open_time", "t_rn")
-    return signals_.join(due, ["symbol", "open_time"])
+    marks = numbered.select("symbol", F.col("open_time").alias("at_"), F.col("rn").alias("found_"))
+    due = first_from(marks, signals_.select("symbol", F.col("deadline").alias("at_")), 1 << 32)
+    return signals_.join(due.select("symbol", F.col("at_").alias("deadline"), F.col("found_").alias("t_rn")), ["symbol", "deadline"], "left")
 
 
 def exits(signals_: DataFrame, bars: DataFrame, cell: int = 64) -> DataFrame:
@@ -122,39 +121,35 @@ def exits(signals_: DataFrame, bars: DataFrame, cell: int = 64) -> DataFrame:
     return s.select(*keys).join(first.select("symbol", "open_time", "x"), ["symbol", "open_time"], "left").join(last, ["symbol", "last_rn"]).withColumn("x", F.coalesce("x", "e")).select(*keys[:-1], "x.*")
 
 
-def _taking(fee: float, slip: float):
-    """Steps over a symbol's signals: (taken, cash before, cash after). State: the first row free again, and the cash.
-
-    A trade that ends on a bar frees it, unless it was held to the end of the data. Without cash no trade opens.
-    """
-
-    def step(state, at: int, until: int, reason: str, side: str, entry: float, price: float) -> tuple:
-        free, cash = state
-        if at < free or cash <= 0:
-            return state, False, cash, cash
-        if side == "long":
-            after = cash / (entry * (1 + slip) * (1 + fee)) * price * (1 - slip) * (1 - fee)
-        else:
-            sold = entry * (1 - slip)
-            after = cash + cash / (sold * (1 + fee)) * (sold * (1 - fee) - price * (1 + slip) * (1 + fee))
-        return (until + (reason == "eod"), after), True, cash, after
-
-    return step
-
-
 def trades(exited: DataFrame, capital: float = 10_000.0, fee: float = 0.001, bps: float = 5.0) -> DataFrame:
     """Trades that do not overlap, in order, each with all cash: sizes, fills, profit and cash after.
 
     A signal is taken if no trade is open at it (one that ends on its bar is over, one held to the end of the data is not)
-    and cash is left: a short can lose more than all.
+    and cash is left: a short can lose more than all. Of signals on one bar, the least by side and prices counts; those
+    without prices do not.
+
+    Each signal has a link to the first one at which its trade would be over, and the factor by which its trade changes the
+    cash; the trades are what lies on the path of these links from a symbol's first signal. ``exited`` is written once, as the
+    turns along the path read it again.
     """
     slip = bps / 1e4
-    known = exited.withColumns({c: F.col(c).cast("long") for c in ("s_rn", "exit_rn")})
-    walked = walk(known, "s_rn", ["s_rn", "exit_rn", "exit_reason", "side", "entry", "exit_price"], lambda: (0, capital), _taking(fee, slip), {"taken": "boolean", "cash_before": "double", "cash_after": "double"})
+    bought, sold = F.col("entry") * (1 + slip) * (1 + fee), F.col("entry") * (1 - slip)
+    long_after = F.try_divide(F.lit(1.0), bought) * F.col("exit_price") * (1 - slip) * (1 - fee)
+    short_after = 1 + F.try_divide(F.lit(1.0), sold * (1 + fee)) * (sold * (1 - fee) - F.col("exit_price") * (1 + slip) * (1 + fee))
+    known = exited.withColumns({"id": F.col("s_rn").cast("long"), "free_": F.col("exit_rn").cast("long") + (F.col("exit_reason") == "eod").cast("long"), "factor": F.when(F.col("side") == "long", long_after).otherwise(short_after)})
+    known = known.where("factor IS NOT NULL AND free_ IS NOT NULL")
+    row = F.struct(*[F.col(c) for c in known.columns if c not in ("symbol", "id")])
+    known = Written(exited.sparkSession, "trades").write(known.groupBy("symbol", "id").agg(F.min_by(row, F.struct("side", "entry", "exit_price", "free_")).alias("x")).select("symbol", "id", "x.*"))
+    marks = known.select("symbol", F.col("id").alias("at_"), F.col("id").alias("found_"))
+    over = first_from(marks, known.select("symbol", F.col("free_").alias("at_")), 4096)
+    linked = known.join(over.select("symbol", F.col("at_").alias("free_"), F.col("found_").alias("next")), ["symbol", "free_"])
+    # who has lost all stays without cash
+    path = along(linked.select("symbol", "id", "next", F.greatest("factor", F.lit(0.0)).alias("factor")), capital).where("value > 0")
+    taken = known.join(path, ["symbol", "id"]).withColumns({"cash_before": F.col("value"), "cash_after": F.col("value") * F.col("factor")})
     long_ = F.col("side") == "long"
     fin = F.when(long_, F.col("entry") * (1 + slip)).otherwise(F.col("entry") * (1 - slip))
     fout = F.when(long_, F.col("exit_price") * (1 - slip)).otherwise(F.col("exit_price") * (1 + slip))
-    out = walked.where("taken").withColumns({"entry_price": fin, "fill": fout})
+    out = taken.withColumns({"entry_price": fin, "fill": fout})
     out = out.withColumn("size", F.col("cash_before") / (F.col("entry_price") * (1 + fee))).withColumn("pnl", F.col("cash_after") - F.col("cash_before"))
     return out.select("symbol", "side", F.col("open_time").alias("entry_time"), "exit_time", "entry_price", F.col("fill").alias("exit_price"), "size", "pnl", (F.col("pnl") / (F.col("size") * F.col("entry_price")) * 100).alias("pnl_pct"), "stop_loss", "take_profit", "exit_reason", "cash_after")
 
@@ -403,7 +398,7 @@ def grid(signals_: DataFrame, bars: DataFrame, runs: DataFrame, by: str, stops:
     """The measures of each of ``runs`` (run_id, ``by``, i_stop, i_target, i_hours): all symbols' trades of one run together,
     each symbol with its own capital. ``signals_``: (symbol, open_time, side, entry, ``by``).
 
-    The run is a column: exits are found once for a signal, however many runs have it, and trades are walked by symbol and
+    The run is a column: exits are found once for a signal, however many runs have it, and trades are those of each symbol and
     run. Runs without a trade have zeros. Falls are of the summed returns, symbol after symbol.
     """
     once = signals_.select("symbol", "open_time", "side", "entry").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .scratch import Written
@@ -26,6 +26,12 @@ def first_from(marks: DataFrame, asks: DataFrame, width: int) -> DataFrame:
     return near.join(firsts, ["symbol", "block_"]).select("symbol", "at_", F.coalesce("near_", "later_")["found_"].alias("found_"))
 
 
+def _counted(disk: Written, table: DataFrame) -> tuple[DataFrame, int]:
+    """``table`` as written and read back, and how many of its links are left, counted by the same job."""
+    seen = Observation()
+    return disk.write(table.observe(seen, F.count("next").alias("links"))), seen.get.get("links", 0)
+
+
 def along(nodes: DataFrame, start: float) -> DataFrame:
     """(symbol, id, value) of the nodes on the path from each symbol's least ``id``; ``value``: ``start`` times the factors of the
     nodes before. ``nodes``: (symbol, id, next, factor), one row an ``id``; ``next`` is a greater id or null at an end.
@@ -36,11 +42,11 @@ def along(nodes: DataFrame, start: float) -> DataFrame:
     disk = Written(nodes.sparkSession, "along")
     heads = nodes.groupBy("symbol").agg(F.min("id").alias("head_"))
     table = nodes.join(heads, "symbol").select("symbol", "id", "next", F.col("factor").cast("double").alias("factor"), F.when(F.col("id") == F.col("head_"), F.lit(float(start))).alias("value"))
-    table = disk.write(table)
-    while not table.where("next IS NOT NULL").isEmpty():
+    table, left = _counted(disk, table)
+    while left:
         far = table.where("next IS NOT NULL").select("symbol", F.col("id").alias("next"), F.col("next").alias("far_"), F.col("factor").alias("more_"))
         jumped = table.select("symbol", "id", "next", "factor", "value").join(far, ["symbol", "next"], "left").select("symbol", "id", F.col("far_").alias("next"), (F.col("factor") * F.col("more_")).alias("factor"), "value")
         reached = table.where("next IS NOT NULL AND value IS NOT NULL").select("symbol", F.col("next").alias("id"), (F.col("value") * F.col("factor")).alias("now_"))
-        table = disk.write(jumped.join(reached, ["symbol", "id"], "left").select("symbol", "id", "next", "factor", F.coalesce("value", "now_").alias("value")))
+        table, left = _counted(disk, jumped.join(reached, ["symbol", "id"], "left").select("symbol", "id", "next", "factor", F.coalesce("value", "now_").alias("value")))
         disk.drop(disk.count - 1)
     return table.where("value IS NOT NULL").select("symbol", "id", "value")

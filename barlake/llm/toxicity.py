@@ -23,6 +23,8 @@ from . import frames, ftrl, labels, words
 
 #: Feature numbers; most training documents of label 0 and of label 1.
 DIMS, PER_CLASS, SEED = 1 << 20, (7500, 2500), 3
+#: Bytes of training features that the driver holds at a time.
+PIECE = 32 << 20
 ALPHA, L1, L2, PASSES = 2.0, 4.0, 0.01, 4
 _WORD = re.compile(r"[^\W_]+")
 
@@ -44,21 +46,57 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(made, pa.binary())], ["doc_id", "label", "found"])
 
 
-def train(docs: DataFrame, marks: DataFrame, column: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> np.ndarray:
-    """Weights from at most ``per_class`` documents of label 0 and of label 1; ``docs``: (doc_id, text)."""
-    frames.small_batches(docs.sparkSession)
+def cut(sizes: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Ranges (first id, last id) of ``sizes`` (id, bytes), sorted by id: each of at most ``most`` bytes, or of one row."""
+    out, held = [], most + 1
+    for ident, size in sizes:
+        if held + size > most:
+            out.append((ident, ident))
+            held = 0
+        out[-1] = (out[-1][0], ident)
+        held += size
+    return out
+
+
+def train(docs: DataFrame, marks: DataFrame, column: str = "toxic", per_class: tuple[int, int] = PER_CLASS, piece: int = PIECE) -> np.ndarray:
+    """Weights from at most ``per_class`` documents of label 0 and of label 1; ``docs``: (doc_id, text).
+
+    Their features are written to the shared folder and come to the driver by ranges of ids of ``piece`` bytes, in every
+    pass again if there are several; one document has at most ``DIMS`` features, 4 bytes each.
+    """
+    spark = docs.sparkSession
+    frames.small_batches(spark)
     sample = labels.training_sample(marks, column, per_class, SEED)
-    rows = labels.one_each(docs.join(F.broadcast(sample), "doc_id")).mapInArrow(_extract, "doc_id long, label int, found binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.label, r.found))
-    y = np.array([r.label for r in rows], float)
-    if not len(rows) or y.min() == y.max():
+    scratch = frames.Scratch(spark, "toxicity")
+    table = scratch.write(labels.one_each(docs.join(F.broadcast(sample), "doc_id")).mapInArrow(_extract, "doc_id long, label int, found binary"))
+    known = sorted(table.select("doc_id", "label", F.octet_length("found").alias("size")).collect())
+    y = np.array([r.label for r in known], float)
+    if not len(known) or y.min() == y.max():
         w = np.zeros(DIMS + 1, np.float32)
         share = (y.sum() + 1) / (len(y) + 2)
         w[DIMS] = np.log(share / (1 - share))
+        scratch.free(table)
         return w
     # each class counts as it does among all labels, whatever the bounds took of it; 1 on average, so that L1 keeps its measure
-    weight = np.array(labels.sampling(marks, column, per_class))[y.astype(int)]
-    return ftrl.fit([np.frombuffer(r.found, "<i4").astype(np.int64) for r in rows], y, DIMS, alpha=ALPHA, l1=L1, l2=L2, passes=PASSES, weight=weight / weight.mean())
+    counts = np.array(labels.sampling(marks, column, per_class))
+    counts /= counts[y.astype(int)].mean()
+    ranges = cut([(r.doc_id, r.size) for r in known], piece)
+    if len(ranges) > 1:  # so that a range is read from few files
+        whole, table = table, scratch.write(table.repartitionByRange(len(ranges), "doc_id").sortWithinPartitions("doc_id"))
+        scratch.free(whole)
+
+    def read(first: int, last: int) -> ftrl.Piece:
+        rows = sorted(table.where(F.col("doc_id").between(first, last)).collect())
+        label = np.array([r.label for r in rows])
+        return [np.frombuffer(r.found, "<i4").astype(np.int64) for r in rows], label, counts[label]
+
+    pieces = [lambda x=x: read(*x) for x in ranges]
+    if len(pieces) == 1:
+        only = read(*ranges[0])
+        pieces = [lambda: only]
+    w = ftrl.fit_pieces(pieces, DIMS, alpha=ALPHA, l1=L1, l2=L2, passes=PASSES)
+    scratch.free(table)
+    return w
 
 
 def sparse(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:

@@ -146,6 +146,32 @@ def test_toxicity_keeps_the_class_shares(spark):
     assert 0.03 < score < 0.25
 
 
+def test_ranges_of_ids_by_bytes():
+    assert toxicity.cut([], 10) == []
+    assert toxicity.cut([(1, 4), (2, 6), (3, 1), (7, 25), (9, 0), (12, 10)], 10) == [(1, 2), (3, 3), (7, 7), (9, 12)]
+    draw = np.random.default_rng(3)
+    sizes = [(i, int(x)) for i, x in enumerate(draw.integers(0, 40, 200))]
+    made = toxicity.cut(sizes, 50)
+    assert [i for lo, hi in made for i, _ in sizes[lo : hi + 1]] == list(range(200))
+    assert all(lo == hi or sum(x for _, x in sizes[lo : hi + 1]) <= 50 for lo, hi in made)
+
+
+def test_toxicity_trains_by_pieces(spark):
+    """A bound of a few kilobytes makes many pieces, read again in each pass; the weights tell the classes like those of one
+    piece."""
+    draw = np.random.default_rng(4)
+    made = [(i, " ".join(f"w{k}" for k in draw.integers(0, 300, 60)) + (" vile" if i % 3 == 0 else " kind")) for i in range(300)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    marks = docs.selectExpr("doc_id", "CAST(doc_id % 3 = 0 AS INT) AS toxic")
+    whole = toxicity.train(docs, marks)
+    parts = toxicity.train(docs, marks, piece=20_000)
+    for w in (whole, parts):
+        vile, kind = (w[toxicity.features(x)].sum() + w[-1] for x in ("vile", "kind"))
+        assert vile > 0 > kind
+    total = lambda w, t: w[toxicity.features(t)].sum() + w[-1]
+    assert np.mean([(total(whole, t) > 0) == (total(parts, t) > 0) for _, t in made]) > 0.98
+
+
 def test_stages_on_odd_rows(spark):
     """Nulls, empty texts, repeated rows, an empty table, and columns named like what the stages make, which stay as they were."""
     words_ = " ".join(f"word{i} and" for i in range(30))

@@ -162,6 +162,10 @@ class Decoder:
         if data[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG")
         while at < len(data):
+            if data[at] != 0xFF:
+                raise ValueError("no marker where one is due")
+            while data[at + 1] == 0xFF:  # fill bytes before a marker
+                at += 1
             mark = data[at + 1]
             if mark == 0xD9:
                 self.ended = True
@@ -192,12 +196,14 @@ class Decoder:
         """Entropy-coded data up to the next marker, cut at restart markers."""
         out, start = [], at
         while True:
-            at = data.index(b"\xff", at)
-            if data[at + 1] == 0:
-                at += 2
-            elif 0xD0 <= data[at + 1] <= 0xD7:
+            at = mark = data.index(b"\xff", at)
+            while data[mark] == 0xFF:  # fill bytes before a marker
+                mark += 1
+            if data[mark] == 0:
+                at = mark + 1
+            elif 0xD0 <= data[mark] <= 0xD7:
                 out.append(data[start:at])
-                at = start = at + 2
+                at = start = mark + 1
             else:
                 return [*out, data[start:at]], at
 

@@ -42,6 +42,8 @@ ZIGZAG = _zigzag()
 _BASIS = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (0.5 if u else 0.5 / np.sqrt(2)) for x in range(8)] for u in range(8)])
 #: Coefficients (row-major) to samples, as one matrix.
 INVERSE = np.kron(_BASIS, _BASIS).astype(np.float32)
+#: The same for coefficients in stream order.
+_OF_STREAM = INVERSE[ZIGZAG]
 
 
 # ---- reading -------------------------------------------------------------------------------------------------------
@@ -54,14 +56,27 @@ class Bits:
     """The bits of one entropy-coded segment, stuffing removed; ones follow its end."""
 
     def __init__(self, data: bytes):
-        self.raw = np.frombuffer(data.replace(b"\xff\x00", b"\xff") + b"\xff" * 8, np.uint8)
-        self.bits, self.at = np.unpackbits(self.raw), 0
+        self.data = data.replace(b"\xff\x00", b"\xff") + b"\xff" * 8
+        self.raw, self.size, self.at = np.frombuffer(self.data, np.uint8), 8 * len(self.data), 0
+        self._bits: np.ndarray | None = None
         self._words: np.ndarray | None = None
 
+    @property
+    def bits(self) -> np.ndarray:
+        """All bits; made where a scan reads them one by one."""
+        if self._bits is None:
+            self._bits = np.unpackbits(self.raw)
+        return self._bits
+
+    def peek(self, n: int) -> int:
+        """The next ``n`` (at most 16) bits as a number, without going on."""
+        if self.at + n > self.size:
+            raise ValueError("data end within a scan")
+        lo = self.at >> 3
+        return int.from_bytes(self.data[lo : lo + 3].ljust(3, b"\xff"), "big") >> (24 - (self.at & 7) - n) & ((1 << n) - 1)
+
     def take(self, n: int) -> int:
-        v = 0
-        for b in self.bits[self.at : self.at + n].tolist():
-            v = v * 2 + b
+        v = self.peek(n)
         self.at += n
         return v
 
@@ -80,6 +95,9 @@ class Bits:
     def even(self, count: int, skip: int, width: int) -> np.ndarray:
         """``count`` values of ``width`` (1 to 16) bits, each after ``skip`` other bits."""
         rows = self.bits[self.at : self.at + count * (skip + width)].reshape(count, skip + width)[:, skip:]
+        if width == 8:
+            self.at += count * (skip + width)
+            return np.packbits(rows).astype(np.int16)
         packed = np.packbits(rows, axis=1).astype(np.int32)
         self.at += count * (skip + width)
         return packed[:, 0] >> (8 - width) if width <= 8 else (packed[:, 0] << 8 | packed[:, 1]) >> (16 - width)
@@ -101,7 +119,7 @@ class Table:
         self.only = (symbols[0], next(i for i, c in enumerate(counts, 1) if c)) if len(symbols) == 1 else None
 
     def next(self, bits: Bits) -> int:
-        w = int(bits.peeks()[bits.at]) if bits.at < len(bits.bits) - 16 else 0xFFFF
+        w = bits.peek(16) if bits.at < bits.size - 16 else 0xFFFF
         if not self.length[w]:
             raise ValueError("no such Huffman code")
         bits.at += int(self.length[w])
@@ -315,9 +333,10 @@ class Decoder:
         """A correction bit for each nonzero coefficient of whole bands."""
         band = c.blocks[blocks, first : last + 1]
         if band.all():
-            more = bits.bits[bits.at : bits.at + band.size].reshape(band.shape).astype(np.int16) * bit
+            more = bits.bits[bits.at : bits.at + band.size].reshape(band.shape) * np.int16(bit)
             bits.at += band.size
-            c.blocks[blocks, first : last + 1] = band + np.where(np.abs(band) & bit, 0, np.sign(band) * more)
+            more &= ~(np.abs(band) & np.int16(bit))
+            c.blocks[blocks, first : last + 1] = band + more * (band >> 15 | 1)
             return
         some = band != 0
         n = int(some.sum())
@@ -349,7 +368,9 @@ class Decoder:
                         k += 1
                         break
                     k += 1
-            if run:  # this block from k on, then run - 1 whole ones
+            if run and k == first:
+                self._correct(bits, c, blocks[i : i + run], first, last, bit)
+            elif run:  # this block from k on, then run - 1 whole ones
                 if k <= last:
                     self._correct(bits, c, blocks[i : i + 1], k, last, bit)
                 self._correct(bits, c, blocks[i + 1 : i + run], first, last, bit)
@@ -359,22 +380,26 @@ class Decoder:
         """The image, (height, width, 3) of bytes; one component is repeated thrice."""
         planes = []
         for c in self.parts:
-            natural = np.zeros_like(c.blocks, np.float32)
-            natural[:, ZIGZAG] = c.blocks
-            samples = np.clip(np.rint((natural * self.quant[c.q]) @ INVERSE + 128), 0, 255).reshape(c.high, c.wide, 8, 8)
+            samples = (c.blocks * self.quant[c.q][ZIGZAG]) @ _OF_STREAM
+            samples += 128
+            samples = np.clip(np.rint(samples, out=samples), 0, 255, out=samples).reshape(c.high, c.wide, 8, 8)
             plane = samples.transpose(0, 2, 1, 3).reshape(c.high * 8, c.wide * 8)
             plane = plane.repeat(self.vmax // c.v, 0).repeat(self.hmax // c.h, 1)
             planes.append(plane[: self.height, : self.width])
         if len(planes) == 1:
             return np.stack(planes * 3, 2).astype(np.uint8)
         y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-        out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2)
-        return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+        out = np.empty((*y.shape, 3), np.uint8)
+        for k, plane in enumerate((y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb)):
+            out[:, :, k] = np.clip(np.rint(plane, out=plane), 0, 255, out=plane)
+        return out
 
 
 # ---- writing -------------------------------------------------------------------------------------------------------
 
 _EOB = bytes(n << 4 for n in range(15))
+#: Bits of numbers below 512.
+_SIZES = np.array([n.bit_length() for n in range(512)])
 
 
 def _segment(mark: int, body: bytes) -> bytes:
@@ -383,7 +408,9 @@ def _segment(mark: int, body: bytes) -> bytes:
 
 def _entropy(bits: np.ndarray) -> bytes:
     """Bits as bytes, filled up with ones, zero bytes stuffed after 0xFF."""
-    return np.packbits(np.concatenate([bits, np.ones(-len(bits) % 8, np.uint8)])).tobytes().replace(b"\xff", b"\xff\x00")
+    packed = np.packbits(bits)
+    packed[-1:] |= (1 << (-len(bits) % 8)) - 1
+    return packed.tobytes().replace(b"\xff", b"\xff\x00")
 
 
 def _fields(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
@@ -393,14 +420,21 @@ def _fields(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
     return ((np.repeat(values, widths) >> (np.repeat(widths, widths) - 1 - place)) & 1).astype(np.uint8)
 
 
+@functools.lru_cache(4096)
 def _runs(blocks: int) -> np.ndarray:
     """Codes for ends of band that reach over ``blocks`` blocks (at most 32767)."""
     n = blocks.bit_length() - 1
     return _fields(np.array([n, blocks - (1 << n)]), np.array([4, n]))
 
 
-def _scan(ident: int, first: int, last: int, old: int, low: int, bits: np.ndarray) -> bytes:
-    return _segment(0xDA, bytes([1, ident, 0, first, last, old << 4 | low])) + _entropy(bits)
+def _nines(values: np.ndarray) -> bytes:
+    """Bytes that each follow a bit 0, as ``_entropy`` of their bits."""
+    pairs = np.unpackbits(values.astype(">u2").view(np.uint8)).reshape(-1, 16)
+    return _entropy(pairs[:, 7:].ravel())
+
+
+def _scan(ident: int, first: int, last: int, old: int, low: int, entropy: bytes) -> bytes:
+    return _segment(0xDA, bytes([1, ident, 0, first, last, old << 4 | low])) + entropy
 
 
 def encode(payload: bytes) -> bytes:
@@ -417,19 +451,20 @@ def encode(payload: bytes) -> bytes:
     dc, ac = bytes([0, 0, 0, 12, *[0] * 12]) + bytes(range(12)), bytes([1, *[0] * 15]) + b"\x08"
     out += [_segment(0xC4, b"\x00" + dc), _segment(0xC4, b"\x10" + ac)]
     parts = [(1, full[:luma]), (2, full[luma : luma + area]), (3, full[luma + area :])]
-    for ident, part in parts:
-        diff = np.diff(part[:, 0].astype(np.int32) + 256, prepend=0)
-        size = np.ceil(np.log2(np.abs(diff) + 1)).astype(np.int64)
-        code = np.where(diff < 0, diff + (1 << size) - 1, diff)
-        out.append(_scan(ident, 0, 0, 0, 0, _fields(size << size | code, size + 4)))
+    diff = full[:, 0].astype(np.int64)
+    diff[1:] -= full[:-1, 0]
+    diff[[0, luma, luma + area]] = full[[0, luma, luma + area], 0].astype(np.int64) + 256
+    sizes = _SIZES[np.abs(diff)]
+    codes = diff + (diff < 0) * ((1 << sizes) - 1)
+    for ident, lo, hi in ((1, 0, luma), (2, luma, luma + area), (3, luma + area, None)):
+        size, code = sizes[lo:hi], codes[lo:hi]
+        out.append(_scan(ident, 0, 0, 0, 0, _entropy(_fields(size << size | code, size + 4))))
     for ident, first, last in ((1, 1, 5), (2, 1, 63), (3, 1, 63), (1, 6, 63)):
-        coded = np.zeros((len(parts[ident - 1][1]) * (last - first + 1), 9), np.uint8)
-        coded[:, 1:] = np.unpackbits((parts[ident - 1][1][:, first : last + 1].reshape(-1, 1) >> 1) | 128, axis=1)
-        out.append(_scan(ident, first, last, 0, 1, coded.ravel()))
+        out.append(_scan(ident, first, last, 0, 1, _nines((parts[ident - 1][1][:, first : last + 1] >> 1 | 128).ravel())))
     out.append(_segment(0xC4, b"\x10" + bytes([0, 0, 0, 15, *[0] * 12]) + _EOB))
     for ident, part in parts:
         pieces = [x for i in range(0, len(part), 32767) for x in (_runs(len(part[i : i + 32767])), part[i : i + 32767, 1:].ravel() & 1)]
-        out.append(_scan(ident, 1, 63, 1, 0, np.concatenate(pieces)))
+        out.append(_scan(ident, 1, 63, 1, 0, _entropy(np.concatenate(pieces))))
     return b"".join([*out, b"\xff\xd9"])
 
 

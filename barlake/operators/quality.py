@@ -21,12 +21,13 @@ def gaps(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "interval", F.lag("open_time").over(w).alias("from_time"), F.col("open_time").alias("to_time"), (step / 60_000).cast("long").alias("minutes"), (step > width_ms()).alias("gap")).where("gap").drop("gap")
 
 
-def report(bars: DataFrame) -> DataFrame:
+def report(bars: DataFrame, from_zero: bool = True) -> DataFrame:
     """One row per symbol and interval: rows, gaps, bad prices, negative volumes, outliers (closes that move by
-    more than half, from 0 to anything included), missing rows, score, label."""
+    more than half), missing rows, score, label. ``from_zero``: a rise from 0 to anything is an outlier; else a close after 0
+    has no move."""
     w = Window.partitionBy("symbol", "interval").orderBy("open_time")
     before = F.lag("close").over(w)
-    move = F.when(before == 0, F.when(F.col("close") != 0, float("inf"))).otherwise(F.abs(F.col("close") / before - 1))
+    move = F.when(before == 0, F.when(F.col("close") != 0, float("inf")) if from_zero else None).otherwise(F.abs(F.col("close") / before - 1))
     rows = bars.withColumns({"step_": F.col("open_time") - F.lag("open_time").over(w), "move_": move, "width_": width_ms()})
     bad = F.lit(False)
     for c in PRICES:
@@ -72,9 +73,9 @@ def low_quality(reports: DataFrame, threshold: int = 70) -> DataFrame:
     return reports.where(F.col("quality_score") < threshold).groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_set("interval")), ",").alias("intervals"))
 
 
-def repair_plan(bars: DataFrame, threshold: int = 70) -> DataFrame:
+def repair_plan(bars: DataFrame, threshold: int = 70, from_zero: bool = True) -> DataFrame:
     """(symbol, interval, date): the days to load again, those that gaps touch where the report scores below ``threshold``."""
-    low = report(bars).where(F.col("quality_score") < threshold).select("symbol", "interval")
+    low = report(bars, from_zero).where(F.col("quality_score") < threshold).select("symbol", "interval")
     day = lambda c: F.to_date(F.timestamp_millis(c))
     return gaps(bars).join(low, ["symbol", "interval"], "left_semi").select("symbol", "interval", F.explode(F.sequence(day("from_time"), day("to_time"))).alias("date")).distinct()
 

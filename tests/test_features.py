@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -14,7 +15,7 @@ from barlake.functions.carry import average
 from barlake.operators import align, backtest, features, indicators, quality
 from barlake.plans import queries as plans
 from barlake.sources import bars as src
-from tests.compare import of_spark
+from tests.compare import of_duckdb, of_spark
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,6 +113,14 @@ def test_rise_from_zero_is_an_outlier(spark):
     assert quality.report(b).first().outliers == 4  # down, up, down, up; 0 to 0 is none
 
 
+def test_quality_report_after_zero_closes_is_that_of_its_sql(spark, tmp_path):
+    """At sf0.1 two bars of 15 minutes close at 0; the tables of the other tests have none."""
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01' + INTERVAL {15 * i} MINUTE, {i}, 'view', {v}, '')" for i, v in enumerate([1.0, 0.0, 5.0, 0.0, 0.0, 5.1, 5.0]))
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) v(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet'")
+    for name in ("quality_report", "quality_by_interval", "low_quality_symbols", "repair_plan"):
+        assert of_spark(plans.queries()[name](spark, str(tmp_path))) == of_duckdb(plans.oracle_sql()[name], str(tmp_path)), name
+
+
 def test_grid_asof_with_gaps(spark):
     """Rows in gaps of any length, before the first row, and beyond all levels, as the window finds them."""
     draw = random.Random(4)

@@ -205,7 +205,8 @@ def loser_report(trades_: DataFrame, by: str = "symbol") -> DataFrame:
 
 def trade_report(trades_: DataFrame, by: str | None = "symbol") -> DataFrame:
     """``loser_report`` of each ``by`` (None: of all), with maps and what they suggest: ``losers_by_exit_reason`` and
-    ``winners_by_exit_reason``, ``loser_entry_hour_utc_counts`` and ``hypotheses``, as JSON texts with keys in order.
+    ``winners_by_exit_reason``, ``loser_entry_hour_utc_counts`` and ``hypotheses``, as JSON texts with keys in order. A map
+    without entries (no losers, no winners) is null.
 
     Counted by group and key first, so that a map is made of a few dozen rows.
     """
@@ -216,7 +217,8 @@ def trade_report(trades_: DataFrame, by: str | None = "symbol") -> DataFrame:
     counted = all_.select(key, F.inline(F.array(F.struct(F.when(win, "winners_by_exit_reason").otherwise("losers_by_exit_reason").alias("map"), F.coalesce("exit_reason", F.lit("")).alias("k")), F.struct(F.when(~win, "loser_entry_hour_utc_counts").alias("map"), F.lpad(hour.cast("string"), 2, "0").alias("k")))))
     cells = counted.where("map IS NOT NULL").groupBy(key, "map", "k").agg(F.count("*").alias("n"))
     names = ["losers_by_exit_reason", "winners_by_exit_reason", "loser_entry_hour_utc_counts"]
-    maps = cells.groupBy(key).agg(*[F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("map") == m, F.struct("k", "n")))))).alias(m) for m in names])
+    found = cells.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(F.col("map") == m, F.struct("k", "n")))).alias(m) for m in names])
+    maps = found.select(key, *[F.when(F.size(m) > 0, F.to_json(F.map_from_entries(m))).alias(m) for m in names])
     out = loser_report(all_, key).join(maps, key)
     says = F.array_compact(F.array(
         F.when((F.col("sl_share_among_losers") > 0.55) & (F.col("n_losers") >= 5), F.lit("most losers hit the stop: it may be too tight, or entries too noisy")),

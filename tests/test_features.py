@@ -161,6 +161,17 @@ def test_reports_summaries_and_status(spark, tmp_path):
     assert {(r.status, r.n) for r in backtest.run_status(status).collect()} == {("ok", 1), ("missing", 1)}
 
 
+def test_trade_report_without_winners_or_losers_is_that_of_its_sql(spark, tmp_path):
+    """Hourly bars, the seventh a short: of ``down`` it wins, of ``up`` it loses, of ``flat`` it has one later bar."""
+    prices = {"down": [100.0] * 7 + [90.0] * 3, "up": [100.0] * 7 + [110.0] * 3, "flat": [100.0] * 8, "none": [100.0] * 3}
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01' + INTERVAL {i} HOUR, {i}, '{s}', {v}, '')" for s, p in prices.items() for i, v in enumerate(p))
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) v(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet'")
+    ours = of_spark(plans.trade_report(spark, str(tmp_path)))
+    assert ours == of_duckdb(plans.oracle_sql()["trade_report"], str(tmp_path))
+    found = {r.symbol: (r.winners_by_exit_reason, r.losers_by_exit_reason, r.loser_entry_hour_utc_counts) for r in plans.trade_report(spark, str(tmp_path)).collect()}
+    assert found == {"down": ('{"tp":1}', None, None), "up": (None, '{"sl":1}', '{"06":1}'), "flat": (None, '{"eod":1}', '{"06":1}')}
+
+
 def test_upsert_in_place(spark, tmp_path):
     """Only touched partitions are written again; the same bars again change no row; metadata follows."""
     path = f"{tmp_path}/bars"

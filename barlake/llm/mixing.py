@@ -1,9 +1,11 @@
 """Mixing by iterative proportional fitting: token weights are raked to source, language and topic marginals.
 
 1. One pass over the texts gives each document its tokens (words) and a topic: the table's topic column, or, where it has
-   none, the nearest of at most ``TOPICS`` groups of documents with like words (spherical k-means over hashed words, rare
-   ones weighing more; fitted on at most ``FITTED`` documents drawn by hash, every document assigned). Such topics are
-   numbers as text, "0" to "7", and "-1" for texts without words; they carry no name.
+   none, the nearest of at most ``TOPICS`` groups of documents with like words: spherical k-means over hashed words, rare
+   ones weighing more, fitted on all documents in at most ``TURNS`` rounds. Each task adds up its own documents; the counts
+   of words and the sums of a round's groups reach the driver, ``TOPICS`` * ``DIMS`` numbers. Sums are of whole numbers, so
+   that the topics do not depend on how the rows are dealt. Such topics are numbers as text, "0" to "7", and "-1" for texts
+   without words; they carry no name.
 2. Tokens are summed by cell (source, language, topic): partial sums, so a hot source costs one row a task and cell.
 3. For each of the three in turn, every cell's weight is multiplied by its value's target over the value's sum, until no
    value is off by more than ``TOLERANCE`` of its target when its turn comes, or ``ROUNDS`` rounds are done (targets that
@@ -22,7 +24,7 @@ judged by its own cell. Empty table: empty result. ``mix`` replaces columns of t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,8 @@ from pyspark.sql import types as T
 from . import frames, words
 
 TOPICS, ROUNDS, TOLERANCE, KEEP, SEED = 8, 20, 0.001, 0.8, 17
-#: Bits of a text's words, and most documents that the topics are fitted on.
-DIMS, FITTED = 1024, 4096
+#: Bits of a text's words, most rounds in which the topics are fitted, and parts of 1 in which lengths are added up.
+DIMS, TURNS, PARTS = 1024, 20, 1 << 30
 #: Exponents of the default targets: 1 leaves a marginal as it is, 0 makes it even.
 TEMPER = {"source": 0.7, "lang": 0.9, "topic": 0.8}
 
@@ -48,26 +50,84 @@ def marks_of(found: list[bytes]) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _directions(marks: list[bytes], scale: np.ndarray) -> np.ndarray:
-    """A row of length 1 for each of ``marks``, its bits weighted by ``scale``."""
-    x = np.unpackbits(np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), DIMS // 8), axis=1) * scale
-    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), np.float32(1e-12))[:, None]
-    return x
-
-
-def fit_topics(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(scale, centres): rare bits weigh more; at most ``TOPICS`` directions by spherical k-means, far-apart rows first."""
-    counts = np.unpackbits(np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), DIMS // 8), axis=1).sum(axis=0)
-    scale = np.log((1 + len(marks)) / (1 + counts)).astype(np.float32)
-    x = _directions(marks, scale)
-    centres = x[:1]
-    while len(centres) < min(TOPICS, len(x)):
-        centres = np.vstack([centres, x[(x @ centres.T).max(axis=1).argmin()]])
-    for _ in range(20):
-        own = (x @ centres.T).argmax(axis=1)
-        sums = (own[None, :] == np.arange(len(centres))[:, None]).astype(np.float32) @ x
-        sums[~np.isin(np.arange(len(centres)), own)] = centres[~np.isin(np.arange(len(centres)), own)]
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), np.float32(1e-12))
+def _bits(marks: list[bytes]) -> np.ndarray:
+    """A row of zeros and ones for each of ``marks``."""
+    return np.unpackbits(np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), DIMS // 8), axis=1).astype(np.float64)
+
+
+def _likeness(bits: np.ndarray, scale: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of ``bits``, weighted by ``scale``, and ``centres``, rounded so that ties are ties in every batch; and one over
+    the length of each weighted row, 0 for rows without any."""
+    found = bits @ np.column_stack([(centres * scale).T, scale * scale])
+    share = 1 / np.sqrt(np.where(found[:, -1] > 0, found[:, -1], np.inf))
+    return np.round(found[:, :-1] * share[:, None], 9), share
+
+
+def _sums(parts: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of the bits of each group, one row a group and task; ``parts`` gives whole numbers to take the bits times, by group
+    and row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((TOPICS, DIMS), np.int64)
+        for b in batches:
+            if b.num_rows:
+                bits = _bits(b.column(0).to_pylist())
+                sums += (parts(bits) @ bits).astype(np.int64)
+        some = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(sums[some]), pa.list_(pa.int64()))], ["topic", "sums"])
+
+    return run
+
+
+def _added(marks: DataFrame, parts: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sums of all rows by group."""
+    each = marks.mapInArrow(_sums(parts), "topic long, sums array<long>").select("topic", F.posexplode("sums").alias("at", "x"))
+    out = np.zeros((TOPICS, DIMS), np.int64)
+    for r in each.groupBy("topic", "at").agg(F.sum("x").alias("x")).collect():  # at most TOPICS * DIMS rows
+        out[r.topic, r["at"]] = r.x
+    return out
+
+
+def fit_topics(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """(scale, centres) of all ``rows`` (draw, marks), None without rows: rare bits weigh more; at most ``TOPICS`` directions by
+    spherical k-means, far-apart rows first, equally far ones by ``draw``."""
+    start = rows.agg(F.count("*").alias("n"), F.min(F.struct("draw", "marks")).alias("first")).first()
+    if not start.n:
+        return None
+    marks, group = rows.select("marks"), np.arange(TOPICS)[:, None]
+    counts = _added(marks, lambda bits: np.repeat(group == 0, len(bits), axis=1).astype(np.float64))[0]
+    scale = np.log((1 + start.n) / (1 + counts))
+
+    def direction(mark: bytes) -> np.ndarray:
+        bits = _bits([bytes(mark)])
+        return bits * scale * _likeness(bits, scale, np.zeros((1, DIMS)))[1][:, None]
+
+    centres = direction(start.first.marks)
+    while len(centres) < TOPICS:
+        known = centres
+
+        @F.pandas_udf("double")
+        def nearest(m: pd.Series) -> pd.Series:
+            like, share = _likeness(_bits(list(m)), scale, known)
+            return pd.Series(np.where(share > 0, like.max(axis=1), 1.0))  # words that all texts have show no direction
+
+        far = rows.agg(F.min(F.struct(nearest("marks").alias("like"), "draw", "marks")).alias("x")).first().x
+        if far.like >= 1:
+            break
+        centres = np.vstack([centres, direction(far.marks)])
+    before = None
+    for _ in range(TURNS):
+
+        def parts(bits: np.ndarray, centres: np.ndarray = centres) -> np.ndarray:
+            like, share = _likeness(bits, scale, centres)
+            return np.where(like.argmax(axis=1) == group, np.rint(share * PARTS), 0.0)
+
+        sums = _added(marks, parts)
+        if before is not None and (sums == before).all():
+            break
+        before, own = sums, sums[: len(centres)] * scale
+        length = np.linalg.norm(own, axis=1, keepdims=True)
+        centres = np.where(length > 0, own / np.where(length > 0, length, 1.0), centres)
     return scale, centres
 
 
@@ -90,15 +150,16 @@ def measured(docs: DataFrame, scratch: frames.Scratch, id_col: str = "doc_id", t
     given = docs.select(*base, F.col(text_col).cast("string").alias("mix_text"))
     schema = T.StructType([f for f in given.schema if f.name != "mix_text"]).add("n_tokens", "long").add("marks", "binary")
     rows = scratch.write(given.mapInArrow(_measure, schema))
-    fitted = [bytes(r.marks) for r in rows.where("n_tokens > 0").orderBy(F.xxhash64("row_id", F.lit(SEED)), "row_id", "marks").limit(FITTED).select("marks").collect()]
-    if not fitted:
+    drawn = scratch.write(rows.where("n_tokens > 0").select(F.xxhash64("row_id", F.lit(SEED)).alias("draw"), "marks"))
+    fitted = fit_topics(drawn)
+    scratch.free(drawn)
+    if fitted is None:
         return rows.drop("marks").withColumn("topic", F.lit("-1"))
-    sent = docs.sparkSession.sparkContext.broadcast(fit_topics(fitted))
+    sent = docs.sparkSession.sparkContext.broadcast(fitted)
 
     @F.pandas_udf("string")
     def nearest(marks: pd.Series) -> pd.Series:
-        scale, centres = sent.value
-        return pd.Series((_directions([bytes(m) for m in marks], scale) @ centres.T).argmax(axis=1).astype(str) if len(marks) else [], dtype=str)
+        return pd.Series(_likeness(_bits(list(marks)), *sent.value)[0].argmax(axis=1).astype(str) if len(marks) else [], dtype=str)
 
     return rows.withColumn("topic", F.when(F.col("n_tokens") > 0, nearest("marks")).otherwise("-1")).drop("marks")
 

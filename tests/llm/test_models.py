@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barlake.llm import ftrl, labels, mixing, rule_ensemble, toxicity
+from barlake.llm import frames, ftrl, labels, mixing, rule_ensemble, toxicity
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.01"
@@ -137,6 +137,26 @@ def test_mixing_topics(spark):
     assert all(len(v) == 1 for v in topics.values())
 
 
+def _odd_ones(spark):
+    """(documents, ids of the odd ones): 4,200 texts, of which 100 share no word with the others. By the hash that the fitting
+    draws rows with, they are the last."""
+    order = [r.id for r in spark.range(4200).orderBy(F.xxhash64("id", F.lit(mixing.SEED))).collect()]
+    odd, draw = set(order[-100:]), np.random.default_rng(3)
+    made = [(i, " ".join(f"{'odd' if i in odd else 'word'}{j}" for j in draw.integers(0, 40, 30)), "web", "en") for i in range(4200)]
+    return spark.createDataFrame(made, "doc_id long, text string, source string, lang string"), odd
+
+
+def test_mixing_topics_are_fitted_on_all_documents(spark):
+    docs, odd = _odd_ones(spark)
+    found = {}
+    for parts in (1, 7):
+        rows = mixing.measured(docs.repartition(parts), frames.Scratch(spark, "test")).select("row_id", "topic").collect()
+        found[parts] = {r.row_id: r.topic for r in rows}
+    topics = found[1]
+    assert found[7] == topics and len(topics) == 4200
+    assert not {topics[i] for i in odd} & {t for i, t in topics.items() if i not in odd}
+
+
 def test_toxicity_keeps_the_class_shares(spark):
     """A text that tells nothing scores the share of label 1 among all labels, though the bounds took as many of each."""
     docs = spark.createDataFrame([(i, "the very same words") for i in range(2000)], "doc_id long, text string")

@@ -157,6 +157,16 @@ def test_mixing_topics_are_fitted_on_all_documents(spark):
     assert not {topics[i] for i in odd} & {t for i, t in topics.items() if i not in odd}
 
 
+def test_pipeline_mixes_by_topics_of_all_documents(spark, monkeypatch):
+    """The stage fits on every document; a topic of 100 in 4,200 is rare enough to be kept whole by the default targets."""
+    docs, odd = _odd_ones(spark)
+    fit, seen = mixing.fit_topics, []
+    monkeypatch.setattr(mixing, "fit_topics", lambda rows: (seen.append(len(rows) if isinstance(rows, list) else rows.count()), fit(rows))[1])
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "").collect()}
+    assert seen == [4200]
+    assert odd <= kept and len(kept) < 4200
+
+
 def test_toxicity_keeps_the_class_shares(spark):
     """A text that tells nothing scores the share of label 1 among all labels, though the bounds took as many of each."""
     docs = spark.createDataFrame([(i, "the very same words") for i in range(2000)], "doc_id long, text string")

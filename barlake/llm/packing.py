@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import frames
+from .held import held
 
 CAPACITY, LEAST_PART, END = 2048, 32, 1
-#: Distinct runs kept in a worker's token table (about 200 MB); beyond it the half not used for longest goes. Only speed
-#: depends on it.
+#: Distinct runs kept in a worker's token table (about 200 MB); beyond it the half not used for longest goes, and all of it
+#: when the worker takes up another operator. Only speed depends on it.
 CACHE = 1_000_000
 #: How the vocabulary cuts lower-cased text: fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -38,7 +39,6 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 _RUN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 _OTHER = re.compile(r"[^\x00-\u012f\u0131-\u024f]")
-_tables: dict[str, Tokens] = {}
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 
 
@@ -128,9 +128,7 @@ class Tokens:
 
 def token_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
     """Ids of each text by the tokenizer in ``path``, without special tokens, then ``END``."""
-    if path not in _tables:
-        _tables[path] = Tokens(path)
-    return _tables[path].of([t or "" for t in texts])
+    return held(f"tokens of {path}", lambda: Tokens(path)).of([t or "" for t in texts])
 
 
 def cut(total: int, capacity: int = CAPACITY) -> list[int]:

@@ -8,10 +8,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .held import held
+
 #: Distinct words kept in a worker's hash table before it is emptied; only speed depends on it.
 CACHE_WORDS = 500_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_hashes: dict[bytes, int] = {}
 
 
 def split(text: str | None, lower: bool = False) -> list[bytes]:
@@ -21,13 +22,14 @@ def split(text: str | None, lower: bool = False) -> list[bytes]:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """One 64-bit hash per word, the same on every worker."""
-    found = list(map(_hashes.get, words))
+    known = held("words", dict)
+    found = list(map(known.get, words))
     if None in found:
-        if len(_hashes) > CACHE_WORDS:
-            _hashes.clear()
+        if len(known) > CACHE_WORDS:
+            known.clear()
         for i, h in enumerate(found):
             if h is None:
-                found[i] = _hashes[words[i]] = xxhash.xxh3_64_intdigest(words[i])
+                found[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
     return np.array(found, dtype=np.uint64)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barlake.llm import frames, ftrl, labels, mixing, rule_ensemble, toxicity
+from barlake.llm import frames, ftrl, held, labels, mixing, packing, rule_ensemble, toxicity, words
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.01"
@@ -270,3 +271,14 @@ def test_compiled_rules(spark):
     rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["i", *rule_ensemble.STATISTICS])
     made = [r.score for r in rows.select("i", rule_ensemble.compiled(rules, intercept).alias("score")).orderBy("i").collect()]
     assert len(rules) > 3 and np.allclose(made, plain)
+
+
+def test_a_worker_holds_one_table():
+    """The token table goes when the worker takes up words, and comes again with the same ids."""
+    path, texts = packing.vocabulary_path(), ["some words here", None, "some more"]
+    first = [x.tolist() for x in packing.token_ids(path, texts)]
+    table = weakref.ref(held.held(f"tokens of {path}", dict))
+    hashes = words.word_hashes([b"some", b"words"])
+    assert table() is None and list(held._held) == ["words"]
+    assert [x.tolist() for x in packing.token_ids(path, texts)] == first and len(held._held) == 1
+    assert words.word_hashes([b"words", b"some"]).tolist() == hashes[::-1].tolist()

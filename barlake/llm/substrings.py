@@ -22,86 +22,94 @@ the other. Repeats within one document alone are kept. An empty table gives an e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import frames, minhash, words
+from . import batch_words, frames, minhash, words
 
 SIZE, SEED = 13, 4
 #: A place is a window's first word times this, plus the number of windows from there.
 PLACE = 16
 
 
-def seeds(hashes: np.ndarray) -> np.ndarray:
-    """The seed of each window of ``SIZE`` words: the least hash of its runs of ``SEED`` words; none with fewer words."""
+def seeds(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, at, text) of each window of ``SIZE`` words within one text: the least hash of its runs of ``SEED`` words, its first
+    word among all ``hashes``, and its text. ``ends``: the number of words before each text and in all."""
     least, width, wanted = words.windows(hashes, SEED), 1, SIZE - SEED + 1
-    if len(least) < wanted:
-        return least[:0]
+    n = np.maximum(np.diff(ends) - SIZE + 1, 0)
+    at = np.repeat(ends[:-1] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    if not len(at):
+        return least[:0], at, at
     while 2 * width <= wanted:
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
-    return np.minimum(least[: len(least) - wanted + width], least[wanted - width :])
+    least = np.minimum(least[: len(least) - wanted + width], least[wanted - width :])
+    return least[at], at, np.repeat(np.arange(len(n)), n)
 
 
-def phrases(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, phrase, place) of each phrase of a document's word hashes; none with fewer than ``SIZE`` words.
+def changes(seed: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Where a run of equal seeds of one text starts."""
+    return np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (text[1:] != text[:-1])])[: len(seed)])
+
+
+def phrases(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, phrase, place, text) of each phrase of the texts with the word ``hashes``; none with fewer than ``SIZE`` words.
 
     A phrase has at most ``SIZE - SEED + 1`` windows, so that its first and its last window hold all its words; longer runs
     of windows with one seed, as of words that repeat, are cut from their start.
     """
-    seed, most = seeds(hashes), SIZE - SEED + 1
-    if not len(seed):
-        return tuple(np.empty(0, np.int64) for _ in range(3))
-    start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+    (seed, at, text), most = seeds(hashes, ends), SIZE - SEED + 1
+    start = changes(seed, text)
     n = np.diff(start, append=len(seed))
-    if n.max() > most:
+    if len(n) and n.max() > most:
         parts = -(-n // most)
         within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         start = np.repeat(start, parts) + within * most
         n = np.diff(start, append=len(seed))
-    whole = words.windows(hashes, SIZE)
-    phrase = (whole[start] * np.uint64(0x9E3779B97F4A7C15)) ^ (whole[start + n - 1] + n.astype(np.uint64))
-    return seed[start].view(np.int64), phrase.view(np.int64), start * PLACE + n
+    first, of = at[start], text[start]
+    opened, closed = (words.windows_at(hashes, SIZE, x) for x in (first, first + n - 1))
+    phrase = (opened * np.uint64(0x9E3779B97F4A7C15)) ^ (closed + n.astype(np.uint64))
+    return seed[start].view(np.int64), phrase.view(np.int64), (first - ends[of]) * PLACE + n, of
 
 
-def _batch(parts: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
-    flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in parts.values()]
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in flat], list(parts))
+def _batch(parts: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in parts.values()], list(parts))
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct seeds of each text."""
     for b in batches:
-        yield _batch({"seed": [np.unique(seeds(words.word_hashes(words.split(t)))).view(np.int64) for t in b.column(0).to_pylist()]})
+        seed, _, text = seeds(*batch_words.hashes(b.column(0)))
+        some = changes(seed, text)
+        seed, text = seed[some].view(np.int64), text[some]
+        ends = np.searchsorted(text, np.arange(b.num_rows + 1)).tolist()
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            seed[lo:hi].sort()
+        yield _batch({"seed": seed[changes(seed, text)]})
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: dict[str, list[np.ndarray]] = {k: [] for k in ("seed", "phrase", "number", "doc_id", "place")}
-        for number, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            seed, phrase, place = phrases(words.word_hashes(words.split(text)))
-            for k, x in zip(out, (seed, phrase, np.full(len(seed), number), np.full(len(seed), doc), place), strict=True):
-                out[k].append(x)
-        yield _batch(out)
+        seed, phrase, place, text = phrases(*batch_words.hashes(b.column(2)))
+        number, doc = (b.column(k).to_numpy()[text] for k in range(2))
+        yield _batch({"seed": seed, "phrase": phrase, "number": number, "doc_id": doc, "place": place})
 
 
 def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of the phrases that start at ``places``, with its phrase's seed."""
     for b in batches:
-        out: dict[str, list[np.ndarray]] = {k: [] for k in ("seed", "phrase", "number", "doc_id", "place")}
-        asked, ends = b.column(3).flatten(), b.column(3).offsets.to_numpy()
-        places, seeds = (asked.field(k).to_numpy() for k in ("place", "seed"))
-        for i, (number, doc, text) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)):
-            part = slice(ends[i] - ends[0], ends[i + 1] - ends[0])
-            n, start = places[part] % PLACE, places[part] // PLACE
-            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-            hashes = words.word_hashes(words.split(text))
-            made = (np.repeat(seeds[part], n), words.windows_at(hashes, SIZE, at).view(np.int64), np.full(len(at), number), np.full(len(at), doc), at * PLACE + 1)
-            for k, x in zip(out, made, strict=True):
-                out[k].append(x)
-        yield _batch(out)
+        hashes, ends = batch_words.hashes(b.column(2))
+        asked, each = b.column(3).flatten(), np.diff(b.column(3).offsets.to_numpy())
+        places, seed = (asked.field(k).to_numpy() for k in ("place", "seed"))
+        n, text = places % PLACE, np.repeat(np.arange(b.num_rows), each)
+        at = np.repeat(places // PLACE - np.cumsum(n) + n, n) + np.arange(n.sum())
+        text = np.repeat(text, n)
+        number, doc = (b.column(k).to_numpy()[text] for k in range(2))
+        window = words.windows_at(hashes, SIZE, at + ends[text]).view(np.int64)
+        yield _batch({"seed": np.repeat(seed, n), "phrase": window, "number": number, "doc_id": doc, "place": at * PLACE + 1})
 
 
 def covered(n: int, places: list[int] | None) -> np.ndarray:
@@ -121,7 +129,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = covered(len(each), places)
             n_words.append(len(each))
             n_removed.append(int(gone.sum()))
-            left = b" ".join(w for w, g in zip(each, gone.tolist(), strict=True) if not g) if places else b" ".join(each)
+            left = b" ".join(compress(each, (~gone).tolist()) if places else each)
             kept.append(left.decode("utf-8", "surrogatepass"))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 

@@ -8,9 +8,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from barlake.llm import clusters, infill, queries, substrings
+from barlake.llm import batch_words, clusters, infill, queries, substrings, words
 from tests.compare import close, of_duckdb, of_spark
 from tests.llm import brute
 
@@ -144,3 +145,21 @@ def test_infill(spark, docs, rows, none, unit, pattern):
         found = infill.fill_in_middle(table, unit).collect()
         assert Counter(tuple(r) for r in found) == Counter(cut(t, i, pattern) for i, t in plain)
     assert infill.fill_in_middle(none, unit).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 400])
+def test_words_of_a_batch(chunk):
+    """Words are told apart as by ``split`` whatever batch they are in: short, long, of odd bytes; equal ones hash alike."""
+    draw = random.Random(9)
+    some = ["a", "ab", "ba", "x" * 7, "x" * 8, "x" * 9, "y" * 64, "y" * 65, "y" * 64 + "z", "é ü", "\x1c\x00", "\x00", "\x00\x00", "日本" * 4]
+    texts = [None, "", "  ", "\t\x0b", *["".join(draw.choice(some) + draw.choice([" ", "\n", "\r\f"]) for _ in range(draw.randrange(40))) for _ in range(300)], "end", "start"]
+    of, seen = {}, 0
+    for i in range(0, len(texts), chunk):
+        hashes, ends = batch_words.hashes(pa.array(texts[i : i + chunk], pa.string()))
+        for k, t in enumerate(texts[i : i + chunk]):
+            each = words.split(t)
+            assert ends[k + 1] - ends[k] == len(each)
+            for w, h in zip(each, hashes[ends[k] : ends[k + 1]].tolist(), strict=True):
+                assert of.setdefault(w, h) == h
+                seen += 1
+    assert seen > 1000 and len(set(of.values())) == len(of)

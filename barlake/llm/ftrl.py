@@ -37,6 +37,9 @@ def fit_pieces(pieces: Sequence[Callable[[], Piece]], dims: int, alpha: float =
                 g = (1 / (1 + np.exp(-np.clip(wx.sum(), -35, 35))) - labels[i]) * weight[i]
                 z[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / alpha * wx
                 n[x] = nx + g * g
-    limit = np.full(dims + 1, l1)
+            del rows, labels, weight  # before the next piece is read
+    limit, out = np.full(dims + 1, l1), np.zeros(dims + 1, np.float32)
     limit[dims] = 0
-    return np.where(np.abs(z) <= limit, 0.0, (np.sign(z) * limit - z) / ((beta + np.sqrt(n)) / alpha + l2)).astype(np.float32)
+    some = np.flatnonzero(np.abs(z) > limit)
+    out[some] = (np.sign(z[some]) * limit[some] - z[some]) / ((beta + np.sqrt(n[some])) / alpha + l2)
+    return out

@@ -46,6 +46,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(made, pa.binary())], ["doc_id", "label", "found"])
 
 
+def _views(found: pa.BinaryArray) -> list[np.ndarray]:
+    """The feature numbers of each row, as they stand in the Arrow buffer."""
+    ends, flat = np.frombuffer(found.buffers()[1], "<i4")[found.offset : found.offset + len(found) + 1] // 4, np.frombuffer(found.buffers()[2] or b"", "<i4")
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def cut(sizes: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
     """Ranges (first id, last id) of ``sizes`` (id, bytes), sorted by id: each of at most ``most`` bytes, or of one row."""
     out, held = [], most + 1
@@ -62,7 +68,7 @@ def train(docs: DataFrame, marks: DataFrame, column: str = "toxic", per_class: t
     """Weights from at most ``per_class`` documents of label 0 and of label 1; ``docs``: (doc_id, text).
 
     Their features are written to the shared folder and come to the driver by ranges of ids of ``piece`` bytes, in every
-    pass again if there are several; one document has at most ``DIMS`` features, 4 bytes each.
+    pass again if there are several; one document has at most ``DIMS`` features, 4 bytes each, and they stay as they came.
     """
     spark = docs.sparkSession
     frames.small_batches(spark)
@@ -86,9 +92,11 @@ def train(docs: DataFrame, marks: DataFrame, column: str = "toxic", per_class: t
         scratch.free(whole)
 
     def read(first: int, last: int) -> ftrl.Piece:
-        rows = sorted(table.where(F.col("doc_id").between(first, last)).collect())
-        label = np.array([r.label for r in rows])
-        return [np.frombuffer(r.found, "<i4").astype(np.int64) for r in rows], label, counts[label]
+        rows = table.where(F.col("doc_id").between(first, last)).toArrow()
+        order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+        found = [x for part in rows["found"].chunks for x in _views(part)]
+        label = rows["label"].to_numpy()[order]
+        return [found[i] for i in order], label, counts[label]
 
     pieces = [lambda x=x: read(*x) for x in ranges]
     if len(pieces) == 1:

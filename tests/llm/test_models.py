@@ -282,3 +282,25 @@ def test_a_worker_holds_one_table():
     assert table() is None and list(held._held) == ["words"]
     assert [x.tolist() for x in packing.token_ids(path, texts)] == first and len(held._held) == 1
     assert words.word_hashes([b"words", b"some"]).tolist() == hashes[::-1].tolist()
+
+
+def test_toxicity_holds_one_piece(spark, monkeypatch):
+    """What the driver holds of the training features is a piece of the bound's bytes, and the piece before is gone."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * k % 301}" for k in range(60))) for i in range(300)], "doc_id long, text string")
+    marks = docs.selectExpr("doc_id", "CAST(doc_id % 3 = 0 AS INT) AS toxic")
+    sizes, before, left, fit = [], [], [], ftrl.fit_pieces
+
+    def watched(pieces, *args, **kwargs):
+        def read(k):
+            left.extend(x() is not None for x in before)
+            before.clear()
+            rows, label, weight = pieces[k]()
+            sizes.append(sum(x.nbytes for x in rows))
+            before.append(weakref.ref(label))
+            return rows, label, weight
+
+        return fit([lambda k=k: read(k) for k in range(len(pieces))], *args, **kwargs)
+
+    monkeypatch.setattr(ftrl, "fit_pieces", watched)
+    toxicity.train(docs, marks, piece=20_000)
+    assert len(sizes) > 8 and max(sizes) <= 20_000 and not any(left)
